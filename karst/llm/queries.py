@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from karst.llm import clusters, mixture, neighbours, tokens
+from karst.llm import clusters, mixture, neighbours, pii, spam, tokens
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, d, "vector"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_items(table(spark, d, "chat_history"), table(spark, d, "name_list")).select("key", "kind", "start_pos")
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "chat_history"), table(spark, d, "name_list"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return clusters.tight_clusters(table(spark, d, "vector_ops"))
 
@@ -35,7 +43,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_documents(table(spark, d, "documents"))
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return spam.scored(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_redacted, p4_found, p4_clusters, p6_ids, p7_mix, p7_shares, p8_found, p8_scores)}
 
 _USABLE = """
 with c as (select key, regexp_extract(key, '^(.*:)', 1) as ns, {op} as op, arg_max(coalesce({vector}, []), ts_ms) as v from {table} where key is not null group by key),

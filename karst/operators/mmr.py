@@ -151,7 +151,10 @@ def proofs(tree: DataFrame, wanted: DataFrame) -> DataFrame:
     p = peaks(tree)
     w = wanted.select("log_id", F.col("leaf_index").cast("long").alias("leaf_index")).distinct().join(p, "log_id").filter("leaf_index >= 0 and leaf_index < leaf_count")
     # The peak above a leaf is that of the highest bit in which count and index differ.
-    start = F.expr("aggregate(sequence(63, 0), struct(0L as start, -1 as height, -1 as nth, 0 as seen), (s, h) -> if(s.height < 0 and (shiftright(leaf_count, h) & 1) = 1, if(leaf_index < s.start + shiftleft(1L, h), struct(s.start, h, s.seen, s.seen + 1), struct(s.start + shiftleft(1L, h), s.height, s.nth, s.seen + 1)), s))")
+    state = lambda start, height, nth, seen: f"named_struct('start', {start}, 'height', {height}, 'nth', {nth}, 'seen', {seen})"
+    here = "shiftleft(1L, h)"
+    found, passed, same = state("s.start", "h", "s.seen", "s.seen + 1"), state(f"s.start + {here}", "s.height", "s.nth", "s.seen + 1"), state("s.start", "s.height", "s.nth", "s.seen")
+    start = F.expr(f"aggregate(sequence(63, 0), {state('0L', '-1', '-1', '0')}, (s, h) -> if(s.height < 0 and (shiftright(leaf_count, h) & 1) = 1, if(leaf_index < s.start + {here}, {found}, {passed}), {same}))")
     w = w.withColumn("at", start).select("log_id", "leaf_index", "leaf_count", "peaks", F.col("at.height").alias("top"), F.col("at.nth").alias("peak_index"))
     steps = w.filter("top > 0").select("log_id", "leaf_index", F.explode(F.sequence(F.lit(0), F.col("top") - 1)).alias("height")).withColumn("own", F.expr("shiftright(leaf_index, height)"))
     sibling = steps.select("log_id", "leaf_index", "height", F.col("own").bitwiseXOR(F.lit(1).cast("long")).alias("pos"), F.when(F.col("own") % 2 == 1, LEFT).otherwise(RIGHT).alias("side"))

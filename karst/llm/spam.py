@@ -9,9 +9,12 @@ of its characters that such phrases, links with them and list entries cover. No
 
 from __future__ import annotations
 
+import re as stdlib_re
 import unicodedata
 from collections import Counter, defaultdict
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,10 @@ HIDDEN = re.compile("[​-‏⁠﻿­]|(?<=[\\p{L}\\d])[·•*|~^¦](?=[\\p{L}\\
 TAG = re.compile(r"</?[a-zA-Z!?][^<>]*>")
 KEPT = re.compile(r"""(?:href|src|content|title|alt)\s*=\s*(?:"([^"]*)"|'([^']*)'|(\S+))""", re.I)
 URL = re.compile(r"(?:https?://|www\.)[^\s<>\"'()\[\]]+|[\w-]+(?:\.[\w-]+)*\.(?:com|net|org|info|biz|shop|example|test|invalid)\b[^\s<>\"'()\[\]]*", re.I)
-WORD = re.compile(r"\p{Lu}?[\p{Ll}\p{M}\p{Lo}]+|\p{Lu}+(?!\p{Ll})|\d+")
-JOINS = frozenset(["", "-", "_", "+", " ", "  ", "%20"])
+ENDINGS = ("http", "www.", ".com", ".net", ".org", ".info", ".biz", ".shop", ".example", ".test", ".invalid")  # every URL has one
+WORD = re.compile(r"(\p{Lu}?[\p{Ll}\p{M}\p{Lo}]+|\p{Lu}+(?!\p{Ll})|\d+)")
+ASCII_WORD = stdlib_re.compile(r"([A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+)")  # the same for plain ASCII, faster
+JOINS, SPACES = frozenset(["", "-", "_", "+", " ", "  "]), frozenset([" ", "  "])
 ENTRY = re.compile(r"^\s*[/|,;•>]?\s*$")
 WINDOWS = ((1, 8), (9, 32), (33, 128))
 FEATURES = ("words", "covered", "repeated", "regular", "mixing", "phrase_length", "sentences", "function_words", "numbers")
@@ -62,7 +67,11 @@ class Rule:
 
 def _plain(text: str) -> str:
     """The text without hidden characters and markup, of which links and the like are kept."""
-    t = HIDDEN.sub("", unicodedata.normalize("NFKC", text))
+    t = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    if not t.isascii() or any(c in t for c in "*|~^"):
+        t = HIDDEN.sub("", t)
+    if "<" not in t:
+        return t
     return TAG.sub(lambda m: " | " + " , ".join(next(g for g in k.groups() if g is not None) for k in KEPT.finditer(m[0])) + " | ", t)
 
 
@@ -76,88 +85,112 @@ def autocorrelation(ids: np.ndarray) -> float:
     return min(rates, default=0.0)
 
 
-def measure(text: str | None, rule: Rule = Rule()) -> dict[str, float] | None:
-    """The features of a text; null where it has fewer than eight words."""
+@lru_cache(maxsize=4096)
+def _entry(gap: str) -> bool:
+    return bool(ENTRY.match(gap))
+
+
+def _links(t: str, words: list[str], gaps: list[str]) -> list[int]:
+    """The number of the link each word is part of, or -1."""
+    out, k, at = [], 0, 0
+    spans = [m.span() for m in URL.finditer(t)]
+    for gap, w in zip(gaps, words):
+        at += len(gap)
+        while k < len(spans) and spans[k][1] <= at:
+            k += 1
+        out.append(k if k < len(spans) and spans[k][0] <= at else -1)
+        at += len(w)
+    return out
+
+
+def measure(text: str | None, rule: Rule = Rule(), every: bool = True) -> dict[str, float] | None:
+    """The features of a text; null where it has fewer than eight words, or, without ``every``, where those found first rule spam out."""
     t = _plain(text) if text else ""
-    at = [m.span() for m in WORD.finditer(t)]
-    n = len(at)
+    parts = (ASCII_WORD if t.isascii() else WORD).split(t)
+    gaps, raw = parts[::2], parts[1::2]
+    n = len(raw)
     if n < 8:
         return None
-    words = [t[a:b].lower() for a, b in at]
-    links = [m.span() for m in URL.finditer(t)]
-    link, k = [-1] * n, 0
-    for i, (a, _) in enumerate(at):
-        while k < len(links) and links[k][1] <= a:
-            k += 1
-        if k < len(links) and links[k][0] <= a:
-            link[i] = k
+    words, size = [w.lower() for w in raw], [len(w) for w in raw]
+    between = gaps[1:-1]
     number = [w.isdigit() and not (len(w) == 4 and w[:2] in ("19", "20")) for w in words]
-    between = [t[at[i][1] : at[i + 1][0]] for i in range(n - 1)]
-    join = [between[i] in JOINS and link[i] == link[i + 1] and not number[i] and not number[i + 1] for i in range(n - 1)] + [False]
-
-    # Terms that recur at short gaps, and the neighbours each has had.
-    first, last, count = {}, {}, Counter(words)
-    for i, w in enumerate(words):
-        first.setdefault(w, i)
-        last[w] = i
+    numbers = sum(number) / n
+    if not every and numbers > rule.numbers:
+        return None
+    low = t.lower()
+    link = _links(t, raw, gaps) if any(x in low for x in ENDINGS) else None
+    join = [s in JOINS and not a and not b for s, a, b in zip(between, number, number[1:])]
+    if link:
+        join = [j and a == b for j, a, b in zip(join, link, link[1:])]
+    else:
+        link = [-1] * n
+
+    # Terms that recur at short gaps.
+    count = Counter(words)
     often = 3 if n >= rule.short else 2
-    hot = {w for w, c in count.items() if c >= often and (last[w] - first[w]) / (c - 1) <= rule.gap and not (w.isdigit() and len(w) != 4)}
+    hot = {w for w, c in count.items() if c >= often and not (w.isdigit() and len(w) != 4)}
+    if n - 1 > rule.gap * (often - 1):  # else no gap can be longer
+        last, first = dict(zip(words, range(n))), dict(zip(reversed(words), range(n - 1, -1, -1)))
+        hot = {w for w in hot if (last[w] - first[w]) / (count[w] - 1) <= rule.gap}
+
+    # Stretches of joined words, and in them three that come again.
+    joined = np.array([False, *join, False])
+    edge = np.flatnonzero(joined[1:] != joined[:-1])
+    begin, end = edge[::2], edge[1::2] + 1
+    two = joined[1:-2] & joined[2:-1]
+    triple = Counter(compress(zip(words, words[1:], words[2:]), two.tolist()))
+    triples = {x for x, c in triple.items() if c >= 3 and sum(w in FUNCTION_WORDS for w in x) <= 1}
+    again = {i + k for i in np.flatnonzero(two).tolist() if (words[i], words[i + 1], words[i + 2]) in triples for k in range(3)} if triples else set()
+
+    is_hot = [w in hot for w in words]
+    sums = np.zeros((4, n + 1), np.int64)
+    sums[0, 1:], sums[1, 1:], sums[2, 1:], sums[3, 1:-1] = np.cumsum(is_hot), np.cumsum([w in FUNCTION_WORDS for w in words]), np.cumsum(size), np.cumsum([s in SPACES for s in between])
+    sums[3, -1] = sums[3, -2]
+    hot_in, small_in, size_in = sums[:3, end] - sums[:3, begin]
+    spaces_in = sums[3, end - 1] - sums[3, begin]
+    length = end - begin
+    share = small_in / length
+    for k in np.flatnonzero(share > 0.25).tolist():
+        if len(FUNCTION_WORDS.intersection(words[begin[k] : end[k]])) < 2:  # one function word again and again is a keyword like the others
+            share[k] = 0.25
+    in_sentences = int(size_in[share > 0.25].sum())
+    is_phrase = (share <= 0.34) & (hot_in >= 0.66 * length)
+    phrases, phrase_words = int(is_phrase.sum()), int(length[is_phrase].sum())
+    phrase, listed = [], []  # positions
+    for a, b, spaced in zip(begin[is_phrase].tolist(), end[is_phrase].tolist(), spaces_in[is_phrase].tolist()):
+        phrase += range(a, b)
+        if spaced or link[a] >= 0 or gaps[a][-1:] == "#":
+            listed += range(a, b)
+    alone = ~joined[1:] & ~joined[:-1] & np.array(is_hot)
+    for i in np.flatnonzero(alone[1:-1]).tolist():
+        i += 1
+        if _entry(between[i - 1]) and _entry(between[i]):
+            listed.append(i)
+
+    total = sum(size) - sum(s for s, d in zip(size, number) if d) or 1
+    marked = {link[i] for i in again} | {link[i] for i in phrase}
+    marked.discard(-1)
+    chosen = again.union(listed, [i for i, x in enumerate(link) if x in marked] if marked else ())
+    covered = sum(size[i] for i in chosen if not number[i]) / total
+    if not every and covered < (rule.covered if n >= rule.short else rule.short_covered):
+        return None
     follow, followed = defaultdict(set), Counter()
-    triple: Counter = Counter()
-    for i in range(n - 1):
-        if join[i]:
-            follow[words[i]].add(words[i + 1])
-            followed[words[i]] += 1
-            if join[i + 1]:
-                triple[words[i], words[i + 1], words[i + 2]] += 1
-
-    again = [False] * n
-    for i in range(n - 2):
-        if join[i] and join[i + 1] and triple[words[i], words[i + 1], words[i + 2]] >= 3 and sum(words[j] in FUNCTION_WORDS for j in (i, i + 1, i + 2)) <= 1:
-            again[i] = again[i + 1] = again[i + 2] = True
-
-    size = [b - a for a, b in at]
-    phrase, listed, entry = [False] * n, [False] * n, [False] * n
-    runs = run_words = in_sentences = 0
-    i = 0
-    while i < n:
-        j = i
-        while join[j]:
-            j += 1
-        w = words[i : j + 1]
-        if len(w) == 1:
-            entry[i] = w[0] in hot and 0 < i < n - 1 and bool(ENTRY.match(between[i - 1]) and ENTRY.match(between[i]))
-        else:
-            small = [x for x in w if x in FUNCTION_WORDS]
-            share = len(small) / len(w)
-            if len(set(small)) < 2:  # one function word again and again is a keyword like the others
-                share = min(share, 0.25)
-            if share > 0.25:
-                in_sentences += sum(size[i : j + 1])
-            if share <= 0.34 and sum(x in hot for x in w) >= 0.66 * len(w):
-                runs, run_words = runs + 1, run_words + len(w)
-                text_like = link[i] >= 0 or t[at[i][0] - 1 : at[i][0]] == "#" or any(between[k].isspace() for k in range(i, j))
-                for k in range(i, j + 1):
-                    phrase[k], listed[k] = True, text_like
-        i = j + 1
-
-    marked = {link[i] for i in range(n) if link[i] >= 0 and (again[i] or phrase[i])}
-    total = sum(s for s, d in zip(size, number) if not d) or 1
-    covered = sum(size[i] for i in range(n) if not number[i] and (again[i] or listed[i] or entry[i] or link[i] in marked))
-    terms = [words[i] for i in range(n) if phrase[i]]
+    for x, y in compress(zip(words, words[1:]), join):
+        follow[x].add(y)
+        followed[x] += 1
+    terms = [words[i] for i in phrase]
     code: dict[str, int] = {}
-    ids = np.array([code.setdefault(w, len(code)) for w in terms], np.int64)
     mixed = [min(1.0, len(follow[w]) / min(followed[w], 10)) for w in terms if followed[w] >= 2]
     return {
         "words": float(n),
-        "covered": covered / total,
-        "repeated": sum(s for s, x in zip(size, again) if x) / total,
-        "regular": autocorrelation(ids),
+        "covered": covered,
+        "repeated": sum(size[i] for i in again) / total,
+        "regular": autocorrelation(np.array([code.setdefault(w, len(code)) for w in terms], np.int64)),
         "mixing": float(np.mean(mixed)) if mixed else 0.0,
-        "phrase_length": run_words / runs if runs else 0.0,
+        "phrase_length": phrase_words / phrases if phrases else 0.0,
         "sentences": in_sentences / total,
-        "function_words": sum(w in FUNCTION_WORDS for w in words) / n,
-        "numbers": sum(number) / n,
+        "function_words": sum(c for w, c in count.items() if w in FUNCTION_WORDS) / n,
+        "numbers": numbers,
     }
 
 
@@ -176,7 +209,7 @@ def scored(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule =
 
     def work(batches):
         for b in batches:
-            rows = [measure(x.as_py(), rule) for x in b["text"]]
+            rows = [measure(x, rule) for x in b["text"].to_pylist()]
             cols = [pa.array([None if f is None else f[c] for f in rows], pa.float64()) for c in FEATURES]
             yield pa.RecordBatch.from_arrays([b["key"], *cols, pa.array([is_spam(f, rule) for f in rows])], ["key", *FEATURES, "spam"])
 
@@ -185,5 +218,12 @@ def scored(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule =
 
 
 def spam_documents(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
-    """The ``key`` of each document that is spam."""
-    return scored(df, key, text, rule).filter("spam").select(key)
+    """The ``key`` of each document that is spam; features are worked out as far as a text needs them."""
+    kind = dict(df.dtypes)[key]
+
+    def work(batches):
+        for b in batches:
+            spam = pa.array([is_spam(measure(x, rule, False), rule) for x in b["text"].to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b["key"].filter(spam)], ["key"])
+
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(work, f"key {kind}").withColumnRenamed("key", key)

@@ -111,30 +111,33 @@ def measure(text: str | None, rule: Rule = Rule(), every: bool = True) -> dict[s
     n = len(raw)
     if n < 8:
         return None
-    words, size = [w.lower() for w in raw], [len(w) for w in raw]
+    words, size = list(map(str.lower, raw)), np.fromiter(map(len, raw), np.int64, n)
     between = gaps[1:-1]
-    number = [w.isdigit() and not (len(w) == 4 and w[:2] in ("19", "20")) for w in words]
-    numbers = sum(number) / n
+    count = Counter(words)
+    figures = {w for w in count if w.isdigit() and not (len(w) == 4 and w[:2] in ("19", "20"))}
+    numbers = sum(count[w] for w in figures) / n
     if not every and numbers > rule.numbers:
         return None
-    low = t.lower()
-    link = _links(t, raw, gaps) if any(x in low for x in ENDINGS) else None
-    join = [s in JOINS and not a and not b for s, a, b in zip(between, number, number[1:])]
-    if link:
-        join = [j and a == b for j, a, b in zip(join, link, link[1:])]
-    else:
-        link = [-1] * n
 
     # Terms that recur at short gaps.
-    count = Counter(words)
     often = 3 if n >= rule.short else 2
     hot = {w for w, c in count.items() if c >= often and not (w.isdigit() and len(w) != 4)}
     if n - 1 > rule.gap * (often - 1):  # else no gap can be longer
         last, first = dict(zip(words, range(n))), dict(zip(reversed(words), range(n - 1, -1, -1)))
         hot = {w for w in hot if (last[w] - first[w]) / (count[w] - 1) <= rule.gap}
 
+    kinds = {w: (w in hot) + 2 * (w in FUNCTION_WORDS) + 4 * (w in figures) for w in count}
+    kind = np.fromiter(map(kinds.__getitem__, words), np.int8, n)
+    is_hot, is_small, number = (kind & 1).astype(bool), (kind & 2).astype(bool), (kind & 4).astype(bool)
+    join = np.fromiter(map(JOINS.__contains__, between), bool, n - 1) & ~number[1:] & ~number[:-1]
+    low = t.lower()
+    link = np.array(_links(t, raw, gaps)) if any(x in low for x in ENDINGS) else None
+    if link is not None:
+        join &= link[1:] == link[:-1]
+
     # Stretches of joined words, and in them three that come again.
-    joined = np.array([False, *join, False])
+    joined = np.zeros(n + 1, bool)
+    joined[1:-1] = join
     edge = np.flatnonzero(joined[1:] != joined[:-1])
     begin, end = edge[::2], edge[1::2] + 1
     two = joined[1:-2] & joined[2:-1]
@@ -142,9 +145,9 @@ def measure(text: str | None, rule: Rule = Rule(), every: bool = True) -> dict[s
     triples = {x for x, c in triple.items() if c >= 3 and sum(w in FUNCTION_WORDS for w in x) <= 1}
     again = {i + k for i in np.flatnonzero(two).tolist() if (words[i], words[i + 1], words[i + 2]) in triples for k in range(3)} if triples else set()
 
-    is_hot = [w in hot for w in words]
     sums = np.zeros((4, n + 1), np.int64)
-    sums[0, 1:], sums[1, 1:], sums[2, 1:], sums[3, 1:-1] = np.cumsum(is_hot), np.cumsum([w in FUNCTION_WORDS for w in words]), np.cumsum(size), np.cumsum([s in SPACES for s in between])
+    np.cumsum([is_hot, is_small, size], axis=1, out=sums[:3, 1:])
+    np.cumsum(np.fromiter(map(SPACES.__contains__, between), bool, n - 1), out=sums[3, 1:-1])
     sums[3, -1] = sums[3, -2]
     hot_in, small_in, size_in = sums[:3, end] - sums[:3, begin]
     spaces_in = sums[3, end - 1] - sums[3, begin]
@@ -159,23 +162,27 @@ def measure(text: str | None, rule: Rule = Rule(), every: bool = True) -> dict[s
     phrase, listed = [], []  # positions
     for a, b, spaced in zip(begin[is_phrase].tolist(), end[is_phrase].tolist(), spaces_in[is_phrase].tolist()):
         phrase += range(a, b)
-        if spaced or link[a] >= 0 or gaps[a][-1:] == "#":
+        if spaced or link is not None and link[a] >= 0 or gaps[a][-1:] == "#":
             listed += range(a, b)
-    alone = ~joined[1:] & ~joined[:-1] & np.array(is_hot)
+    alone = ~joined[1:] & ~joined[:-1] & is_hot
     for i in np.flatnonzero(alone[1:-1]).tolist():
         i += 1
         if _entry(between[i - 1]) and _entry(between[i]):
             listed.append(i)
 
-    total = sum(size) - sum(s for s, d in zip(size, number) if d) or 1
-    marked = {link[i] for i in again} | {link[i] for i in phrase}
-    marked.discard(-1)
-    chosen = again.union(listed, [i for i, x in enumerate(link) if x in marked] if marked else ())
-    covered = sum(size[i] for i in chosen if not number[i]) / total
+    total = int(size[~number].sum()) or 1
+    chosen = np.zeros(n, bool)
+    chosen[list(again)] = True
+    again_size = int(size[chosen].sum())
+    if link is not None:
+        marked = np.unique(link[[*again, *phrase]])
+        chosen |= np.isin(link, marked[marked >= 0])
+    chosen[listed] = True
+    covered = int(size[chosen & ~number].sum()) / total
     if not every and covered < (rule.covered if n >= rule.short else rule.short_covered):
         return None
     follow, followed = defaultdict(set), Counter()
-    for x, y in compress(zip(words, words[1:]), join):
+    for x, y in compress(zip(words, words[1:]), join.tolist()):
         follow[x].add(y)
         followed[x] += 1
     terms = [words[i] for i in phrase]
@@ -184,12 +191,12 @@ def measure(text: str | None, rule: Rule = Rule(), every: bool = True) -> dict[s
     return {
         "words": float(n),
         "covered": covered,
-        "repeated": sum(size[i] for i in again) / total,
+        "repeated": again_size / total,
         "regular": autocorrelation(np.array([code.setdefault(w, len(code)) for w in terms], np.int64)),
         "mixing": float(np.mean(mixed)) if mixed else 0.0,
         "phrase_length": phrase_words / phrases if phrases else 0.0,
         "sentences": in_sentences / total,
-        "function_words": sum(c for w, c in count.items() if w in FUNCTION_WORDS) / n,
+        "function_words": int(is_small.sum()) / n,
         "numbers": numbers,
     }
 

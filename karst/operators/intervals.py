@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karst.functions.ranks import global_rank
+from karst.runtime import written
 
 DAY_MS = 86_400_000
 NEVER = 2**63 - 1
@@ -36,7 +37,7 @@ def coalesce_intervals(df: DataFrame, keys: list[str], start: str, end: str, buc
     for k in ks:
         rows = rows.filter(F.col(k).isNotNull())
     rows = rows.filter(F.col("e") > F.col("s"))
-    rows = rows.groupBy(*ks, "s").agg(F.max("e").alias("e")).groupBy(*ks, "e").agg(F.min("s").alias("s"))
+    rows = written(rows.groupBy(*ks, "s").agg(F.max("e").alias("e")).groupBy(*ks, "e").agg(F.min("s").alias("s")), "intervals")
 
     day = lambda t: F.floor(F.col(t) / F.lit(bucket_ms))
 
@@ -48,7 +49,7 @@ def coalesce_intervals(df: DataFrame, keys: list[str], start: str, end: str, buc
     # The row of rank i has the end of rank i and the start of rank i + 1; rank 0 has the first start, the last rank no start.
     edges = s.select(*ks, (F.col("rank") - 1).alias("rank"), F.col("t").alias("next_s"), none.alias("e")).unionByName(e.select(*ks, "rank", none.alias("next_s"), F.col("t").alias("e")))
     edges = edges.groupBy(*ks, "rank").agg(F.max("next_s").alias("next_s"), F.max("e").alias("e"))
-    edges = edges.filter(F.col("next_s").isNull() | F.col("e").isNull() | (F.col("next_s") > F.col("e")))
+    edges = written(edges.filter(F.col("next_s").isNull() | F.col("e").isNull() | (F.col("next_s") > F.col("e"))), "edges")
 
     begins = ranked(edges.filter("next_s is not null"), "next_s")
     ends = ranked(edges.filter("e is not null"), "e")
@@ -62,9 +63,10 @@ def trust_periods(trust: DataFrame) -> DataFrame:
     """Periods and gaps of trust of each (from_org, to_org), from the grant rows of a trust log."""
     exp = F.col("expires_at_ms")
     grants = trust.filter(F.lower(F.trim("kind")) == "grant").select(
-        org_hex(F.col("from_org")).alias("from_org"),
-        org_hex(F.col("to_org")).alias("to_org"),
+        F.unhex(org_hex(F.col("from_org"))).alias("from_org"),  # half the bytes of the digits
+        F.unhex(org_hex(F.col("to_org"))).alias("to_org"),
         F.col("granted_at_ms").alias("s"),
         F.when(exp.isNull() | (exp == 0), F.lit(NEVER)).otherwise(exp).alias("e"),
     )
-    return coalesce_intervals(grants, ["from_org", "to_org"], "s", "e")
+    d = coalesce_intervals(grants, ["from_org", "to_org"], "s", "e")
+    return d.withColumns({c: F.lower(F.hex(c)) for c in ("from_org", "to_org")})

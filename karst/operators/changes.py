@@ -77,17 +77,18 @@ class DeleteVectorTable:
         """Applies records (key, value, lsn, ts, worm, dead), in whatever order they come."""
         new, index = winners(records), self.live()
         out = f"{self.path}/v{self.versions}"
+        where = "file string, part long, bit long"
         if index is None:
-            new.write.parquet(f"{out}/images")
-            gone = self.spark.createDataFrame([], "file string, part long, bits binary")
+            plan = new.select("*", F.lit(True).alias("wins"), *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in where.split(", ")])
         else:
-            # The changed keys are few against the table, the plan leaves the choice of join to their size at run time.
+            # The changed keys are few against the table; the plan leaves the choice of join to their size at run time.
             both = new.alias("n").join(index.select("key", "ts", "lsn", "worm", "file", "part", "bit").alias("o"), F.col("n.key") == F.col("o.key"), "left")
-            wins = F.col("o.key").isNull() | supersedes("n", "o")
-            both.filter(wins).select("n.*").write.parquet(f"{out}/images")
-            # The index read is the one before this version, so both jobs see the same rows.
-            gone = both.filter(F.col("o.key").isNotNull() & supersedes("n", "o")).groupBy("o.file", "o.part").agg(F.bitmap_construct_agg(F.col("o.bit")).alias("bits"))
-        gone.write.parquet(f"{out}/bits")
+            plan = both.select("n.*", (F.col("o.key").isNull() | supersedes("n", "o")).alias("wins"), "o.file", "o.part", "o.bit").filter("wins")
+        # Written once, so that the feed and the index are read once, and images and bitmaps come from the same rows.
+        plan.write.parquet(f"{out}/plan")
+        plan = self.spark.read.schema(f"{IMAGE}, wins boolean, {where}").parquet(f"{out}/plan")
+        plan.select(*[c.split()[0] for c in IMAGE.split(", ")]).write.parquet(f"{out}/images")
+        plan.filter("file is not null").groupBy("file", "part").agg(F.bitmap_construct_agg(F.col("bit")).alias("bits")).write.parquet(f"{out}/bits")
         self.versions += 1
 
     def read(self) -> DataFrame:
@@ -125,7 +126,10 @@ def replay(feed: DataFrame, batches: int = 4, arrival: str = "arrival_no", path:
     table = DeleteVectorTable(spark, path)
     lo, hi = feed.agg(F.min(arrival), F.max(arrival)).first()
     step = max(1, -(-((hi or 0) - (lo or 0) + 1) // batches))
+    at = F.col(arrival)
     for b in range(batches):
-        at = F.coalesce(F.floor((F.col(arrival) - F.lit(lo or 0)) / F.lit(step)), F.lit(0))
-        table.apply(key_records(feed.filter(at == b)))
+        # As a range, which reaches the scan: files and row groups of other batches aren't read.
+        begin, end = (lo or 0) + b * step, (lo or 0) + (b + 1) * step
+        here = (at < end) | at.isNull() if b == 0 else (at >= begin) & (at < end)
+        table.apply(key_records(feed.filter(here)))
     return table.read()

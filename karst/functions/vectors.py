@@ -78,6 +78,7 @@ def sign_code(a: Column, centre: Column | None = None) -> Column:
     def word(w: Column) -> Column:
         part = F.slice(d, w * 64 + 1, 64)
         bits = F.transform(part, lambda x, i: F.when(x >= 0, F.expr("1L")).otherwise(F.expr("0L")))
+        bits = F.concat(bits, F.array_repeat(F.expr("0L"), 64 - F.size(bits)))
         packed = F.aggregate(bits, F.lit(0).cast("bigint"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(x))
         return packed
 

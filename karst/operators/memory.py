@@ -71,8 +71,9 @@ def snippet(text: Column, cap: int) -> Column:
         return F.lit(None).cast("string")
     if cap == 0:
         return text
-    cut = F.substring(text.cast("binary"), 1, cap)
-    return F.when(F.octet_length(text) <= cap, text).otherwise(F.regexp_replace(F.decode(cut, "UTF-8"), "�+$", ""))
+    b = text.cast("binary")
+    cuts = [F.substring(b, 1, max(cap - k, 0)).cast("string") for k in range(4)]  # a character has at most four bytes
+    return F.when(F.octet_length(text) <= cap, text).otherwise(F.coalesce(*[F.when(F.is_valid_utf8(x), x) for x in cuts]))
 
 
 def query(vecs: DataFrame, meta: DataFrame, docs: DataFrame | None, ns: str, embedding: list[float], k: int = 10, decay: float = 0.0, min_score: float | None = None, snippet_bytes: int = SNIPPET, tau_hours: float = 168.0, now_ms: int = 0, where: str | None = None, metric: str = "cosine") -> DataFrame:
@@ -92,9 +93,9 @@ def query(vecs: DataFrame, meta: DataFrame, docs: DataFrame | None, ns: str, emb
     if where is None:
         d = F.broadcast(d).join(m, "id", "left")  # at most 100 rows
     if docs is None:
-        return d.select("id", "score", "ts_ms", "meta", F.lit(None).cast("string").alias("text"))
+        return d.select("id", "score", "ts_ms", "meta", F.lit(None).cast("string").alias("text")).orderBy(F.desc("score"), "id")
     body = docs.filter(F.col("ns") == ns).select("id", "text")
-    return d.join(body, "id", "left").select("id", "score", "ts_ms", "meta", snippet(F.col("text"), snippet_bytes).alias("text"))
+    return d.join(body, "id", "left").select("id", "score", "ts_ms", "meta", snippet(F.col("text"), snippet_bytes).alias("text")).orderBy(F.desc("score"), "id")
 
 
 def fetch(docs: DataFrame, meta: DataFrame, ns: str, ident: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from karst.functions import ed25519
 from karst.functions.bytesio import Reader, len32, sha256, u8, u16, u32, u64
 from karst.operators import log, mmr
 
-MMR_SHA256, ED25519, VERSION = 1, 1, 1  # fixed values of the record formats
+MMR_SHA256, ED25519, VERSION = 2, 1, 1  # fixed values of the record formats
 BUNDLE_MAGIC, BUNDLE_VERSION, RANGE = b"WDBPBND1", 1, 2
 
 

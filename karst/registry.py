@@ -195,7 +195,7 @@ def append_log_append(c, rows: DataFrame):
     old = _log(c)
     heads = log.log_report(old).select("log_id", F.col("last_seq").alias("seq"), F.col("head_hash").alias("event_hash"))
     new = written(log.build_chain(rows, heads), "appended")  # the next append reads the log again
-    c.put("log", old.unionByName(new))
+    c.append("log", new)
     return new
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from karst.operators.changes import replay
 from karst.operators.kv import overlay
+from karst.runtime import written
 
 KV = "key string, value string, ts_ms long, is_worm boolean"
 
@@ -80,6 +81,7 @@ class Catalog:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     layers: dict[str, list[DataFrame]] = field(default_factory=dict)
     configs: dict[str, object] = field(default_factory=dict)
+    durable: bool = True
 
     def read(self, name: str, schema: str = KV) -> DataFrame:
         d = self.tables.get(name)
@@ -91,7 +93,10 @@ class Catalog:
         self.layers.setdefault(name, []).append(segment)
 
     def put(self, name: str, df: DataFrame) -> None:
-        self.tables[name] = df
+        """Replaces a table; it is written at once (unless ``durable`` is off), so what comes later doesn't work it out again."""
+        self.tables[name] = written(df, "table") if self.durable else df
 
     def append(self, name: str, df: DataFrame) -> None:
-        self.tables[name] = df if name not in self.tables else self.tables[name].unionByName(df)
+        """Adds rows, which alone are written."""
+        new = written(df, "rows") if self.durable else df
+        self.tables[name] = new if name not in self.tables else self.tables[name].unionByName(new)

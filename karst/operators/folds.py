@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karst.functions.folds import ordered_fold
+from karst.functions.ranks import global_rank, previous, running
 
 # -- task claims (E1-E6) ------------------------------------------------------------------------------------------------
 
@@ -156,9 +157,9 @@ def agents(events: DataFrame) -> DataFrame:
 
 def transitions(snapshots: DataFrame) -> DataFrame:
     """(node, ts_ms, change) where a node's state differs from its last: suspect, recover, dead or left; a new node changes nothing."""
-    w = Window.partitionBy("node").orderBy("ts_ms")
     kind = F.when(F.col("state") == "alive", "recover").when(F.col("state") == "suspected", "suspect").otherwise(F.col("state"))
-    return snapshots.withColumn("before", F.lag("state").over(w)).filter("before is not null and before <> state").select("node", "ts_ms", kind.alias("change"))
+    d = previous(snapshots.select("node", "ts_ms", "state"), ["node"], F.floor(F.col("ts_ms") / 86_400_000), ["ts_ms", "state"], ["state"], "before")
+    return d.filter("before is not null and before.state <> state").select("node", "ts_ms", kind.alias("change"))
 
 
 # -- hybrid clocks (E14) ----------------------------------------------------------------------------------------------------
@@ -166,10 +167,11 @@ def transitions(snapshots: DataFrame) -> DataFrame:
 
 def hybrid_clock(events: DataFrame) -> DataFrame:
     """Adds ``hlc`` to (node, seq, wall_ms): max(wall << 16, last + 1), by its closed form: i + the running maximum of (wall << 16) - i."""
-    w = Window.partitionBy("node").orderBy("seq")
-    i = F.row_number().over(w).cast("long")
-    d = events.withColumn("__i", i).withColumn("__t", F.shiftleft(F.col("wall_ms").cast("long"), 16) - F.col("__i"))
-    return d.withColumn("hlc", F.max("__t").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__i")).drop("__i", "__t")
+    part = F.floor(F.col("seq") / 65_536)
+    d = global_rank(events, ["node"], part, ["seq"], "__i")
+    ahead = F.shiftleft(F.col("wall_ms").cast("long"), 16) - F.col("__i")
+    d = running(d, ["node"], part, ["seq"], ahead, "__m", largest=True)
+    return d.withColumn("hlc", F.col("__m") + F.col("__i")).drop("__i", "__m")
 
 
 def hlc_parts(hlc: Column) -> tuple[Column, Column]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from karst.functions.ranks import running
+
 
 def get(kv: DataFrame, key: str) -> DataFrame:
     return kv.filter(F.col("key") == key)
@@ -62,8 +64,8 @@ def to_number(value: Column, default: int = 0) -> Column:
 
 def increments(ops: DataFrame) -> DataFrame:
     """Running value of each key after each operation (key, seq, delta): a delta that is no number is 1."""
-    w = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return ops.select("key", "seq", F.sum(to_number(F.col("delta"), 1)).over(w).alias("value"))
+    d = ops.select("key", "seq", to_number(F.col("delta"), 1).alias("d"))
+    return running(d, ["key"], F.floor(F.col("seq") / 65_536), ["seq"], F.col("d"), "value").select("key", "seq", "value")
 
 
 def counters(ops: DataFrame) -> DataFrame:

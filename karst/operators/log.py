@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karst.functions.bytesio import ZERO_HASH, Reader, col_bytes, col_len32, col_sha256, col_uint, len32, sha256, u16, u32, u64
 from karst.functions.folds import ordered_fold
+from karst.functions.ranks import previous
 
 MAGIC, VERSION = b"WDBALOG1", 1  # fixed values of the envelope format
 EVENT = "log_id string, seq long, prev_hash binary, ingest_ms long, payload_hash binary, attachments array<binary>, payload binary, event_hash binary"
@@ -98,16 +99,15 @@ PROBLEMS = ["payload_hash", "event_hash", "sequence", "prev_hash"]
 def verify_chain(events: DataFrame) -> DataFrame:
     """(log_id, seq, problem) of each event that breaks its log; no rows where all is well.
 
-    ``sequence``: the numbers aren't 1, 2, 3 ...; ``prev_hash``: the link to the event before is wrong. Fully parallel but for the
-    order within a log, for which rows are compared with the one before.
+    ``sequence``: the numbers aren't 1, 2, 3 ...; ``prev_hash``: the link to the event before is wrong. Rows are compared
+    with the one before by stretches of a log, so a log that holds most rows is spread over tasks.
     """
-    w = Window.partitionBy("log_id").orderBy("seq")
-    d = with_event_hash(events, "expected").withColumns({"before": F.lag("event_hash").over(w), "seq_before": F.coalesce(F.lag("seq").over(w), F.lit(0))})
+    d = previous(with_event_hash(events, "expected"), ["log_id"], F.floor(F.col("seq") / 65_536), ["seq", "event_hash"], ["event_hash", "seq"], "before")
     problem = (
         F.when(~F.col("payload_hash").eqNullSafe(col_sha256(F.col("payload"))), "payload_hash")
         .when(~F.col("event_hash").eqNullSafe(F.col("expected")), "event_hash")
-        .when(F.col("seq") != F.col("seq_before") + 1, "sequence")
-        .when(~F.col("prev_hash").eqNullSafe(F.coalesce(F.col("before"), F.lit(bytearray(ZERO_HASH)))), "prev_hash")
+        .when(F.col("seq") != F.coalesce(F.col("before.seq"), F.lit(0)) + 1, "sequence")
+        .when(~F.col("prev_hash").eqNullSafe(F.coalesce(F.col("before.event_hash"), F.lit(bytearray(ZERO_HASH)))), "prev_hash")
     )
     return d.withColumn("problem", problem).filter("problem is not null").select("log_id", "seq", "problem")
 

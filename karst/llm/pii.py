@@ -6,6 +6,7 @@ import re
 import uuid
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -21,6 +22,7 @@ TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*|\p{N}+|\n|[^\s\p{L}\p{N}]")
 REACH = {"word": [-4, -3, -2, -1, 0, 1, 2, 3, 4], "form": [-2, -1, 0, 1, 2], "chunk": [-2, -1, 0, 1, 2], "own": [0]}
 NAMES = 100_000  # most names of a list that are taken; beyond, the list can't be a table of known names
 TABLE_ROWS = 3_000  # rows of the labelled table
+PIECE, OVERLAP = 8_192, 64  # tokens decoded at once, and those of the neighbourhood decoded with them
 SEPARATE = 8  # most characters of a chunk's shape that count
 
 
@@ -103,10 +105,24 @@ def checked(kind: str, s: str, before: str, after: str) -> bool:
     return any(c.isalpha() for c in s) and digits == 0
 
 
+def decoded(sentences: list[list[Record]], crf: Crf) -> list[np.ndarray]:
+    """Labels of each sentence. One of more than ``PIECE`` tokens is decoded in pieces that overlap on both sides, so memory is bounded."""
+    pieces, where = [], []
+    for i, s in enumerate(sentences):
+        for a in range(0, len(s), PIECE):
+            begin, end = max(0, a - OVERLAP), min(len(s), a + PIECE + OVERLAP)
+            pieces.append(s[begin:end])
+            where.append((i, a - begin, min(PIECE, len(s) - a)))
+    out: list[list[np.ndarray]] = [[] for _ in sentences]
+    for (i, skip, n), path in zip(where, crf.decode(pieces)):
+        out[i].append(path[skip : skip + n])
+    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+
+
 def items_of(texts: list[str], crf: Crf) -> list[list[tuple[str, int, int]]]:
     """(kind, start, end) of the items of each text, offsets in code points."""
     spans = [tokenize(t) for t in texts]
-    paths = crf.decode([records(t, s) for t, s in zip(texts, spans)])
+    paths = decoded([records(t, s) for t, s in zip(texts, spans)], crf)
     out = []
     for text, span, path in zip(texts, spans, paths):
         found, i = [], 0

@@ -21,7 +21,7 @@ TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*|\p{N}+|\n|[^\s\p{L}\p{N}]")
 #: Distances at which each group of features is seen.
 REACH = {"word": [-4, -3, -2, -1, 0, 1, 2, 3, 4], "form": [-2, -1, 0, 1, 2], "chunk": [-2, -1, 0, 1, 2], "own": [0]}
 NAMES = 100_000  # most names of a list that are taken; beyond, the list can't be a table of known names
-TABLE_ROWS = 3_000  # rows of the labelled table
+TABLE_ROWS = 3_600  # rows of the labelled table
 PIECE, OVERLAP = 8_192, 64  # tokens decoded at once, and those of the neighbourhood decoded with them
 SEPARATE = 8  # most characters of a chunk's shape that count
 
@@ -97,7 +97,7 @@ def checked(kind: str, s: str, before: str, after: str) -> bool:
     if kind == "email":
         return bool(re.search(r"@|＠|\bat\b|\(at\)|\[at\]", s, re.I)) and bool(re.search(r"\.|\bdot\b", s, re.I)) and not (before.lower().endswith("clone ") or after.startswith(":"))
     if kind == "phone":
-        return 7 <= digits <= 18 and not re.search(r"[A-Za-z]{4}|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$", s)
+        return 7 <= digits <= 18 and not re.search(r"[A-Za-z]{4}", s) and not re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", s)
     if kind == "id_number":
         return 5 <= digits <= 18
     if kind == "address":

@@ -55,6 +55,8 @@ fwd from {name} <{email}>: the {word} build is red
 -- \n{name}\n{phone}\n{email}
 -- \n{name}\n{email}
 -- \n{name}\n{phone}
+-- \n{name}\n{phone}\n{email}
+{address}, phone {phone}
 {email} is my address
 {phone} is my number
 la dirección nueva es {address}
@@ -279,8 +281,8 @@ class Filler:
         return [
             f"+1 {a} {b} {c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1{a}{b}{c}", f"{a} {b} {c}", f"{a}–{b}–{c}", f"1-{a}-{b}-{c}",
             f"+44 (0)20 7946 {c}", f"+44 20 7946 {c}", f"07700 900{d(3)}", f"01632 960{d(3)}",
-            self.pick([f"+44770090{d(4)}", f"0044 1632 960{d(3)}", f"01632 960 {d(3)}"]),
-            self.pick([f"+33 1 99 00 {d(2)} {d(2)}", f"01.99.00.{d(2)}.{d(2)}", f"01 99 00 {d(2)} {d(2)}", f"06 39 98 {d(2)} {d(2)}", f"+33 (0)6 39 98 {d(2)} {d(2)}", f"+3363998{d(4)}"]),
+            self.pick([f"063998{d(4)}", f"+44770090{d(4)}", f"0044 1632 960{d(3)}", f"01632 960 {d(3)}"]),
+            self.pick([f"+33 1 99 00 {d(2)} {d(2)}", f"01.99.00.{d(2)}.{d(2)}", f"01 99 00 {d(2)} {d(2)}", f"06 39 98 {d(2)} {d(2)}", f"+33 (0)6 39 98 {d(2)} {d(2)}", f"+3363998{d(4)}", f"063998{d(4)}", f"019900{d(4)}"]),
             self.pick([f"0049 30 23125{d(3)}", f"+49 30 23125-{d(3)}", f"030 23125 {d(3)}", f"(030) 23125 {d(3)}", f"+49 (0)30 23125 {d(3)}", f"030/23125{d(3)}", f"+34 600 {d(3)} {d(3)}"]),
         ][x] + (f" {self.pick(['ext', 'ext.', 'x'])} {d(3)}" if self.r.random() < 0.08 else "")
 
@@ -309,9 +311,9 @@ class Filler:
         elif x < 0.88:
             s = f"{n}{self.pick(['', ',', ' bis', ' ter'])} {self.pick(['rue', 'av.', 'bd', 'place', 'boulevard', 'impasse', 'avenue', 'quai', 'allée'])} {self.pick(['du ', 'de la ', 'des ', ''])}{road}" + (f", {self.digits(5)} {town}" if self.r.random() < 0.6 else "")
         else:
-            s = f"{self.pick(['Calle', 'Av.', 'Plaza', 'Avenida', 'C/'])} {self.pick(['de ', 'del ', ''])}{road} {n}" + self.pick(["", ", 2º B", ", bajo", ", 3º izq."]) + (f", {self.digits(5)} {town}" if self.r.random() < 0.6 else "")
+            s = f"{self.pick(['Calle', 'Av.', 'Plaza', 'Avenida', 'C/', 'Camino', 'Paseo', 'Ronda'])} {self.pick(['de ', 'del ', ''])}{road} {n}" + self.pick(["", ", 2º B", ", bajo", ", 3º izq."]) + (f", {self.digits(5)} {town}" if self.r.random() < 0.6 else "")
         y = self.r.random()
-        return s.lower() if y < 0.06 else s.upper() if y < 0.09 else s
+        return s.lower() if y < 0.12 else s.upper() if y < 0.16 else s
 
     def other(self, slot: str) -> str:
         d, w = self.digits, self.pick(WORDS)

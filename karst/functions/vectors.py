@@ -19,7 +19,8 @@ def metric_or_cosine(name: str | None) -> str:
 
 
 def vector_literal(v: list[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in v])
+    """One constant, not a call per element; NaN and infinities as they are."""
+    return F.expr("array(" + ", ".join(f"{x!r}D" if math.isfinite(x) else f"double('{x}')" for x in map(float, v)) + ")")
 
 
 def _sum(a: Column, b: Column, f) -> Column:

@@ -126,7 +126,7 @@ def measure(text: str | None, rule: Rule = Rule(), every: bool = True) -> dict[s
         last, first = dict(zip(words, range(n))), dict(zip(reversed(words), range(n - 1, -1, -1)))
         hot = {w for w in hot if (last[w] - first[w]) / (count[w] - 1) <= rule.gap}
 
-    kinds = {w: (w in hot) + 2 * (w in FUNCTION_WORDS) + 4 * (w in figures) for w in count}
+    kinds = {w: (w in hot) + 2 * (w in FUNCTION_WORDS) + 4 * (w in figures) + 8 * (c > 2) for w, c in count.items()}
     kind = np.fromiter(map(kinds.__getitem__, words), np.int8, n)
     is_hot, is_small, number = (kind & 1).astype(bool), (kind & 2).astype(bool), (kind & 4).astype(bool)
     join = np.fromiter(map(JOINS.__contains__, between), bool, n - 1) & ~number[1:] & ~number[:-1]
@@ -140,7 +140,8 @@ def measure(text: str | None, rule: Rule = Rule(), every: bool = True) -> dict[s
     joined[1:-1] = join
     edge = np.flatnonzero(joined[1:] != joined[:-1])
     begin, end = edge[::2], edge[1::2] + 1
-    two = joined[1:-2] & joined[2:-1]
+    thrice = (kind & 8).astype(bool)  # words of which such a three can consist
+    two = joined[1:-2] & joined[2:-1] & thrice[:-2] & thrice[1:-1] & thrice[2:]
     triple = Counter(compress(zip(words, words[1:], words[2:]), two.tolist()))
     triples = {x for x, c in triple.items() if c >= 3 and sum(w in FUNCTION_WORDS for w in x) <= 1}
     again = {i + k for i in np.flatnonzero(two).tolist() if (words[i], words[i + 1], words[i + 2]) in triples for k in range(3)} if triples else set()

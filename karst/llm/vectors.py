@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from karst.runtime import written
 
 SHARD_ROWS = 32_768  # most rows of a shard that is planned; a shard is one task
+SHARD_FLOATS = 32_768 * 128  # most elements of a shard; longer vectors have fewer rows
 FIT_ROWS = 4_096  # rows of a namespace on which its pivots are fitted (those with the smallest key hashes)
 PROBES = 4  # shards a query visits in a namespace of several
 SMALL = 100_000  # rows up to which a table of one row per namespace or group of copies is broadcast
@@ -44,6 +45,11 @@ def current_entries(df: DataFrame, key: str = "key", ts: str = "ts_ms", vector:
     return near(d, usual, ["ns"], usual.count()).filter(F.size("vector") == F.col("dim")).select("ns", "key", "vector", "n")
 
 
+def row_limit(shard_rows: int) -> Column:
+    """Most rows of a shard, by the length of a row's vector."""
+    return F.least(F.lit(shard_rows), F.greatest(F.lit(64), F.floor(F.lit(SHARD_FLOATS) / F.size("vector")))).cast("long")
+
+
 @dataclass
 class Shards:
     """Rows of ``TASK`` of namespaces with one shard (final by themselves) and of those with several (to be merged)."""
@@ -91,19 +97,20 @@ def fit_pivots(x: np.ndarray, count: int) -> np.ndarray:
 def shards(rows: DataFrame, shard_rows: int = SHARD_ROWS, probes: int = PROBES) -> Shards:
     """Spreads (ns, key, vector, n) over shards; ``n`` is the row count of the namespace.
 
-    A namespace of up to ``shard_rows`` is one shard. A larger one is cut into cells around pivots fitted on at most about
+    A namespace of up to ``shard_rows`` (fewer of long vectors, ``row_limit``) is one shard. A larger one is cut into cells around pivots fitted on at most about
     ``FIT_ROWS`` of its rows; each row is indexed in its nearest cell (``home``) and is a query there and in the next
     ``probes`` - 1. A cell that comes out larger than ``shard_rows`` is split by hash, and a query visits all its parts.
     The pivots (one per shard_rows / 2 rows) are all that reaches the driver.
     """
     h = F.xxhash64("key").alias("h")
-    single = rows.filter(F.col("n") <= shard_rows).select("ns", F.lit(0).alias("cell"), F.lit(0).alias("sub"), "key", h, F.lit(True).alias("home"), "vector")
-    large = rows.filter(F.col("n") > shard_rows)
-    counts = large.groupBy("ns").agg(F.first("n").alias("n")).collect()  # at most all rows / shard_rows
+    limit = row_limit(shard_rows)
+    single = rows.filter(F.col("n") <= limit).select("ns", F.lit(0).alias("cell"), F.lit(0).alias("sub"), "key", h, F.lit(True).alias("home"), "vector")
+    large = rows.filter(F.col("n") > limit)
+    counts = large.groupBy("ns").agg(F.first("n").alias("n"), F.min(limit).alias("most")).collect()  # at most all rows / shard_rows
     if not counts:
         return Shards(single, None)
 
-    want = {r.ns: -(-r.n * 2 // shard_rows) for r in counts}
+    want = {r.ns: -(-r.n * 2 // r.most) for r in counts}
 
     def fit(t: pa.Table) -> pa.Table:
         x, ok = unit(to_matrix(t["vector"]))
@@ -130,7 +137,7 @@ def shards(rows: DataFrame, shard_rows: int = SHARD_ROWS, probes: int = PROBES)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int32()))], [*b.schema.names, "cells"])
 
     d = written(large.select("ns", "key", h, "vector").mapInArrow(assign, "ns string, key string, h long, vector array<float>, cells array<int>"), "assigned")
-    size = written(d.groupBy("ns", F.col("cells")[0].alias("cell")).agg(F.count(F.lit(1)).alias("n")).select("ns", "cell", F.ceil(F.col("n") / shard_rows).cast("int").alias("subs")).coalesce(1), "cells")
+    size = written(d.groupBy("ns", F.col("cells")[0].alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min(limit).alias("most")).select("ns", "cell", F.ceil(F.col("n") / F.col("most")).cast("int").alias("subs")).coalesce(1), "cells")
     d = near(d.select("ns", "key", "h", "vector", F.posexplode("cells").alias("at", "cell")), size, ["ns", "cell"], size.count())
     mine = F.pmod(F.xxhash64("vector"), F.col("subs")).cast("int")
     d = d.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))

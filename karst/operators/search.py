@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,14 +85,16 @@ def batch_top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "co
     """
     k = clamp_k(k)
     nq, nc = queries.count(), corpus.count()
-    bq, bc = max(1, -(-nq // QUERY_BLOCK)), max(1, -(-nc // CORPUS_BLOCK))
+    tasks = queries.sparkSession.sparkContext.defaultParallelism
+    bc = max(1, -(-nc // CORPUS_BLOCK))
+    bq = max(1, -(-nq // QUERY_BLOCK), min(-(-nq // 128), -(-tasks // bc)))  # few queries are cut smaller, so that all cores have some
     block = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
     q = queries.select(block(bq).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(bc - 1))).alias("j"), F.lit(True).alias("asks"), F.col("key"), "vector")
     c = corpus.select(F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("i"), block(bc).alias("j"), F.lit(False).alias("asks"), F.col("key"), "vector")
     kind = dict(queries.dtypes)["key"]
 
     def product(t: pa.Table) -> pa.Table:
-        t = t.filter(pa.compute.is_valid(t["vector"]))
+        t = t.filter(pc.is_valid(t["vector"]))
         t = t.sort_by("key")
         keys, vectors, asks = t["key"].combine_chunks(), t["vector"].combine_chunks(), t["asks"].to_numpy()
         dims = vectors.value_lengths().to_numpy(zero_copy_only=False)
@@ -114,11 +117,15 @@ def batch_top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "co
                     for r, name in enumerate(names_a[s : s + 512]):
                         if name in place:
                             score[r, place[name]] = -np.inf
-                # All rows as good as the k-th stay, then the smaller keys of those (rows are in order of key).
-                by = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                r, p = np.nonzero(np.take_along_axis(score, by, 1) > -np.inf)
-                at = by[r, p]
-                out.append((a[s + r], b[at], score[r, at]))
+                # All as good as the k-th stay; of equal ones the smaller keys (rows are in order of key).
+                m = min(k, score.shape[1])
+                bar = np.partition(score, score.shape[1] - m, axis=1)[:, score.shape[1] - m]
+                r, p = np.nonzero((score >= bar[:, None]) & (score > -np.inf))
+                by = np.lexsort((p, -score[r, p], r))
+                r, p = r[by], p[by]
+                few = np.arange(len(r)) - np.searchsorted(r, r) < k
+                r, p = r[few], p[few]
+                out.append((a[s + r], b[p], score[r, p]))
         if not out:
             return pa.table({"query": keys[:0], "key": keys[:0], "score": pa.array([], pa.float64())})
         a, b, v = (np.concatenate(z) for z in zip(*out))
@@ -142,6 +149,12 @@ def reindex_report(entries: DataFrame, ns: str = "vec:") -> DataFrame:
     return d.join(dim, F.lit(True)).groupBy("dim").agg(F.sum((F.col("n") == F.col("dim")).cast("int")).alias("inserted"), F.sum((F.col("n") != F.col("dim")).cast("int")).alias("skipped"))
 
 
+def namespace_metrics(entries: DataFrame) -> DataFrame:
+    """(ns, metric, metrics) of each namespace of (key, metric): its smallest metric and how many it has; more than one is a conflict. Null metrics count as none."""
+    d = entries.filter("key is not null").select(F.regexp_extract("key", r"(?s)^(.*:)", 1).alias("ns"), F.lower(F.trim("metric")).alias("metric"))
+    return d.groupBy("ns").agg(F.min("metric").alias("metric"), F.count_distinct("metric").alias("metrics"))
+
+
 def insert_batch(entries: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected with a reason) of a batch (key, vector, ...): an unusable length or a write-once key is rejected."""
     ns = F.regexp_extract("key", r"(?s)^(.*:)", 1)

@@ -166,6 +166,11 @@ def vnsdrop_counts(spark, d):
     return search.drop_namespace(entries(spark, d), "vec:1")[1]
 
 
+@query("select regexp_extract(key, '^(.*:)', 1) as ns, min(lower(trim(metric))) as metric, count(distinct lower(trim(metric))) as metrics from vector where key is not null group by 1")
+def namespace_metrics(spark, d):
+    return search.namespace_metrics(table(spark, d, "vector"))
+
+
 @query(f"with {_E}, s as (select a.key as query, b.key as key, a.vec_id, round(list_cosine_similarity(a.v, b.v), 6) as score, {_HAM.replace('v, qv', 'a.v, b.v')} as ham from e a, e b where a.vec_id < 20 and a.key <> b.key), x as (select *, row_number() over (partition by query order by score desc, key) as r1, row_number() over (partition by query order by ham desc, key) as r2 from s) select query, count(*) filter (r1 <= 10 and r2 <= 100) / 10.0 as recall from x group by query")
 def recall_at_k(spark, d):
     e = entries(spark, d)
@@ -508,7 +513,13 @@ def pubsub_filtered(spark, d):
     return _run(bus.filtered(e, "click", "k>70"), "pubsub")
 
 
-_W = "with m as (select max(ts) as m from events), w as (select time_bucket(interval '1 hour', ts) as s, event_type from events) "
+_DERIVED = "with r as (select key, lower(trim(record_type)) as t, regexp_extract(key, '^(.*:)', 1) as ns from wal), c as (select case when t = 'vinsert' then ns || 'inserted' when t = 'vdelete' then ns || 'deleted' when t = 'set' and starts_with(key, 'mem:') and not ends_with(key, ':meta') then ns || 'added' when t = 'set' and starts_with(key, 'chat:') then 'chat:' || split_part(key, ':', 2) end as channel from r) select channel, count(*) as messages from c where channel is not null group by 1"
+
+
+@query(_DERIVED)
+def derived_channels(spark, d):
+    return bus.derived(table(spark, d, "wal")).groupBy("channel").agg(F.count(F.lit(1)).alias("messages"))
+
 
 
 @query("select epoch_ms(time_bucket(interval '1 hour', ts)) as start_ms, epoch_ms(time_bucket(interval '1 hour', ts)) + 3600000 as end_ms, event_type, count(*) as events from events group by all")

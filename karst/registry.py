@@ -136,6 +136,12 @@ def vsim(c, a: str, b: str, metric: str = "cosine"):
 def vinsert(c, rows: DataFrame, metric: str = "cosine"):
     if metric not in V.METRICS:
         raise ValueError(f"unknown metric {metric!r}")
+    ns = rows.select(F.regexp_extract("key", r"(?s)^(.*:)", 1).alias("ns")).distinct()
+    known = c.read("vector_namespaces", "ns string, metric string")
+    clash = known.join(ns, "ns").filter(F.col("metric") != metric).first()
+    if clash is not None:
+        raise ValueError(f"namespace {clash.ns} has metric {clash.metric}")
+    c.append("vector_namespaces", ns.join(known, "ns", "left_anti").select("ns", F.lit(metric).alias("metric")))
     old = c.read("vectors", VECTORS)
     ok, bad = search.insert_batch(old, rows)
     c.put("vectors", old.join(ok.select("key"), "key", "left_anti").unionByName(ok.select(old.columns)))

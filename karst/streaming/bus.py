@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from karst.functions.predicate import predicate
+from karst.operators.changes import record_kind
 from karst.operators.folds import TASK_EVENT, TASK_STATE, TaskFold
 
 MESSAGE = "channel string, message string, ts_ms long"
@@ -39,6 +40,21 @@ def filtered(d: DataFrame, channel: str | None = None, where: str | None = None)
     return d
 
 
+def derived(feed: DataFrame) -> DataFrame:
+    """The messages that the changes of a feed (record_type, key, timestamp) give rise to: <ns>inserted and <ns>deleted for
+    vectors, mem:<ns>:added for bodies of documents and chat:<room> for chat messages; batch or stream."""
+    kind, key = record_kind(F.col("record_type")), F.col("key")
+    ns = F.regexp_extract(key, r"(?s)^(.*:)", 1)
+    is_body = key.startswith("mem:") & ~key.endswith(":meta")
+    channel = (
+        F.when(kind == "vinsert", F.concat(ns, F.lit("inserted")))
+        .when(kind == "vdelete", F.concat(ns, F.lit("deleted")))
+        .when((kind == "set") & is_body, F.concat(ns, F.lit("added")))
+        .when((kind == "set") & key.startswith("chat:"), F.concat(F.lit("chat:"), F.split_part(key, F.lit(":"), F.lit(2))))
+    )
+    return feed.select(channel.alias("channel"), F.to_json(F.struct("key")).alias("message"), F.col("timestamp").alias("ts_ms")).filter("channel is not null")
+
+
 def run_once(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Processes what is there and ends; gives the sink's rows. Run again with the same checkpoint, it goes on from there."""
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink).awaitTermination()

@@ -195,6 +195,13 @@ def test_feed_files(spark, tmp_path):
         list(feed_files.frames(bytes(bad)))
 
 
+def test_derived_messages(spark):
+    from karst.streaming import bus
+
+    d = spark.createDataFrame([("vInsert ", "vec:n:1", 1), ("vdelete", "vec:n:1", 2), ("set", "mem:n:1", 3), ("set", "mem:n:1:meta", 4), ("SET", "chat:lobby:5:ab", 5), ("set", "kv:1", 6), ("set", None, 7), (None, "vec:n:1", 8)], "record_type string, key string, timestamp long")
+    assert [r.channel for r in bus.derived(d).orderBy("ts_ms").collect()] == ["vec:n:inserted", "vec:n:deleted", "mem:n:added", "chat:lobby"]
+
+
 def test_access(spark):
     d = spark.createDataFrame([("get", "mem:n:1"), ("get", "mem:x:1"), ("set", "mem:n:1"), ("get", None)], "op string, key string")
     got = d.select(access.allows(access.namespace_capabilities("n"), "op", "key").alias("ok")).collect()
@@ -217,6 +224,12 @@ def test_registry(spark):
     assert {r.k: r.v for r in call(c, "scan", prefix="").collect()} == {"a": "6", "b": "10"}
     call(c, "kv_put", key="w", value="1", now_ms=1, worm=True)
     assert call(c, "kv_put", key="w", value="2", now_ms=2).first().outcome == "worm"
+    v = spark.createDataFrame([("vec:a", [1.0, 0.0], False, 1), ("vec:b", [0.9, 0.1], True, 1), ("vec:c", [], False, 1)], VEC)
+    assert {r.key: r.outcome for r in call(c, "vinsert", rows=v).collect()} == {"vec:a": "inserted", "vec:b": "inserted", "vec:c": "empty"}
+    with pytest.raises(ValueError, match="has metric"):
+        call(c, "vinsert", rows=v, metric="l2")
+    assert keys(call(c, "vsearch", key="vec:a", k=1)) == ["vec:b"]
+    assert {r.key: r.outcome for r in call(c, "vdelete", keys=v.select("key")).collect()} == {"vec:a": "deleted", "vec:b": "worm", "vec:c": "missing"}
     call(c, "mem_init", ns="n", embedder="e")
     rows = spark.createDataFrame([("d1", "text one", '{"k":1}', [1.0, 0.0], 1), ("d2", "text two", None, [0.0, 1.0], 2)], "id string, text string, meta string, vector array<float>, ts_ms long")
     assert call(c, "mem_add", ns="n", rows=rows).count() == 2

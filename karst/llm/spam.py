@@ -90,10 +90,12 @@ def _entry(gap: str) -> bool:
     return bool(ENTRY.match(gap))
 
 
-def _links(t: str, words: list[str], gaps: list[str]) -> list[int]:
-    """The number of the link each word is part of, or -1."""
+def _links(t: str, words: list[str], gaps: list[str]) -> list[int] | None:
+    """The number of the link each word is part of, or -1; null where there is no link."""
     out, k, at = [], 0, 0
     spans = [m.span() for m in URL.finditer(t)]
+    if not spans:
+        return None
     for gap, w in zip(gaps, words):
         at += len(gap)
         while k < len(spans) and spans[k][1] <= at:
@@ -126,13 +128,17 @@ def measure(text: str | None, rule: Rule = Rule(), every: bool = True) -> dict[s
         last, first = dict(zip(words, range(n))), dict(zip(reversed(words), range(n - 1, -1, -1)))
         hot = {w for w in hot if (last[w] - first[w]) / (count[w] - 1) <= rule.gap}
 
-    kinds = {w: (w in hot) + 2 * (w in FUNCTION_WORDS) + 4 * (w in figures) + 8 * (c > 2) for w, c in count.items()}
+    kinds = dict.fromkeys(count, 0)
+    for bit, chosen_words in ((1, hot), (2, FUNCTION_WORDS & kinds.keys()), (4, figures), (8, [w for w, c in count.items() if c > 2])):
+        for w in chosen_words:
+            kinds[w] |= bit
     kind = np.fromiter(map(kinds.__getitem__, words), np.int8, n)
     is_hot, is_small, number = (kind & 1).astype(bool), (kind & 2).astype(bool), (kind & 4).astype(bool)
     join = np.fromiter(map(JOINS.__contains__, between), bool, n - 1) & ~number[1:] & ~number[:-1]
     low = t.lower()
-    link = np.array(_links(t, raw, gaps)) if any(x in low for x in ENDINGS) else None
+    link = _links(t, raw, gaps) if any(x in low for x in ENDINGS) else None
     if link is not None:
+        link = np.array(link)
         join &= link[1:] == link[:-1]
 
     # Stretches of joined words, and in them three that come again.

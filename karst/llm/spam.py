@@ -9,7 +9,6 @@ of its characters that such phrases, links with them and list entries cover. No
 
 from __future__ import annotations
 
-import re as stdlib_re
 import unicodedata
 from collections import Counter, defaultdict
 from dataclasses import dataclass
@@ -39,9 +38,30 @@ TAG = re.compile(r"</?[a-zA-Z!?][^<>]*>")
 KEPT = re.compile(r"""(?:href|src|content|title|alt)\s*=\s*(?:"([^"]*)"|'([^']*)'|(\S+))""", re.I)
 URL = re.compile(r"(?:https?://|www\.)[^\s<>\"'()\[\]]+|[\w-]+(?:\.[\w-]+)*\.(?:com|net|org|info|biz|shop|example|test|invalid)\b[^\s<>\"'()\[\]]*", re.I)
 ENDINGS = ("http", "www.", ".com", ".net", ".org", ".info", ".biz", ".shop", ".example", ".test", ".invalid")  # every URL has one
-WORD = re.compile(r"(\p{Lu}?[\p{Ll}\p{M}\p{Lo}]+|\p{Lu}+(?!\p{Ll})|\d+)")
-ASCII_WORD = stdlib_re.compile(r"([A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+)")  # the same for plain ASCII, faster
-JOINS, SPACES = frozenset(["", "-", "_", "+", " ", "  "]), frozenset([" ", "  "])
+OTHER, LOWER, UPPER, DIGIT = range(4)
+JOINS = np.isin(np.arange(128), [ord(c) for c in "-_+ "])  # characters that join words to a phrase
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """The class of each code point: small and caseless letters with their marks, capitals, decimal digits."""
+    kinds = {"Ll": LOWER, "Lo": LOWER, "Mn": LOWER, "Mc": LOWER, "Me": LOWER, "Lu": UPPER, "Nd": DIGIT}
+    return np.array([kinds.get(unicodedata.category(chr(c)), OTHER) for c in range(0x30000)], np.int8)
+
+
+def _words(t: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text's code points, and begin and end of its words: runs of digits, of capitals, or of letters with at most one capital, the first."""
+    points = np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32)
+    table = _classes()
+    c = np.zeros(len(points) + 2, np.int8)
+    c[1:-1] = table[np.minimum(points, len(table) - 1)]
+    here, before, after = c[1:-1], c[:-2], c[2:]
+    begins = ((here == DIGIT) & (before != DIGIT)) | ((here == LOWER) & (before != LOWER) & (before != UPPER)) | ((here == UPPER) & ((before != UPPER) | (after == LOWER)))
+    begin = np.flatnonzero(begins)
+    ends = (here != OTHER) & ((after == OTHER) | np.append(begins[1:], True))
+    return points, begin, np.flatnonzero(ends) + 1
+
+
 ENTRY = re.compile(r"^\s*[/|,;•>]?\s*$")
 WINDOWS = ((1, 8), (9, 32), (33, 128))
 FEATURES = ("words", "covered", "repeated", "regular", "mixing", "phrase_length", "sentences", "function_words", "numbers")
@@ -90,31 +110,25 @@ def _entry(gap: str) -> bool:
     return bool(ENTRY.match(gap))
 
 
-def _links(t: str, words: list[str], gaps: list[str]) -> list[int] | None:
-    """The number of the link each word is part of, or -1; null where there is no link."""
-    out, k, at = [], 0, 0
-    spans = [m.span() for m in URL.finditer(t)]
-    if not spans:
+def _links(t: str, begin: np.ndarray) -> np.ndarray | None:
+    """The number of the link each word begins in, or -1; null where there is no link."""
+    spans = np.array([m.span() for m in URL.finditer(t)])
+    if not len(spans):
         return None
-    for gap, w in zip(gaps, words):
-        at += len(gap)
-        while k < len(spans) and spans[k][1] <= at:
-            k += 1
-        out.append(k if k < len(spans) and spans[k][0] <= at else -1)
-        at += len(w)
-    return out
+    k = np.searchsorted(spans[:, 0], begin, "right") - 1
+    return np.where((k >= 0) & (spans[np.maximum(k, 0), 1] > begin), k, -1)
 
 
 def measure(text: str | None, rule: Rule = Rule(), every: bool = True) -> dict[str, float] | None:
     """The features of a text; null where it has fewer than eight words, or, without ``every``, where those found first rule spam out."""
     t = _plain(text) if text else ""
-    parts = (ASCII_WORD if t.isascii() else WORD).split(t)
-    gaps, raw = parts[::2], parts[1::2]
-    n = len(raw)
+    points, begins, ends = _words(t)
+    n = len(begins)
     if n < 8:
         return None
-    words, size = list(map(str.lower, raw)), np.fromiter(map(len, raw), np.int64, n)
-    between = gaps[1:-1]
+    low, size = t.lower(), ends - begins
+    at = list(zip(begins.tolist(), ends.tolist()))
+    words = [low[a:b] for a, b in at] if len(low) == len(t) else [t[a:b].lower() for a, b in at]
     count = Counter(words)
     figures = {w for w in count if w.isdigit() and not (len(w) == 4 and w[:2] in ("19", "20"))}
     numbers = sum(count[w] for w in figures) / n
@@ -134,11 +148,12 @@ def measure(text: str | None, rule: Rule = Rule(), every: bool = True) -> dict[s
             kinds[w] |= bit
     kind = np.fromiter(map(kinds.__getitem__, words), np.int8, n)
     is_hot, is_small, number = (kind & 1).astype(bool), (kind & 2).astype(bool), (kind & 4).astype(bool)
-    join = np.fromiter(map(JOINS.__contains__, between), bool, n - 1) & ~number[1:] & ~number[:-1]
-    low = t.lower()
-    link = _links(t, raw, gaps) if any(x in low for x in ENDINGS) else None
+    gap, first_of, last_of = begins[1:] - ends[:-1], points[np.minimum(ends[:-1], len(points) - 1)], points[begins[1:] - 1]
+    space = (gap == 1) & (first_of == 32) | (gap == 2) & (first_of == 32) & (last_of == 32)
+    join = (gap == 0) | space | (gap == 1) & JOINS[np.minimum(first_of, 127)]
+    join &= ~number[1:] & ~number[:-1]
+    link = _links(t, begins) if any(x in low for x in ENDINGS) else None
     if link is not None:
-        link = np.array(link)
         join &= link[1:] == link[:-1]
 
     # Stretches of joined words, and in them three that come again.
@@ -154,7 +169,7 @@ def measure(text: str | None, rule: Rule = Rule(), every: bool = True) -> dict[s
 
     sums = np.zeros((4, n + 1), np.int64)
     np.cumsum([is_hot, is_small, size], axis=1, out=sums[:3, 1:])
-    np.cumsum(np.fromiter(map(SPACES.__contains__, between), bool, n - 1), out=sums[3, 1:-1])
+    np.cumsum(space, out=sums[3, 1:-1])
     sums[3, -1] = sums[3, -2]
     hot_in, small_in, size_in = sums[:3, end] - sums[:3, begin]
     spaces_in = sums[3, end - 1] - sums[3, begin]
@@ -169,12 +184,12 @@ def measure(text: str | None, rule: Rule = Rule(), every: bool = True) -> dict[s
     phrase, listed = [], []  # positions
     for a, b, spaced in zip(begin[is_phrase].tolist(), end[is_phrase].tolist(), spaces_in[is_phrase].tolist()):
         phrase += range(a, b)
-        if spaced or link is not None and link[a] >= 0 or gaps[a][-1:] == "#":
+        if spaced or link is not None and link[a] >= 0 or at[a][0] and t[at[a][0] - 1] == "#":
             listed += range(a, b)
     alone = ~joined[1:] & ~joined[:-1] & is_hot
     for i in np.flatnonzero(alone[1:-1]).tolist():
         i += 1
-        if _entry(between[i - 1]) and _entry(between[i]):
+        if _entry(t[at[i - 1][1] : at[i][0]]) and _entry(t[at[i][1] : at[i + 1][0]]):
             listed.append(i)
 
     total = int(size[~number].sum()) or 1

@@ -36,7 +36,7 @@ al como con cada del desde después dos el ella ellos entre era es esta está es
 HIDDEN = re.compile("[​-‏⁠﻿­]|(?<=[\\p{L}\\d])[·•*|~^¦](?=[\\p{L}\\d])")  # characters put into words
 TAG = re.compile(r"</?[a-zA-Z!?][^<>]*>")
 KEPT = re.compile(r"""(?:href|src|content|title|alt)\s*=\s*(?:"([^"]*)"|'([^']*)'|(\S+))""", re.I)
-URL = re.compile(r"(?:https?://|www\.)[^\s<>\"'()\[\]]+|[\w-]+(?:\.[\w-]+)*\.(?:com|net|org|info|biz|shop|example|test|invalid)\b[^\s<>\"'()\[\]]*", re.I)
+URL = re.compile(r"(?:https?://|www\.)[^\s<>\"'()\[\]]+|(?<![\w-])[\w-]+(?:\.[\w-]+)*\.(?:com|net|org|info|biz|shop|example|test|invalid)\b[^\s<>\"'()\[\]]*", re.I)
 ENDINGS = ("http", "www.", ".com", ".net", ".org", ".info", ".biz", ".shop", ".example", ".test", ".invalid")  # every URL has one
 OTHER, LOWER, UPPER, DIGIT = range(4)
 JOINS = np.isin(np.arange(128), [ord(c) for c in "-_+ "])  # characters that join words to a phrase

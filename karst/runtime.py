@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+PACKAGE = Path(__file__).resolve().parent
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers: where it is on neither PYTHONPATH nor in the working folder, it is sent along, once per application."""
+    sc, root = spark.sparkContext, str(PACKAGE.parent)
+    found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if sc.applicationId in _SHIPPED or any(x and os.path.realpath(x) == os.path.realpath(root) for x in found):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="karst-"), "karst.zip")  # the driver's; it serves the file to the executors
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(PACKAGE.rglob("*.py")):
+            z.write(f, f.relative_to(PACKAGE.parent))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; one of our own only where the session names none."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from karst.operators.changes import replay
 from karst.operators.kv import overlay
-from karst.runtime import written
+from karst.runtime import ship, written
 
 KV = "key string, value string, ts_ms long, is_worm boolean"
 
@@ -83,6 +83,9 @@ class Catalog:
     configs: dict[str, object] = field(default_factory=dict)
     durable: bool = True
 
+    def __post_init__(self) -> None:
+        ship(self.spark)
+
     def read(self, name: str, schema: str = KV) -> DataFrame:
         d = self.tables.get(name)
         if name in self.layers:

@@ -94,8 +94,13 @@ def far_pair(a: np.ndarray, b: np.ndarray, at: float) -> bool:
     return any((np.round(a[i : i + BLOCK] @ b[j : j + BLOCK].T, 9) < at).any() for i in range(0, len(a), BLOCK) for j in range(0, len(b), BLOCK))
 
 
-def near_pair(a: np.ndarray, b: np.ndarray, at: float) -> bool:
-    return any((np.round(a[i : i + BLOCK] @ b[j : j + BLOCK].T, 9) >= at).any() for i in range(0, len(a), BLOCK) for j in range(0, len(b), BLOCK))
+def near_rows(a: np.ndarray, b: np.ndarray, at: float) -> np.ndarray:
+    """Which rows of b have a cosine of at least ``at`` to any row of a."""
+    out = np.zeros(len(b), bool)
+    for i in range(0, len(a), BLOCK):
+        for j in range(0, len(b), BLOCK):
+            out[j : j + BLOCK] |= (np.round(a[i : i + BLOCK] @ b[j : j + BLOCK].T, 9) >= at).any(0)
+    return out
 
 
 def angles_to_mean(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,25 +142,30 @@ def shard_clusters(t: pa.Table, at: float) -> pa.Table:
     score, tight = np.ones(len(t)), np.ones(len(t), bool)
     loose = np.zeros(len(first), bool)
     loose[root[touches]] = True
-    big, centre = [], []
-    for g in groups:
+    radius, centre = np.zeros(len(groups)), np.empty((len(groups), x.shape[1]))
+    for k, g in enumerate(groups):
         if len(g) > 1:
             score[g], angle = angles_to_mean(x[g])
             if not all_similar(x[g], at):
                 loose[cluster[g[0]]] = True
-            if len(g) > 2:
-                big.append((g, angle.max()))
-                centre.append(x[g].mean(0))
-    if len(big) > 1:  # clusters in which no row knows one of the other, but which may reach each other
-        c = np.array(centre)
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        radius = np.array([r for _, r in big])
-        for i in range(0, len(c), BLOCK):
-            apart = np.arccos(np.clip(c[i : i + BLOCK] @ c.T, -1, 1))
-            for a, b in zip(*np.nonzero(apart <= np.arccos(at) + radius[i : i + BLOCK, None] + radius[None])):
-                a += i
-                if a < b and near_pair(x[big[a][0]], x[big[b][0]], at):
-                    loose[cluster[big[a][0][0]]] = loose[cluster[big[b][0][0]]] = True
+            radius[k] = angle.max()
+        centre[k] = x[g].mean(0)
+    # Clusters in which no row knows one of another, but which may reach each other.
+    centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
+    number = np.empty(len(t), np.int64)
+    number[by] = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    open_ = [k for k, g in enumerate(groups) if len(g) > 2 and not loose[cluster[g[0]]]]
+    step = max(1, (1 << 23) // len(groups))
+    for i in range(0, len(open_), step):
+        some = open_[i : i + step]
+        reach = np.arccos(np.clip(centre[some] @ centre.T, -1, 1)) <= np.arccos(at) + radius[some, None] + radius[None] + 1e-6
+        for k, near in zip(some, reach):
+            near[k] = False
+            rows = np.flatnonzero(near[number]) if near.any() else []
+            if len(rows):
+                rows = rows[near_rows(x[groups[k]], x[rows], at)]
+            if len(rows):
+                loose[cluster[rows]] = loose[cluster[groups[k][0]]] = True
     tight = ~loose[cluster]
     keys = t["key"].combine_chunks()
     return pa.table({"ns": t["ns"], "key": keys, "pivot": keys.take(pa.array(head[cluster])), "score": score, "tight": tight})
@@ -198,11 +208,72 @@ def _with_cos(d: DataFrame, other: str, name: str) -> DataFrame:
     return d.mapInArrow(work, out)
 
 
+def _meet(left: DataFrame, right: DataFrame, at: float, shard_rows: int, work, out: str) -> DataFrame:
+    """``work`` on blocks in which each row of ``left`` (ns, key, pivot, vector) meets every row of ``right`` (the same and its cell) with a cosine of at least ``at``.
+
+    A row visits the cells whose centre is no further from it than the limit and the cell's radius together, so none is
+    missed; cells and visitors are cut into blocks. The centres (two per ``shard_rows``) are all that reaches the driver.
+    """
+    mean = written(_sums(right.select("ns", F.col("cell").cast("string").alias("pivot"), "vector")).select("ns", F.col("pivot").cast("int").alias("cell"), "n", "mean"), "centres")
+    far = _with_cos(right.join(mean.select("ns", "cell", "mean"), ["ns", "cell"]).select("ns", "cell", "vector", "mean"), "mean", "dot").withColumn("norm", F.sqrt(F.aggregate("mean", F.lit(0.0), lambda a, b: a + b * b)))
+    angle = F.when(F.col("norm") > 1e-9, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("dot") / F.col("norm"))))).otherwise(F.lit(float(np.pi)))
+    block = F.ceil(F.min(row_limit(shard_rows)) / 4).alias("block")
+    reach = far.groupBy("ns", "cell").agg(F.max(angle).alias("radius"), block)
+    cells: dict[str, list] = {}
+    for r in mean.join(reach, ["ns", "cell"]).collect():
+        cells.setdefault(r.ns, []).append((r.cell, -(-r.n // r.block), r.radius, np.array(r["mean"])))
+    plan = right.sparkSession.sparkContext.broadcast({ns: (np.array([c[0] for c in v]), np.array([c[1] for c in v]), np.array([c[2] for c in v]), unit(np.array([c[3] for c in v]))[0]) for ns, v in cells.items()})
+
+    def visit(batches):
+        for b in batches:
+            ns = np.array(b["ns"].to_pylist(), object)
+            to: list = [[]] * len(ns)
+            for one in set(ns):
+                if one not in plan.value:
+                    continue
+                rows = np.flatnonzero(ns == one)
+                cell, parts, radius, centre = plan.value[one]
+                near = np.arccos(np.clip(unit(to_matrix(b["vector"].take(pa.array(rows))))[0] @ centre.T, -1, 1)) <= np.arccos(at) + radius + 1e-6
+                for i, m in zip(rows, near):
+                    to[i] = [{"cell": int(c), "parts": int(p)} for c, p in zip(cell[m], parts[m])]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to, pa.list_(pa.struct([("cell", pa.int32()), ("parts", pa.int32())])))], [*b.schema.names, "to"])
+
+    v = written(left.select("ns", "key", "pivot", "vector").mapInArrow(visit, "ns string, key string, pivot string, vector array<float>, to array<struct<cell: int, parts: int>>"), "visits")
+    v = v.select("ns", "key", "pivot", "vector", F.explode("to").alias("to")).select("ns", "key", "pivot", "vector", "to.cell", "to.parts")
+    sides = written(v.groupBy("ns", "cell").agg(F.ceil(F.count(F.lit(1)) / F.ceil(F.min(row_limit(shard_rows)) / 4)).cast("int").alias("sides"), F.max("parts").alias("parts")), "sides")
+    h = F.xxhash64("key", F.lit(5))
+    a = v.join(sides.select("ns", "cell", "sides"), ["ns", "cell"]).select("ns", "cell", F.pmod(h, "sides").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(True).alias("left"), "key", "pivot", "vector")
+    b = right.join(sides, ["ns", "cell"]).select("ns", "cell", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("i"), F.pmod(h, "parts").cast("int").alias("j"), F.lit(False).alias("left"), "key", "pivot", "vector")
+
+    def run(t: pa.Table) -> pa.Table:
+        side = t["left"].to_numpy()
+        if side.all() or not side.any():
+            return work(t[:0], t[:0], np.zeros((0, 1)), np.zeros((0, 1)))
+        a, b = t.filter(pa.array(side)), t.filter(pa.array(~side))
+        return work(a, b, unit(to_matrix(a["vector"]))[0], unit(to_matrix(b["vector"]))[0])
+
+    return a.unionByName(b).groupBy("ns", "cell", "i", "j").applyInArrow(run, out)
+
+
+def _touching(left: DataFrame, right: DataFrame, at: float, shard_rows: int) -> DataFrame:
+    """(ns, pivot) of the clusters of ``left`` with a row similar to one of another cluster in ``right``."""
+
+    def work(a: pa.Table, b: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
+        of, name = a["pivot"].to_numpy(zero_copy_only=False), b["pivot"].to_numpy(zero_copy_only=False)
+        bad = set()
+        for i in range(0, len(a), BLOCK):
+            r, c = np.nonzero(np.round(x[i : i + BLOCK] @ y.T, 9) >= at)
+            bad |= set(of[i + r[of[i + r] != name[c]]])
+        return pa.table({"ns": pa.array([a["ns"][0].as_py()] * len(bad) if bad else [], pa.string()), "pivot": pa.array(sorted(bad), pa.string())})
+
+    return _meet(left, right, at, shard_rows, work, "ns string, pivot string").distinct()
+
+
 def _across(several: DataFrame, rows: DataFrame, at: float, shard_rows: int) -> DataFrame:
     """Clusters of namespaces of several shards: rounds over the pivots of the shards, as joins of tables in the shared folder."""
     home = several.filter("home")
     own = home.groupBy("ns", "cell", "sub").applyInArrow(lambda t: shard_clusters(t, at), OUT)
-    local = written(own.select("ns", "key", "pivot").join(home.select("ns", "key", "vector"), ["ns", "key"]), "local")
+    local = written(own.select("ns", "key", "pivot").join(home.select("ns", "key", "cell", "vector"), ["ns", "key"]), "local")
     sized = lambda d: d.join(d.groupBy("ns").agg(F.count(F.lit(1)).alias("n")), "ns")
     active = written(local.filter("key = pivot").select("ns", "key", "vector"), "active")
     roots = active.select("ns", F.col("key").alias("pivot"), F.col("key").alias("root"))
@@ -222,9 +293,9 @@ def _across(several: DataFrame, rows: DataFrame, at: float, shard_rows: int) ->
     d = local.join(roots, ["ns", "pivot"]).drop("pivot").withColumnRenamed("root", "pivot")
     heads = local.select("ns", F.col("key").alias("pivot"), F.col("vector").alias("head"))
     d = _with_cos(d.join(heads, ["ns", "pivot"]), "head", "c")
-    d = written(d.select("ns", "key", "vector", F.when(F.round("c", 9) >= at, F.col("pivot")).otherwise(F.col("key")).alias("pivot")), "members")
+    d = written(d.select("ns", "key", "cell", "vector", F.when(F.round("c", 9) >= at, F.col("pivot")).otherwise(F.col("key")).alias("pivot")), "members")
     mean = written(_sums(d), "means")
-    d = written(_with_cos(d.join(mean, ["ns", "pivot"]).select("ns", "key", "vector", "pivot", "n", "mean"), "mean", "score").withColumn("norm", F.sqrt(F.aggregate("mean", F.lit(0.0), lambda a, b: a + b * b))).drop("mean"), "scored")
+    d = written(_with_cos(d.join(mean, ["ns", "pivot"]).select("ns", "key", "cell", "vector", "pivot", "n", "mean"), "mean", "score").withColumn("norm", F.sqrt(F.aggregate("mean", F.lit(0.0), lambda a, b: a + b * b))).drop("mean"), "scored")
     # Pairs whose angles to the mean add up to more than the limit, in a grid of blocks.
     limit = float(np.arccos(at)) - 1e-6
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score") / F.greatest("norm", F.lit(1e-12)))))
@@ -246,7 +317,11 @@ def _across(several: DataFrame, rows: DataFrame, at: float, shard_rows: int) ->
     of = d.select("ns", "key", "pivot")
     edge = most_similar(sized(rows.select("ns", "key", "vector")), K, at, shard_rows=shard_rows).select("ns", "key", "other")
     ends = edge.join(of, ["ns", "key"]).join(of.select("ns", F.col("key").alias("other"), F.col("pivot").alias("p2")), ["ns", "other"]).filter("pivot <> p2")
-    loose = bad.unionByName(ends.select("ns", "pivot")).unionByName(ends.select("ns", F.col("p2").alias("pivot"))).distinct().withColumn("loose", F.lit(True))
+    loose = written(bad.unionByName(ends.select("ns", "pivot")).unionByName(ends.select("ns", F.col("p2").alias("pivot"))).distinct(), "loose")
+    # The graph knows K neighbours of a row: clusters that still seem isolated meet all rows that may be similar. Copies meet once.
+    left = d.filter("n > 2").join(loose, ["ns", "pivot"], "left_anti")
+    once = lambda x, *c: x.groupBy("ns", *c, "pivot", "vector").agg(F.min("key").alias("key"))
+    loose = loose.unionByName(_touching(once(left), once(d, "cell"), at, shard_rows)).withColumn("loose", F.lit(True))
     return d.join(loose, ["ns", "pivot"], "left").select("ns", "key", "pivot", "score", F.col("loose").isNull().alias("tight"))
 
 

@@ -147,3 +147,21 @@ def test_shards_index_every_row_once(spark):
 def test_long_vectors_have_smaller_shards(spark):
     d = spark.createDataFrame([([1.0] * n,) for n in (64, 1536, 100_000)], "vector array<float>")
     assert [r.m for r in d.select(vectors.row_limit(vectors.SHARD_ROWS).alias("m")).collect()] == [32_768, 2_730, 64]
+
+
+def bridged(n=24, dim=16):
+    """Two dense groups, of which one row each is similar to one of the other but has more than 16 nearer ones, and a group apart."""
+    rng = np.random.default_rng(4)
+    angle = lambda a: np.eye(dim)[0] * np.cos(a) + np.eye(dim)[1] * np.sin(a)
+    a = [angle(0.0) + 0.01 * rng.standard_normal(dim) for _ in range(n)] + [angle(0.16)]
+    b = [angle(0.92) + 0.01 * rng.standard_normal(dim) for _ in range(n)] + [angle(0.76)]
+    c = [np.eye(dim)[5] + 0.01 * rng.standard_normal(dim) for _ in range(n)]
+    rows = [(f"a:{g}{i:02}", [float(v) for v in r], 10) for g, x in (("a", a), ("b", b), ("c", c)) for i, r in enumerate(x)]
+    return [(i, "insert", k, v, t, None, 1) for i, (k, v, t) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("shard_rows", [32_768, 30])
+def test_dense_groups_that_touch_beyond_their_nearest_rows(spark, shard_rows):
+    rows = bridged()
+    got = {tuple(r) for r in clusters.tight_clusters(spark.createDataFrame(rows, OPS), shard_rows=shard_rows).collect()}
+    assert got == true_clusters([(k, v, t) for _, _, k, v, t, *_ in rows]) and len(got) == 24

@@ -56,10 +56,8 @@ def links(x: np.ndarray, nodes: np.ndarray, at: float, k: int = K) -> tuple[np.n
     return code[0] // len(x), code[0] % len(x), both
 
 
-def pivot_clusters(x: np.ndarray, rank: np.ndarray, at: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pivot of each unit row, and whether the row has a similar row in another cluster (as far as the graph knows)."""
-    parent = np.arange(len(x))
-    nodes = np.arange(len(x))
+def choose(x: np.ndarray, nodes: np.ndarray, rank: np.ndarray, parent: np.ndarray, at: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Rounds among ``nodes``, then among their pivots, until the graph knows no similar two; returns the first links."""
     every = None
     while len(nodes) > 1:
         u, v, cos = links(x, nodes, at)
@@ -70,18 +68,44 @@ def pivot_clusters(x: np.ndarray, rank: np.ndarray, at: float) -> tuple[np.ndarr
         rounds(rank, u, v, cos, parent)
         nodes = np.unique(u)  # a node without a similar one is done
         nodes = nodes[parent[nodes] == nodes]
-    root = parent
-    while not np.array_equal(root[root], root):
-        root = root[root]
-    # Members go to the closest pivot.
-    lost = np.flatnonzero(exact(x, np.arange(len(x)), root) < at)
-    if len(lost):
-        heads = np.unique(root)
-        for i in range(0, len(lost), BLOCK):
-            rows = lost[i : i + BLOCK]
-            s = np.round(x[rows] @ x[heads].T, 9)
-            best = s.argmax(1)
-            root[rows] = np.where(s[np.arange(len(rows)), best] >= at, heads[best], rows)
+    return every
+
+
+def closest(x: np.ndarray, x32: np.ndarray, rows: np.ndarray, heads: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The head with the greatest cosine to each of ``rows``, of equal ones (9 digits) that of the smallest rank, and the cosine."""
+    head, cos = np.empty(len(rows), np.int64), np.empty(len(rows))
+    step = max(16, (1 << 23) // len(heads))
+    for i in range(0, len(rows), step):
+        some = rows[i : i + step]
+        s = x32[some] @ x32[heads].T
+        r, c = np.nonzero(s >= s.max(1, keepdims=True) - 1e-5)  # within the error of float32
+        e = exact(x, some[r], heads[c])
+        by = np.lexsort((rank[heads[c]], -e, r))
+        first = by[np.r_[True, r[by][1:] != r[by][:-1]]]
+        head[i : i + step], cos[i : i + step] = heads[c[first]], e[first]
+    return head, cos
+
+
+def pivot_clusters(x: np.ndarray, rank: np.ndarray, at: float) -> tuple[np.ndarray, np.ndarray]:
+    """The closest pivot of each unit row, and whether the row has a similar row in another cluster (as far as the graph knows)."""
+    parent = np.arange(len(x))
+    every = choose(x, np.arange(len(x)), rank, parent, at)
+    x32 = x.astype(np.float32)
+    root, best = np.arange(len(x)), np.full(len(x), -np.inf)
+    heads, rest = np.flatnonzero(parent == root), np.flatnonzero(parent != root)
+    while len(rest):
+        head, cos = closest(x, x32, rest, heads, rank)
+        nearer = (cos > best[rest]) | (cos == best[rest]) & (rank[head] < rank[root[rest]])
+        root[rest[nearer]], best[rest[nearer]] = head[nearer], cos[nearer]
+        lost = rest[best[rest] < at]
+        if not len(lost):
+            break
+        # No pivot is similar to these: they have rounds of their own, and every member may go to their pivots.
+        parent[lost] = lost
+        choose(x, lost, rank, parent, at)
+        heads = lost[parent[lost] == lost]
+        root[heads] = heads
+        rest = np.setdiff1d(rest, heads)
     touches = np.zeros(len(x), bool)
     if every is not None:
         u, v = every
@@ -269,31 +293,67 @@ def _touching(left: DataFrame, right: DataFrame, at: float, shard_rows: int) ->
     return _meet(left, right, at, shard_rows, work, "ns string, pivot string").distinct()
 
 
-def _across(several: DataFrame, rows: DataFrame, at: float, shard_rows: int) -> DataFrame:
-    """Clusters of namespaces of several shards: rounds over the pivots of the shards, as joins of tables in the shared folder."""
-    home = several.filter("home")
-    own = home.groupBy("ns", "cell", "sub").applyInArrow(lambda t: shard_clusters(t, at), OUT)
-    local = written(own.select("ns", "key", "pivot").join(home.select("ns", "key", "cell", "vector"), ["ns", "key"]), "local")
-    sized = lambda d: d.join(d.groupBy("ns").agg(F.count(F.lit(1)).alias("n")), "ns")
-    active = written(local.filter("key = pivot").select("ns", "key", "vector"), "active")
-    roots = active.select("ns", F.col("key").alias("pivot"), F.col("key").alias("root"))
+def _closest(left: DataFrame, right: DataFrame, at: float, shard_rows: int) -> DataFrame:
+    """(ns, key, pivot, cos): the pivots of ``right`` with the greatest cosine to each row of ``left``, of at least ``at``, in each block they meet in."""
+
+    def work(a: pa.Table, b: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
+        rows, found, cos = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
+        for i in range(0, len(a), BLOCK):
+            s = np.round(x[i : i + BLOCK] @ y.T, 9)
+            r, c = np.nonzero((s >= at) & (s == s.max(1, keepdims=True)))
+            rows.append(i + r)
+            found.append(c)
+            cos.append(s[r, c])
+        r, c = pa.array(np.concatenate(rows)), pa.array(np.concatenate(found))
+        return pa.table({"ns": a["ns"].take(r), "key": a["key"].take(r), "pivot": b["key"].take(c), "cos": np.concatenate(cos)})
+
+    return _meet(left, right, at, shard_rows, work, "ns string, key string, pivot string, cos double")
+
+
+def _sized(d: DataFrame) -> DataFrame:
+    return d.join(d.groupBy("ns").agg(F.count(F.lit(1)).alias("n")), "ns")
+
+
+def _pivots(active: DataFrame, at: float, shard_rows: int) -> DataFrame:
+    """(ns, key) of the rows of ``active`` (ns, key, vector) that stay pivots after rounds until the graph knows no similar two."""
+    taken_ = active.select("ns", "key").limit(0)
+    every = active.select("ns", "key")
     h = lambda c: F.struct(F.xxhash64(c), F.col(c))
     while True:
-        edge = written(most_similar(sized(active), K, at, shard_rows=shard_rows).select("ns", "key", "other", "cos"), "edges")
+        edge = written(most_similar(_sized(active), K, at, shard_rows=shard_rows).select("ns", "key", "other", "cos"), "edges")
         if edge.isEmpty():
-            break
+            return written(every.join(taken_, ["ns", "key"], "left_anti"), "pivots")
         edge = edge.unionByName(edge.select("ns", F.col("other").alias("key"), F.col("key").alias("other"), "cos")).distinct()
         least = edge.groupBy("ns", "key").agg(F.min(h("other")).alias("least"))
         role = written(least.select("ns", "key", (h("key") < F.col("least")).alias("is_pivot")), "roles")
         heads = role.filter("is_pivot").select("ns", F.col("key").alias("other"))
-        taken = edge.join(role.filter("not is_pivot"), ["ns", "key"]).join(heads, ["ns", "other"])
-        moves = written(taken.groupBy("ns", "key").agg(F.max(F.struct("cos", "other")).alias("m")).select("ns", "key", F.col("m.other").alias("to")), "moves")
-        roots = written(roots.join(moves.select("ns", F.col("key").alias("root"), "to"), ["ns", "root"], "left").select("ns", "pivot", F.coalesce("to", "root").alias("root")), "roots")
+        moves = written(edge.join(role.filter("not is_pivot"), ["ns", "key"]).join(heads, ["ns", "other"]).select("ns", "key").distinct(), "moves")
+        taken_ = taken_.unionByName(moves)
         active = written(active.join(role.select("ns", "key"), ["ns", "key"], "left_semi").join(moves, ["ns", "key"], "left_anti"), "active")
-    d = local.join(roots, ["ns", "pivot"]).drop("pivot").withColumnRenamed("root", "pivot")
-    heads = local.select("ns", F.col("key").alias("pivot"), F.col("vector").alias("head"))
-    d = _with_cos(d.join(heads, ["ns", "pivot"]), "head", "c")
-    d = written(d.select("ns", "key", "cell", "vector", F.when(F.round("c", 9) >= at, F.col("pivot")).otherwise(F.col("key")).alias("pivot")), "members")
+
+
+def _across(several: DataFrame, rows: DataFrame, at: float, shard_rows: int) -> DataFrame:
+    """Clusters of namespaces of several shards: rounds over the pivots of the shards, as joins of tables in the shared folder."""
+    home = several.filter("home")
+    own = home.groupBy("ns", "cell", "sub").applyInArrow(lambda t: shard_clusters(t, at), OUT)
+    local = written(own.select("ns", "key", "pivot").join(home.select("ns", "key", "cell", "vector"), ["ns", "key"]), "local")
+    new = _pivots(written(local.filter("key = pivot").select("ns", "key", "vector"), "active"), at, shard_rows)
+    # Every other row goes to the closest pivot; those that no pivot is similar to have rounds of their own, until there are none.
+    rest, pivots, near = local, None, None
+    while True:
+        heads = written(rest.join(new, ["ns", "key"], "left_semi").withColumn("pivot", F.col("key")), "heads")
+        pivots = heads if pivots is None else pivots.unionByName(heads)
+        rest = written(rest.join(new, ["ns", "key"], "left_anti"), "rest")
+        found = _closest(rest, heads, at, shard_rows)
+        found = found if near is None else found.unionByName(near)
+        best = F.min(F.struct((-F.col("cos")).alias("c"), F.xxhash64("pivot").alias("h"), F.col("pivot").alias("to"))).alias("m")
+        near = written(found.groupBy("ns", "key").agg(best).select("ns", "key", F.col("m.to").alias("pivot"), (-F.col("m.c")).alias("cos")), "closest")
+        lost = written(rest.join(near, ["ns", "key"], "left_anti").select("ns", "key", "vector"), "lost")
+        if lost.isEmpty():
+            break
+        new = _pivots(lost, at, shard_rows)
+    d = pivots.select("ns", "key", "cell", "vector", "pivot").unionByName(rest.drop("pivot").join(near.drop("cos"), ["ns", "key"]).select("ns", "key", "cell", "vector", "pivot"))
+    d = written(d, "members")
     mean = written(_sums(d), "means")
     d = written(_with_cos(d.join(mean, ["ns", "pivot"]).select("ns", "key", "cell", "vector", "pivot", "n", "mean"), "mean", "score").withColumn("norm", F.sqrt(F.aggregate("mean", F.lit(0.0), lambda a, b: a + b * b))).drop("mean"), "scored")
     # Pairs whose angles to the mean add up to more than the limit, in a grid of blocks.
@@ -315,7 +375,7 @@ def _across(several: DataFrame, rows: DataFrame, at: float, shard_rows: int) ->
 
     bad = left.unionByName(right).groupBy("ns", "pivot", "i", "j").applyInArrow(check, "ns string, pivot string, bad boolean").filter("bad").select("ns", "pivot")
     of = d.select("ns", "key", "pivot")
-    edge = most_similar(sized(rows.select("ns", "key", "vector")), K, at, shard_rows=shard_rows).select("ns", "key", "other")
+    edge = most_similar(_sized(rows.select("ns", "key", "vector")), K, at, shard_rows=shard_rows).select("ns", "key", "other")
     ends = edge.join(of, ["ns", "key"]).join(of.select("ns", F.col("key").alias("other"), F.col("pivot").alias("p2")), ["ns", "other"]).filter("pivot <> p2")
     loose = written(bad.unionByName(ends.select("ns", "pivot")).unionByName(ends.select("ns", F.col("p2").alias("pivot"))).distinct(), "loose")
     # The graph knows K neighbours of a row: clusters that still seem isolated meet all rows that may be similar. Copies meet once.

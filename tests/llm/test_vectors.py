@@ -165,3 +165,15 @@ def test_dense_groups_that_touch_beyond_their_nearest_rows(spark, shard_rows):
     rows = bridged()
     got = {tuple(r) for r in clusters.tight_clusters(spark.createDataFrame(rows, OPS), shard_rows=shard_rows).collect()}
     assert got == true_clusters([(k, v, t) for _, _, k, v, t, *_ in rows]) and len(got) == 24
+
+
+@pytest.mark.parametrize("shard_rows", [32_768, 60])
+def test_members_are_with_the_closest_pivot(spark, shard_rows):
+    x = np.random.default_rng(6).standard_normal((150, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, "insert", f"a:{i:03}", [float(v) for v in r], 1, None, 1) for i, r in enumerate(x)]
+    d = clusters.clusters(clusters.live_entries(spark.createDataFrame(rows, OPS)), shard_rows=shard_rows).collect()
+    pivot = {int(r.key[2:]): int(r.pivot[2:]) for r in d}
+    heads = sorted(set(pivot.values()))
+    s = x @ x[heads].T
+    assert len(pivot) == 150 and all(s[i].max() - x[i] @ x[p] < 1e-6 and x[i] @ x[p] >= 0.8 - 1e-6 for i, p in pivot.items())

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karst.functions.ranks import global_rank
 from karst.llm.tokens import count_tokens
 from karst.runtime import written
 
-OFFSETS = 16
-
 
 def rates(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
     """(source, target_share, goal_share, max_repeats, available, copies): expected copies of each document of a source.
@@ -37,10 +35,9 @@ def rates(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> Dat
 def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, path: str | None = None) -> DataFrame:
     """(doc_id, source, copy_no, n_tokens, actual_share): one row for each copy of a document in the mixture.
 
-    Expected copies are summed up along the documents of a source, ordered by size, and shifted by one random offset
-    (of ``OFFSETS`` drawn, the one that meets the wanted tokens best);
-    a document is drawn once for each integer that its stretch of the sum crosses, so at most max_repeats times. Order by size makes the
-    sample's tokens follow the expected ones closely. Documents without tokens or without a target are not drawn.
+    Expected copies are summed up along the documents of a source, ordered by size, and shifted by one random offset;
+    a document is drawn once for each integer that its stretch of the sum crosses, so at most max_repeats times, and on average as
+    often as expected. Order by size makes the sample's tokens follow the expected ones closely. Documents without tokens or without a target are not drawn.
     The prefix sum is taken by blocks of size and hash, so a source with a third of all documents is spread over tasks.
     """
     sizes = written(count_tokens(documents, ["doc_id", "source"], path=path), "tokens")
@@ -53,16 +50,9 @@ def _drawn(sizes: DataFrame, targets: DataFrame, total: int | None, seed: int) -
     d = sizes.filter("n_tokens > 0").join(rate, "source")
     block = F.floor(F.log2(F.col("n_tokens") + 1) * 16) * 64 + F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(64))
     d = global_rank(d, ["source"], block, ["n_tokens", "doc_id"])
-    d = written(d, "ranked")
-
-    def crossed(offset: Column) -> Column:
-        return (F.floor(F.col("copies") * F.col("rank") + offset) - F.floor(F.col("copies") * (F.col("rank") - 1) + offset)).cast("int")
-
-    # Of a few random offsets, the one whose tokens come closest to those expected: one very long document can weigh a lot.
-    tried = [F.pmod(F.xxhash64("source", F.lit(seed), F.lit(i)), F.lit(1 << 30)) / F.lit(float(1 << 30)) for i in range(OFFSETS)]
-    miss = [F.struct(F.abs(F.sum(crossed(o) * F.col("n_tokens")) - F.sum(F.col("copies") * F.col("n_tokens"))).alias("miss"), F.first(o).alias("offset")) for o in tried]
-    best = written(d.groupBy("source").agg(*[m.alias(f"m{i}") for i, m in enumerate(miss)]).select("source", F.least(*[F.col(f"m{i}") for i in range(OFFSETS)])["offset"].alias("offset")).coalesce(1), "offsets")
-    d = d.join(best, "source").withColumn("n", crossed(F.col("offset")))
+    offset = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    end = F.col("copies") * F.col("rank") + offset
+    d = d.withColumn("n", (F.floor(end) - F.floor(end - F.col("copies"))).cast("int"))
     d = written(d.filter("n > 0").select("doc_id", "source", "n_tokens", "n"), "drawn")
     share = d.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("t"))
     all_ = share.agg(F.sum("t")).first()[0] or 1

@@ -1,183 +1,237 @@
 """A linear-chain conditional random field in numpy: trained by gradient, decoded by Viterbi in batches.
 
-A token's record is its word in context-free form; the features of a position are those of the records around it, each
-with its distance. So the score of a position is a sum of one row per distance of tables over records, and a table row
-is worked out once per distinct record.
+Tokens of many sentences are laid out in one row with edge positions between them. What a token looks like is a unit of
+some group; a unit has a few hashed features, and a group a table of weights for each distance at which it is seen. So
+the score of a position is a sum of rows of tables over units, worked out once per distinct unit, without a loop over tokens.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import numpy as np
 
-Record = tuple
-EDGE: Record = ("<edge>",)
+SPAN = 4  # edge positions around a sentence, and the greatest distance of a feature
+HASHED = 1 << 17  # rows of the table of joint features
+EDGE, NONE = np.uint64(1), np.uint64(0)
+
+
+@dataclass
+class Group:
+    """``units`` (unit, feature) hashes, the unit of each position of the row, and the distances; the last unit is the edge."""
+
+    units: np.ndarray
+    of: np.ndarray
+    reach: tuple[int, ...]
+
+
+@dataclass
+class Coded:
+    """Sentences as rows of units. ``at``: position of each token; ``begin``: number of the first token of each sentence (and the end)."""
+
+    groups: dict[str, Group]
+    joint: np.ndarray  # (token, feature) rows of the hashed table
+    at: np.ndarray
+    begin: np.ndarray
+
+
+@dataclass
+class Weights:
+    keys: dict[str, np.ndarray] = field(default_factory=dict)  # known hashes of a group, sorted
+    tables: dict[str, np.ndarray] = field(default_factory=dict)  # (distance, feature, label); the last feature is the unknown one
+    joint: np.ndarray | None = None
+    trans: np.ndarray | None = None
+    first: np.ndarray | None = None
 
 
 class Crf:
-    """Weights: ``index`` numbers the features "distance|feature", ``emit`` has a row for each, ``trans`` the label pairs."""
-
-    def __init__(self, labels: list[str], features: Callable[[Record], dict[str, list[str]]], reach: dict[str, list[int]]):
-        self.labels, self.features, self.reach = labels, features, reach
-        self.offsets = sorted({o for v in reach.values() for o in v})
-        self.index: dict[str, int] = {}
-        self.emit = np.zeros((0, len(labels)))
-        self.trans = np.zeros((len(labels), len(labels)))
-        self.begin = np.zeros(len(labels))
-        self.rows: dict[Record, np.ndarray] = {}
-        bad = np.array([[b.startswith("I-") and a[2:] != b[2:] for b in labels] for a in labels])
-        self.never = np.where(bad, -1e4, 0.0)
-        self.never_first = np.where([x.startswith("I-") for x in labels], -1e4, 0.0)
-
-    def named(self, rec: Record, offset: int) -> list[str]:
-        return [f"{offset}|{f}" for group, fs in self.features(rec).items() if offset in self.reach[group] for f in fs]
-
-    # -- scores ---------------------------------------------------------------------------------------------------
-
-    def row(self, rec: Record) -> np.ndarray:
-        """Scores of the record at each distance (offset, label)."""
-        got = self.rows.get(rec)
-        if got is None:
-            got = np.zeros((len(self.offsets), len(self.labels)), np.float32)
-            for i, o in enumerate(self.offsets):
-                at = [k for f in self.named(rec, o) if (k := self.index.get(f)) is not None]
-                if at:
-                    got[i] = self.emit[at].sum(0)
-            if len(self.rows) > 300_000:
-                self.rows.clear()
-            self.rows[rec] = got
-        return got
-
-    def decode(self, sentences: list[list[Record]], batch: int = 512) -> list[np.ndarray]:
-        """Best label numbers of each sentence; sentences of like length are decoded together."""
-        out: list = [np.zeros(0, np.int64)] * len(sentences)
-        order = sorted((i for i, s in enumerate(sentences) if s), key=lambda i: len(sentences[i]))
-        span = max(max(self.offsets), -min(self.offsets))
-        edge = self.row(EDGE)
-        trans, begin = (self.trans + self.never).astype(np.float32), (self.begin + self.never_first).astype(np.float32)
-        at = 0
-        while at < len(order):
-            # A batch has about equal work whatever the length, so one huge text is a batch of its own.
-            size = max(1, min(batch, (1 << 18) // len(sentences[order[min(at + batch, len(order)) - 1]])))
-            rows = order[at : at + size]
-            at += size
-            t = max(len(sentences[i]) for i in rows)
-            table = np.empty((len(rows), t + 2 * span, len(self.offsets), len(self.labels)), np.float32)
-            table[:] = edge
-            for k, i in enumerate(rows):
-                for j, rec in enumerate(sentences[i]):
-                    table[k, span + j] = self.row(rec)
-            score = sum(table[:, span + o : span + o + t, i] for i, o in enumerate(self.offsets))
-            back = np.zeros((t, len(rows), len(self.labels)), np.int8)
-            best = score[:, 0] + begin
-            length = np.array([len(sentences[i]) for i in rows])
+    def __init__(self, labels: list[str], weights: Weights | None = None):
+        self.labels = labels
+        self.w = weights or Weights()
+        self.never = np.array([[b.startswith("I-") and a[2:] != b[2:] for b in labels] for a in labels])
+        self.never_first = np.array([x.startswith("I-") for x in labels])
+
+    def known(self, name: str, units: np.ndarray) -> np.ndarray:
+        """Feature numbers of the units; unknown ones are the last."""
+        keys = self.w.keys[name]
+        i = np.searchsorted(keys, units)
+        return np.where(keys[np.minimum(i, len(keys) - 1)] == units, i, len(keys))
+
+    def scores(self, c: Coded) -> np.ndarray:
+        """Score of each label at each token."""
+        out = np.zeros((len(c.at), len(self.labels)), np.float32)
+        for name, g in c.groups.items():
+            ids, table = self.known(name, g.units), self.w.tables[name]
+            for k, o in enumerate(g.reach):
+                rows = table[k, ids[:, 0]].copy()
+                for f in range(1, ids.shape[1]):
+                    rows += table[k, ids[:, f]]
+                out += rows[g.of[c.at + o]]
+        for f in range(c.joint.shape[1]):
+            out += self.w.joint[c.joint[:, f]]
+        return out
+
+    def decode(self, c: Coded) -> np.ndarray:
+        """Best label number of each token.
+
+        A token is surely O where O leads every other label by more than any change of neighbours can be worth: putting O in
+        its place changes three transitions at most, and the label after it from I to B. Such tokens cut the row into pieces, which are decoded on their own,
+        whatever the length of the text; the result is that of the whole row.
+        """
+        n, k = len(c.at), len(self.labels)
+        path = np.zeros(n, np.int8)
+        if not n:
+            return path
+        s = self.scores(c)
+        trans, first = np.where(self.never, -1e4, self.w.trans).astype(np.float32), np.where(self.never_first, -1e4, self.w.first).astype(np.float32)
+        allowed = np.concatenate([self.w.trans[~self.never], self.w.first[~self.never_first], [0.0]])
+        worth = 3 * (allowed.max() - allowed.min())
+        begins = [i for i, x in enumerate(self.labels) if x[0] == "B"]
+        restart = np.maximum(0, np.max([s[:, b + 1] - s[:, b] for b in begins], axis=0))  # I-x follows B-x in the labels
+        lead = s[:, 0] - s[:, 1:].max(1)
+        open_ = lead <= worth + np.append(restart[1:], 0)
+        starts_text = np.zeros(n, bool)
+        starts_text[c.begin[:-1][c.begin[:-1] < n]] = True
+        piece = open_ & (starts_text | ~np.append(False, open_[:-1]))
+        begin = np.flatnonzero(piece)
+        if not len(begin):
+            return path
+        ends = open_ & np.append(starts_text[1:] | ~open_[1:], True)
+        end = np.flatnonzero(ends) + 1
+        ends_text = np.append(starts_text[1:], True)[end - 1]
+        length = end - begin
+        order = np.argsort(length, kind="stable")
+        i = 0
+        while i < len(order):
+            size = int(np.searchsorted(np.cumsum(length[order[i : i + 65_536]]), 1 << 19)) + 1  # tokens of a batch, about
+            rows = order[i : i + size]
+            i += size
+            a, ln = begin[rows], length[rows]
+            t = int(ln.max())
+            back = np.zeros((t, len(rows), k), np.int8)
+            best = s[a] + np.where(starts_text[a][:, None], first, trans[0])
+            live = len(rows)  # rows are ordered by length: those still going on are the last
+            final = best.copy()
             for j in range(1, t):
+                gone = int(np.searchsorted(ln, j, "right"))
+                if gone > len(rows) - live:
+                    final[len(rows) - live : gone] = best[: gone - (len(rows) - live)]
+                    best = best[gone - (len(rows) - live) :]
+                    live = len(rows) - gone
                 step = best[:, :, None] + trans
-                back[j] = step.argmax(1)
-                best = np.where((j < length)[:, None], step.max(1) + score[:, j], best)
-            last = best.argmax(1)
-            path = np.empty((len(rows), t), np.int64)
+                back[j, gone:] = step.argmax(1)
+                best = step.max(1) + s[a[gone:] + j]
+            final[len(rows) - live :] = best
+            final = final + np.where(ends_text[rows][:, None], 0, trans[:, 0])
+            last = final.argmax(1)
             for j in range(t - 1, -1, -1):
-                here = j < length
-                path[:, j] = last
-                last = np.where(here, back[j][np.arange(len(rows)), last] if j else last, last)
-            for k, i in enumerate(rows):
-                out[i] = path[k, : length[k]]
-        return out
+                gone = int(np.searchsorted(ln, j, "right"))
+                path[a[gone:] + j] = last[gone:]
+                if j:
+                    last[gone:] = back[j, np.arange(gone, len(rows)), last[gone:]]
+        return path
 
     # -- training -------------------------------------------------------------------------------------------------
 
-    def train(self, sentences: list[list[Record]], gold: list[list[int]], epochs: int = 24, rate: float = 0.08, l2: float = 0.02, batch: int = 128, seed: int = 3) -> None:
-        """Maximum likelihood by Adam over batches of like length; features seen once are left out."""
-        ids: dict[Record, int] = {EDGE: 0}
-        coded = [[ids.setdefault(r, len(ids)) for r in s] for s in sentences]
-        seen: dict[str, int] = {}
-        named = [[self.named(r, o) for o in self.offsets] for r in ids]
-        used = np.bincount(np.concatenate([np.array(s, np.int64) for s in coded]), minlength=len(ids))
-        for r, per in enumerate(named):
-            for fs in per:
-                for f in fs:
-                    seen[f] = seen.get(f, 0) + int(used[r])
-        self.index = {f: i for i, f in enumerate(f for f, n in seen.items() if n > 1 or "edge" in f)}
-        lists = [[[self.index[f] for f in fs if f in self.index] for fs in per] for per in named]
-        o, n = len(self.offsets), len(ids)
-        flat = np.array([k for per in lists for fs in per for k in fs], np.int64)
-        owner = np.repeat(np.arange(n * o), [len(fs) for per in lists for fs in per])
-        self.emit = np.zeros((len(self.index), len(self.labels)))
-        params = [self.emit, self.trans, self.begin]
-        m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    def train(self, parts: list[tuple[Coded, np.ndarray]], epochs: int = 12, rate: float = 0.08, l2: float = 3e-5, drop: float = 0.2, seed: int = 3) -> None:
+        """Maximum likelihood by Adam over ``parts``, batches of coded sentences with their labels.
+
+        Hashes seen once are left out. In each step a share ``drop`` of the units hides its first feature, the word
+        itself, so that form and context must carry what the word would. The weights are means over the last third of the epochs.
+        """
+        k, w = len(self.labels), self.w
+        for name, g in parts[0][0].groups.items():
+            seen, count = np.unique(np.concatenate([np.concatenate([np.repeat(p.groups[name].units, np.minimum(np.bincount(p.groups[name].of, minlength=len(p.groups[name].units)), 2), axis=0).ravel()]) for p, _ in parts]), return_counts=True)
+            w.keys[name] = seen[(count > 1) & (seen != NONE)]
+            w.tables[name] = np.zeros((len(g.reach), len(w.keys[name]) + 1, k), np.float32)
+        w.joint, w.trans, w.first = np.zeros((HASHED, k), np.float32), np.zeros((k, k)), np.zeros(k)
+        params = {("joint", 0): w.joint, ("trans", 0): w.trans, ("first", 0): w.first} | {(name, i): t[i] for name, t in w.tables.items() for i in range(len(t))}
+        m, v = {x: np.zeros_like(p) for x, p in params.items()}, {x: np.zeros_like(p) for x, p in params.items()}
+        ids = [{name: self.known(name, g.units) for name, g in c.groups.items()} for c, _ in parts]
         rng = np.random.default_rng(seed)
-        order = sorted((i for i, s in enumerate(coded) if s), key=lambda i: len(coded[i]))
-        batches = [order[i : i + batch] for i in range(0, len(order), batch)]
-        span = max(max(self.offsets), -min(self.offsets))
-        by_record = np.argsort(owner, kind="stable")
-        flat, owner = flat[by_record], owner[by_record]
-        start = np.searchsorted(owner, np.arange(n * o + 1))
         step = 0
+        mean = {x: np.zeros_like(p) for x, p in params.items()}
+        late = epochs - max(1, epochs // 3)
+
+        def move(name: tuple[str, int], rows: np.ndarray | slice, grad: np.ndarray, lr: float) -> None:
+            p = params[name]
+            grad = grad + l2 * p[rows]
+            m[name][rows] = 0.9 * m[name][rows] + 0.1 * grad
+            v[name][rows] = 0.99 * v[name][rows] + 0.01 * grad * grad
+            p[rows] -= lr * (m[name][rows] / (1 - 0.9**step)) / (np.sqrt(v[name][rows] / (1 - 0.99**step)) + 1e-6)
+
+        def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Values (n, label) added up by row number: the distinct rows and their sums."""
+            here, of = np.unique(rows, return_inverse=True)
+            flat = (of.reshape(-1, 1) * k + np.arange(k)).ravel()
+            return here, np.bincount(flat, values.ravel(), len(here) * k).reshape(-1, k)
+
         for epoch in range(epochs):
             lr = rate * (1 - 0.9 * epoch / epochs)
-            for b in rng.permutation(len(batches)):
-                rows = batches[b]
-                length = np.array([len(coded[i]) for i in rows])
-                t = length.max()
-                rec = np.zeros((len(rows), t + 2 * span), np.int64)
-                y = np.zeros((len(rows), t), np.int64)
-                for k, i in enumerate(rows):
-                    rec[k, span : span + len(coded[i])] = coded[i]
-                    y[k, : len(coded[i])] = gold[i]
-                here, of = np.unique(rec, return_inverse=True)
-                of = of.reshape(rec.shape)
-                owners = (here[:, None] * o + np.arange(o)).ravel()
-                width = start[owners + 1] - start[owners]
-                at = np.repeat(start[owners] - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())
-                feats, of_owner = flat[at], np.repeat(np.arange(len(owners)), width)
-                table = np.zeros((len(owners), len(self.labels)))
-                np.add.at(table, of_owner, self.emit[feats])
-                table = table.reshape(len(here), o, -1)
-                score = sum(table[of[:, span + off : span + off + t], i] for i, off in enumerate(self.offsets))
-                d, g_trans, g_begin = self._gradient(score, y, length)
-                g_table = np.zeros_like(table)
-                for i, off in enumerate(self.offsets):
-                    np.add.at(g_table[:, i], of[:, span + off : span + off + t].ravel(), d.reshape(-1, d.shape[2]))
-                g_emit = np.zeros_like(self.emit)
-                np.add.at(g_emit, feats, g_table.reshape(len(owners), -1)[of_owner])
+            for b in rng.permutation(len(parts)):
+                c, y = parts[b]
                 step += 1
-                for k, (p, g) in enumerate(zip(params, (g_emit, g_trans, g_begin))):
-                    g = (g + l2 * p * len(rows) / len(order)) / len(rows)
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.01 * (g * g - v[k])
-                    p -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
-        self.rows.clear()
-
-    def _gradient(self, score: np.ndarray, y: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected minus true counts: by position and label, of label pairs, of first labels."""
-        b, t, k = score.shape
-        trans, begin = self.trans + self.never, self.begin + self.never_first
-        et = np.exp(trans - trans.max())
-        on = np.arange(t) < length[:, None]
-        es = np.exp(score - score.max(2, keepdims=True))
-        alpha, beta, scale = np.zeros((b, t, k)), np.zeros((b, t, k)), np.ones((b, t))
-        alpha[:, 0] = np.exp(begin) * es[:, 0]
-        alpha[:, 0] /= alpha[:, 0].sum(1, keepdims=True)
+                used = {}
+                for name, x in ids[b].items():
+                    x = x.copy()
+                    x[rng.random(len(x)) < drop, 0] = len(w.keys[name])
+                    used[name] = x
+                s = np.zeros((len(c.at), k))
+                for name, g in c.groups.items():
+                    for i, o in enumerate(g.reach):
+                        s += w.tables[name][i][used[name]].sum(1)[g.of[c.at + o]]
+                for f in range(c.joint.shape[1]):
+                    s += w.joint[c.joint[:, f]]
+                d, g_trans, g_first = self._gradient(s, y, c.begin)
+                d /= len(c.begin) - 1
+                for name, g in c.groups.items():
+                    for i, o in enumerate(g.reach):
+                        unit, gu = summed(g.of[c.at + o], d)
+                        f = used[name][unit]
+                        rows, gf = summed(f.ravel(), np.repeat(gu, f.shape[1], axis=0))
+                        real = rows < len(w.keys[name])
+                        move((name, i), rows[real], gf[real], lr)
+                rows, gf = summed(c.joint.ravel(), np.repeat(d, c.joint.shape[1], axis=0))
+                move(("joint", 0), rows, gf, lr)
+                move(("trans", 0), slice(None), g_trans / (len(c.begin) - 1), lr)
+                move(("first", 0), slice(None), g_first / (len(c.begin) - 1), lr)
+            if epoch >= late:
+                for x, p in params.items():
+                    mean[x] += p / (epochs - late)
+        for x, p in params.items():
+            p[:] = mean[x]
+
+    def _gradient(self, s: np.ndarray, y: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected minus true counts: by token and label, of label pairs, of first labels."""
+        k = s.shape[1]
+        length = np.diff(begin)
+        rows = np.flatnonzero(length)
+        rows = rows[np.argsort(-length[rows], kind="stable")]
+        a, ln = begin[rows], length[rows]
+        t = int(ln[0])
+        trans, first = np.where(self.never, -1e4, self.w.trans), np.where(self.never_first, -1e4, self.w.first)
+        et, es = np.exp(trans), np.exp(s - s.max(1, keepdims=True))
+        alpha, beta, scale = np.zeros_like(s), np.ones_like(s), np.ones(len(s))
+        x = np.exp(first) * es[a]
+        scale[a] = x.sum(1)
+        alpha[a] = x / scale[a][:, None]
+        live = [int(np.searchsorted(-ln, -j, "left")) for j in range(t)]  # sentences longer than j come first
         for j in range(1, t):
-            a = (alpha[:, j - 1] @ et) * es[:, j]
-            scale[:, j] = a.sum(1)
-            alpha[:, j] = np.where(on[:, j, None], a / scale[:, j, None], alpha[:, j - 1])
-        beta[:, t - 1] = 1
-        for j in range(t - 2, -1, -1):
-            w = (beta[:, j + 1] * es[:, j + 1]) @ et.T / scale[:, j + 1, None]
-            beta[:, j] = np.where(on[:, j + 1, None], w, 1)
-        p = alpha * beta
-        p /= p.sum(2, keepdims=True)
-        p *= on[:, :, None]
+            at = a[: live[j]] + j
+            x = (alpha[at - 1] @ et) * es[at]
+            scale[at] = x.sum(1)
+            alpha[at] = x / scale[at][:, None]
         g_trans = np.zeros((k, k))
-        for j in range(1, t):
-            x = alpha[:, j - 1, :, None] * et * (beta[:, j] * es[:, j])[:, None] / scale[:, j, None, None]
-            x *= on[:, j, None, None]
-            g_trans += x.sum(0)
-        rows, cols = np.nonzero(on)
-        p[rows, cols, y[rows, cols]] -= 1
-        two = on[:, 1:]
-        np.add.at(g_trans, (y[:, :-1][two], y[:, 1:][two]), -1)
-        return p, g_trans, p[:, 0].sum(0)
+        for j in range(t - 1, 0, -1):
+            at = a[: live[j]] + j
+            x = beta[at] * es[at] / scale[at][:, None]
+            beta[at - 1] = x @ et.T
+            g_trans += (alpha[at - 1].T @ x) * et
+        p = alpha * beta
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        inner = np.ones(len(y), bool)
+        inner[a] = False
+        after = np.flatnonzero(inner)
+        np.add.at(g_trans, (y[after - 1], y[after]), -1)
+        return p, g_trans, p[a].sum(0)

@@ -874,6 +874,9 @@ class Table:
     def frame(self, lang: str) -> str:
         """A slot among words of the language in no order: what it holds must be told by its form."""
         some = lambda n: " ".join(self.one(WORDS[lang]) for _ in range(self.r.randint(0, n)))
+        if self.chance(0.2):  # counts, sizes and the like in a row
+            parts = [f"{some(2)} {self.one(['{k}', '{k}', '{K}', '{O}'])} {some(3)}" for _ in range(self.r.randint(1, 4))]
+            return re.sub(r" +", " ", self.one([", ", "; ", " ", " / ", ": "]).join(parts)).strip()
         slot = self.one(["{n}"] * 9 + ["{L}", "{X}", "{X} {x}", "{D}", "{O}", "{V}", "{Q}", "{K}", "{U}", "{S}", "{C}", "{M}", "{e}", "{p}", "{a}", "{B}", "{k}"])
         between = self.one([" "] * 6 + [", ", " (", ": ", ". "])
         return f"{some(5)}{between}{slot}{')' if between == ' (' else self.one(['', '', ',', '.', ' '])} {some(4)}".strip()

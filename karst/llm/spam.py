@@ -4,11 +4,14 @@ Spam of this kind draws phrase after phrase from a few terms: the same words com
 at any distance alike, and without the function words of sentences. Code, data and prose recur in other ways: words come
 back in fixed places, only nearby, between function words, or not in phrases at all. So each text is read as words joined to
 phrases, and judged by recurrence gaps, by autocorrelation in lag windows, by the neighbours a term has, and by the share
-of its characters that such phrases, links with them and list entries cover. No list of advertising words is used.
+of its characters that such phrases, links with them and list entries cover. Three forms are told apart: shuffled terms,
+whole phrases that come back at gaps more even than chance would make them, and long lists of ever new nouns without
+function words. No list of advertising words or hosts is used, and no limit changes with the length of the text by a step.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections import Counter, defaultdict
 from dataclasses import dataclass
@@ -34,10 +37,13 @@ al como con cada del desde después dos el ella ellos entre era es esta está es
 """.split()
 )
 HIDDEN = re.compile("[​-‏⁠﻿­]|(?<=[\\p{L}\\d])[·•*|~^¦](?=[\\p{L}\\d])")  # characters put into words
+COMMENT = re.compile(r"<!--(.*?)(?:-->|$)", re.S)
+AUTOLINK = re.compile(r"<((?:https?:|mailto:|www\.)[^<>\s]*)>", re.I)
 TAG = re.compile(r"</?[a-zA-Z!?][^<>]*>")
-KEPT = re.compile(r"""(?:href|src|content|title|alt)\s*=\s*(?:"([^"]*)"|'([^']*)'|(\S+))""", re.I)
-URL = re.compile(r"(?:https?://|www\.)[^\s<>\"'()\[\]]+|(?<![\w-])[\w-]+(?:\.[\w-]+)*\.(?:com|net|org|info|biz|shop|example|test|invalid)\b[^\s<>\"'()\[\]]*", re.I)
-ENDINGS = ("http", "www.", ".com", ".net", ".org", ".info", ".biz", ".shop", ".example", ".test", ".invalid")  # every URL has one
+VALUE = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+# Attributes of markup that say how, not what.
+STRUCTURE = frozenset("class id style rel type role lang charset width height for method target align border colspan rowspan version xmlns encoding viewbox d fill stroke x y transform http-equiv media sizes".split())
+URL = re.compile(r"(?:https?://|www\.)[^\s<>\"'()\[\]]+|(?<![\w@/.-])\w+(?:[-.]\w+)*\.[a-z]{2,12}/[\w%+~.-]*[^\s<>\"'()\[\]]*|(?<![\w@/.-])\w+-[\w-]+(?:\.[\w-]+)*\.[a-z]{2,12}(?![\w.-])", re.I)
 OTHER, LOWER, UPPER, DIGIT = range(4)
 JOINS = np.isin(np.arange(128), [ord(c) for c in "-_+ "])  # characters that join words to a phrase
 
@@ -63,8 +69,9 @@ def _words(t: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 ENTRY = re.compile(r"^\s*[/|,;•>]?\s*$")
+INLINE = re.compile(r"^(?:[ \t]*[,;|•·/][ \t]*#?|[ \t]+#)$")  # what stands between entries of a list within a line
 WINDOWS = ((1, 8), (9, 32), (33, 128))
-FEATURES = ("words", "covered", "repeated", "regular", "mixing", "phrase_length", "sentences", "function_words", "numbers")
+FEATURES = ("words", "covered", "repeated", "regular", "chance", "mixing", "phrase_length", "sentences", "function_words", "numbers", "entries", "listed", "distinct", "listed_function_words")
 
 
 @dataclass(frozen=True)
@@ -72,27 +79,43 @@ class Rule:
     """Limits beyond which a text is spam; ``gap`` is the mean distance in words at which a term counts as recurring."""
 
     gap: float = 80
-    covered: float = 0.38  # share of the word characters in phrases of recurring terms, links with such, and list entries
-    short: float = 80  # below so many words a term recurs with its second occurrence, and
-    short_covered: float = 0.58  # more must be covered
-    regular: float = 0.022  # chance that a term equals the one at a lag, in each lag window
+    covered: float = 0.38  # share of the word characters in phrases of recurring terms, links with such, and list entries;
+    few: float = 0.3  # so much more of a text without length,
+    half: float = 60  # and half of that for each so many words
+    more: float = 160  # a term must recur once more when so many words become twice as many, and again
+    regular: float = 0.022  # chance that a term equals the one at a lag, in each lag window, or
+    shuffled: float = 0.6  # so much of what it would be if the text's terms were shuffled, where function words are as rare as in a list
     mixing: float = 0.25  # variety of a term's neighbours, less twice the function words and the sentences
     phrase_length: float = 2.35
     sentences: float = 0.35
     numbers: float = 0.36
-    repeated: float = 0.5  # share of the characters in phrases of three words that come three times or more
+    repeated: float = 0.5  # share of the characters in phrases of three words that recur, and links with them
+    uneven: float = 1.6  # most ratio of deviation and mean of a phrase's recurrence gaps; chance makes it about 1
     repeated_function_words: float = 0.36
     repeated_numbers: float = 0.15
+    listed: float = 0.5  # share of the characters in a list of distinct entries
+    entries: float = 20  # a shorter list is a line of tags
+    distinct: float = 0.6  # share of the entries that are no repetition
+    listed_function_words: float = 0.06
+
+    def needed(self, n: int) -> float:
+        """Share that must be covered in a text of n words: the less there is, the more."""
+        return self.covered + self.few * 2 ** (-n / self.half)
+
+
+def _values(tag: str) -> str:
+    return " | " + " , ".join(next(g for g in m.groups()[1:] if g is not None) for m in VALUE.finditer(tag) if m[1].lower() not in STRUCTURE) + " | "
 
 
 def _plain(text: str) -> str:
-    """The text without hidden characters and markup, of which links and the like are kept."""
+    """The text without hidden characters and markup, of which links, comments and what attributes say are kept."""
     t = text if text.isascii() else unicodedata.normalize("NFKC", text)
     if not t.isascii() or any(c in t for c in "*|~^"):
         t = HIDDEN.sub("", t)
     if "<" not in t:
         return t
-    return TAG.sub(lambda m: " | " + " , ".join(next(g for g in k.groups() if g is not None) for k in KEPT.finditer(m[0])) + " | ", t)
+    t = AUTOLINK.sub(r" | \1 | ", COMMENT.sub(r" | \1 | ", t))
+    return TAG.sub(lambda m: _values(m[0]) if "=" in m[0] else " | ", t)
 
 
 def autocorrelation(ids: np.ndarray) -> float:
@@ -110,6 +133,30 @@ def _entry(gap: str) -> bool:
     return bool(ENTRY.match(gap))
 
 
+@lru_cache(maxsize=4096)
+def _inline(gap: str) -> bool:
+    return bool(INLINE.match(gap))
+
+
+def recurring(ids: np.ndarray, at: np.ndarray, least: int, gap: float, uneven: float) -> np.ndarray:
+    """Which terms (``ids`` at the positions ``at``, ascending) come ``least`` times or more, at a mean gap of at most ``gap``
+    and at gaps not much more uneven than chance, which makes their deviation as large as their mean."""
+    by = np.argsort(ids, kind="stable")
+    i, p = ids[by], at[by]
+    begin = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+    count = np.diff(np.append(begin, len(i)))
+    d = np.append(0, np.diff(p)).astype(float)
+    d[begin] = 0
+    sums, squares = np.add.reduceat(d, begin), np.add.reduceat(d * d, begin)
+    gaps = np.maximum(count - 1, 1)
+    mean = sums / gaps
+    deviation = np.sqrt(np.maximum(squares / gaps - mean * mean, 0))
+    good = (count >= least) & (mean <= gap) & (deviation <= uneven * mean)
+    out = np.empty(len(ids), bool)
+    out[by] = np.repeat(good, count)
+    return out
+
+
 def _links(t: str, begin: np.ndarray) -> np.ndarray | None:
     """The number of the link each word begins in, or -1; null where there is no link."""
     spans = np.array([m.span() for m in URL.finditer(t)])
@@ -119,12 +166,44 @@ def _links(t: str, begin: np.ndarray) -> np.ndarray | None:
     return np.where((k >= 0) & (spans[np.maximum(k, 0), 1] > begin), k, -1)
 
 
+def _list(t: str, at: list, words: list[str], joined: np.ndarray, is_small: np.ndarray, number: np.ndarray, size: np.ndarray) -> tuple[int, float, int, float]:
+    """Entries of lists within lines: their number, the share of distinct ones, their size, and the share of function words in them.
+
+    An entry is a word or a few joined by spaces or hyphens, with the sign of a list on both sides (or on one, at the end of a list); lines of a table,
+    which all have the same few fields, are none.
+    """
+    n = len(words)
+    edges = np.append(np.flatnonzero(~joined[:n]), n)  # first word of each entry
+    gaps = [t[at[i - 1][1] : at[i][0]] for i in edges[1:-1].tolist()]
+    inline = np.array([False, *map(_inline, gaps), False])
+    line = np.array([False, *("\n" in g for g in gaps), False])
+    line[[0, -1]] = True
+    long = np.diff(edges)
+    isin = (inline[:-1] | inline[1:]) & (inline[:-1] | line[:-1]) & (inline[1:] | line[1:]) & (long <= 4)
+    if isin.sum() < 2:
+        return 0, 0.0, 0, 0.0
+    row = np.cumsum(line[:-1])
+    fields = np.bincount(row, isin)
+    per_row = np.bincount(row)
+    lists = (fields >= 4) & (fields == per_row)
+    lists |= (fields >= 8) & (fields >= 0.8 * per_row)
+    isin &= lists[row]
+    chosen = np.flatnonzero(isin)
+    chosen = chosen[[not number[edges[k] : edges[k + 1]].any() and "_" not in t[at[edges[k]][0] : at[edges[k + 1] - 1][1]] for k in chosen.tolist()]] if len(chosen) else chosen
+    if not len(chosen):
+        return 0, 0.0, 0, 0.0
+    sizes = np.add.reduceat(size, edges[:-1])[chosen]
+    small = np.add.reduceat(is_small.astype(int), edges[:-1])[chosen]
+    names = {" ".join(words[edges[k] : edges[k + 1]]) for k in chosen.tolist()}
+    return len(chosen), len(names) / len(chosen), int(sizes.sum()), float(small.sum() / long[chosen].sum())
+
+
 def measure(text: str | None, rule: Rule = Rule(), every: bool = True) -> dict[str, float] | None:
-    """The features of a text; null where it has fewer than eight words, or, without ``every``, where those found first rule spam out."""
+    """The features of a text; null where it has fewer than two words, or, without ``every``, where those found first rule spam out."""
     t = _plain(text) if text else ""
     points, begins, ends = _words(t)
     n = len(begins)
-    if n < 8:
+    if n < 2:
         return None
     low, size = t.lower(), ends - begins
     at = list(zip(begins.tolist(), ends.tolist()))
@@ -135,8 +214,8 @@ def measure(text: str | None, rule: Rule = Rule(), every: bool = True) -> dict[s
     if not every and numbers > rule.numbers:
         return None
 
-    # Terms that recur at short gaps.
-    often = 3 if n >= rule.short else 2
+    # Terms that recur at short gaps, more often the longer the text.
+    often = int(2 + math.log2(1 + n / rule.more))
     hot = {w for w, c in count.items() if c >= often and not (w.isdigit() and len(w) != 4)}
     if n - 1 > rule.gap * (often - 1):  # else no gap can be longer
         last, first = dict(zip(words, range(n))), dict(zip(reversed(words), range(n - 1, -1, -1)))
@@ -152,20 +231,29 @@ def measure(text: str | None, rule: Rule = Rule(), every: bool = True) -> dict[s
     space = (gap == 1) & (first_of == 32) | (gap == 2) & (first_of == 32) & (last_of == 32)
     join = (gap == 0) | space | (gap == 1) & JOINS[np.minimum(first_of, 127)]
     join &= ~number[1:] & ~number[:-1]
-    link = _links(t, begins) if any(x in low for x in ENDINGS) else None
+    link = _links(t, begins) if "/" in low or "www." in low or "-" in low and "." in low else None
+    low_line = (gap == 1) & (first_of == 95)  # joins an identifier, and words only within a link
     if link is not None:
-        join &= link[1:] == link[:-1]
+        join &= (link[1:] == link[:-1]) & (~low_line | (link[1:] >= 0))
+    else:
+        join &= ~low_line
 
     # Stretches of joined words, and in them three that come again.
     joined = np.zeros(n + 1, bool)
     joined[1:-1] = join
     edge = np.flatnonzero(joined[1:] != joined[:-1])
     begin, end = edge[::2], edge[1::2] + 1
+    # Phrases of three words as terms of their own, by their recurrence gaps.
+    again = np.zeros(n, bool)
     thrice = (kind & 8).astype(bool)  # words of which such a three can consist
-    two = joined[1:-2] & joined[2:-1] & thrice[:-2] & thrice[1:-1] & thrice[2:]
-    triple = Counter(compress(zip(words, words[1:], words[2:]), two.tolist()))
-    triples = {x for x, c in triple.items() if c >= 3 and sum(w in FUNCTION_WORDS for w in x) <= 1}
-    again = {i + k for i in np.flatnonzero(two).tolist() if (words[i], words[i + 1], words[i + 2]) in triples for k in range(3)} if triples else set()
+    three = np.flatnonzero(joined[1:-2] & joined[2:-1] & thrice[:-2] & thrice[1:-1] & thrice[2:] & ((is_small[:-2].astype(int) + is_small[1:-1] + is_small[2:]) <= 1)) if n > 2 else []
+    if len(three):
+        number_of: dict[str, int] = {}
+        code = np.fromiter((number_of.setdefault(w, len(number_of)) for w in words), np.int64, n)
+        _, triple = np.unique((code[three] * len(number_of) + code[three + 1]) * len(number_of) + code[three + 2], return_inverse=True)
+        three = three[recurring(triple, three, 3, rule.gap, rule.uneven)]
+        for k in range(3):
+            again[three + k] = True
 
     sums = np.zeros((4, n + 1), np.int64)
     np.cumsum([is_hot, is_small, size], axis=1, out=sums[:3, 1:])
@@ -193,15 +281,23 @@ def measure(text: str | None, rule: Rule = Rule(), every: bool = True) -> dict[s
             listed.append(i)
 
     total = int(size[~number].sum()) or 1
-    chosen = np.zeros(n, bool)
-    chosen[list(again)] = True
-    again_size = int(size[chosen].sum())
+    chosen = again.copy()
     if link is not None:
-        marked = np.unique(link[[*again, *phrase]])
-        chosen |= np.isin(link, marked[marked >= 0])
+        # A link is one with such a phrase where it holds it, or where the phrase is its text.
+        is_term = again.copy()
+        is_term[phrase] = True
+        beside = np.flatnonzero((link[1:] != link[:-1]) & (is_term[1:] | is_term[:-1]))
+        beside = [i for i in beside.tolist() if gap[i] <= 4 and "\n" not in t[at[i][1] : at[i + 1][0]]]
+        own = lambda x: np.isin(link, np.unique([*link[x], *(link[i] for i in beside if x[i + 1]), *(link[i + 1] for i in beside if x[i])])) & (link >= 0)
+        chosen |= own(again)
+        again_size = int(size[chosen].sum())
+        chosen |= own(is_term)
+    else:
+        again_size = int(size[chosen].sum())
     chosen[listed] = True
     covered = int(size[chosen & ~number].sum()) / total
-    if not every and covered < (rule.covered if n >= rule.short else rule.short_covered):
+    entries, distinct, entry_size, entry_small = _list(t, at, words, joined, is_small, number, size)
+    if not every and covered < rule.needed(n) and (entry_size < rule.listed * total or entries < rule.entries):
         return None
     follow, followed = defaultdict(set), Counter()
     for x, y in compress(zip(words, words[1:]), join.tolist()):
@@ -209,26 +305,38 @@ def measure(text: str | None, rule: Rule = Rule(), every: bool = True) -> dict[s
         followed[x] += 1
     terms = [words[i] for i in phrase]
     code: dict[str, int] = {}
+    ids = np.array([code.setdefault(w, len(code)) for w in terms], np.int64)
+    chance = float((np.bincount(ids) ** 2).sum() - len(ids)) / max(1, len(ids) * (len(ids) - 1)) if len(ids) else 0.0
     mixed = [min(1.0, len(follow[w]) / min(followed[w], 10)) for w in terms if followed[w] >= 2]
     return {
         "words": float(n),
         "covered": covered,
         "repeated": again_size / total,
-        "regular": autocorrelation(np.array([code.setdefault(w, len(code)) for w in terms], np.int64)),
+        "regular": autocorrelation(ids),
+        "chance": chance,
         "mixing": float(np.mean(mixed)) if mixed else 0.0,
         "phrase_length": phrase_words / phrases if phrases else 0.0,
         "sentences": in_sentences / total,
         "function_words": int(is_small.sum()) / n,
         "numbers": numbers,
+        "entries": float(entries),
+        "listed": entry_size / total,
+        "distinct": distinct,
+        "listed_function_words": entry_small,
     }
 
 
 def is_spam(f: dict[str, float] | None, rule: Rule = Rule()) -> bool:
-    if f is None or f["numbers"] > rule.numbers or f["covered"] < (rule.covered if f["words"] >= rule.short else rule.short_covered):
+    if f is None or f["numbers"] > rule.numbers:
         return False
-    mixed = f["mixing"] - 2 * f["function_words"] - f["sentences"]
-    shuffled = mixed >= rule.mixing and f["regular"] >= rule.regular and f["phrase_length"] >= rule.phrase_length and f["sentences"] <= rule.sentences
-    return shuffled or f["repeated"] >= rule.repeated and f["function_words"] <= rule.repeated_function_words and f["numbers"] <= rule.repeated_numbers
+    if f["covered"] >= rule.needed(int(f["words"])):
+        mixed = f["mixing"] - 2 * f["function_words"] - f["sentences"]
+        limit = min(rule.regular, rule.shuffled * f["chance"]) if f["function_words"] <= rule.listed_function_words else rule.regular
+        if mixed >= rule.mixing and f["regular"] >= limit and f["phrase_length"] >= rule.phrase_length and f["sentences"] <= rule.sentences:
+            return True
+        if f["repeated"] >= rule.repeated and f["function_words"] <= rule.repeated_function_words and f["numbers"] <= rule.repeated_numbers:
+            return True
+    return f["entries"] >= rule.entries and f["listed"] >= rule.listed and f["distinct"] >= rule.distinct and f["listed_function_words"] <= rule.listed_function_words and f["numbers"] <= rule.repeated_numbers
 
 
 def scored(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:

@@ -178,6 +178,50 @@ def test_spam_and_honest_files(spark):
     assert spam.spam_documents(d.limit(0)).count() == 0
 
 
+NOUNS = """sofa lamp rug curtain mirror desk chair stool shelf cushion blanket pillow mattress wardrobe cabinet bench ottoman vase candle clock frame basket tray bowl plate mug kettle toaster blender
+grill oven freezer fan heater vacuum broom bucket ladder hammer drill saw pliers wrench shovel rake hose planter fountain gazebo hammock parasol tent backpack lantern cooler thermos compass""".split()
+
+
+def made_up(seed):
+    """Pages of kinds that the limits were not set on."""
+    r = random.Random(seed)
+    tags = r.sample(NOUNS, len(NOUNS))
+    pairs = [f"{a} {b}" for a, b in zip(tags, r.sample(NOUNS, len(NOUNS)))]
+    host = lambda: f"{r.choice(NOUNS)}{r.choice(NOUNS)}{r.randint(1, 99)}.{r.choice(['ru', 'club', 'xyz', 'co', 'bet'])}"
+    phrase = lambda: " ".join(r.sample("cheap loan fast payday online credit quick approval bad".split(), 3))
+    return {
+        "comma list": ", ".join(tags),
+        "hash tags": " ".join(f"#{x}" for x in tags),
+        "pairs": ", ".join(pairs),
+        "pipes": " | ".join(pairs),
+        "links, many hosts": "\n".join(f"[casino bonus online](https://{host()}/)" for _ in range(40)),
+        "autolinks": "\n".join(f"<https://www.{host()}/{phrase().replace(' ', '-')}>" for _ in range(40)),
+        "comment": "<html><!-- " + ", ".join(phrase() for _ in range(60)) + " --><body><p>Welcome to our page.</p></body></html>",
+        "attributes": "".join(f'<input name="k" value="{phrase()}">' for _ in range(60)),
+        "one phrase": "best garden hose outlet " * 60,
+    }
+
+
+HONEST_TOO = {
+    "word list": "\n".join(NOUNS),
+    "sorted list in code": "WORDS = [\n" + "\n".join(f'    "{x}",' for x in sorted(NOUNS)) + "\n]\n",
+    "table": "sku,name,stock\n" + "\n".join(f"{1000 + i},{x},{i % 7}" for i, x in enumerate(NOUNS)),
+    "translations": "\n".join(f"{x}={x}o" for x in NOUNS),
+    "lock file": "\n".join(f"{x}==1.{i}.0 --hash=sha256:{i * 7919:064x}" for i, x in enumerate(NOUNS)),
+    "line of tags": "Tags: " + ", ".join(NOUNS[:6]) + "\n\nThe parser reads each record once and gives up on the second error, since a torn file can't be mended later.",
+    "changelog": "\n".join(f"## 1.{i}.0\n\n- the {x} no longer fails when it is empty\n- we renamed the {NOUNS[-i - 1]} and its tests" for i, x in enumerate(NOUNS[:20])),
+    "prose": "She put the kettle on the table and asked how long the train had been late. Nobody knew, for the clock had stopped in the night, and the man who wound it was away. " * 3,
+    "reading list": "\n".join(f"- [The {x}](https://{x}.example.net/post/{i}): what the author learned when the {x} broke, and why they would do it again." for i, x in enumerate(NOUNS[:20])),
+}
+
+
+def test_pages_of_other_kinds():
+    found = {k: spam.is_spam(spam.measure(t)) for k, t in made_up(5).items()}
+    assert all(found.values()), found
+    wrong = {k: spam.measure(t) for k, t in HONEST_TOO.items() if spam.is_spam(spam.measure(t))}
+    assert not wrong, wrong
+
+
 def test_both_forms_of_the_measure_decide_alike(spark, data):
     for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect():
         assert spam.is_spam(spam.measure(r.text)) == spam.is_spam(spam.measure(r.text, every=False))

@@ -43,7 +43,8 @@ TAG = re.compile(r"</?[a-zA-Z!?][^<>]*>")
 VALUE = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 # Attributes of markup that say how, not what.
 STRUCTURE = frozenset("class id style rel type role lang charset width height for method target align border colspan rowspan version xmlns encoding viewbox d fill stroke x y transform http-equiv media sizes".split())
-URL = re.compile(r"(?:https?://|www\.)[^\s<>\"'()\[\]]+|(?<![\w@/.-])\w+(?:[-.]\w+)*\.[a-z]{2,12}/[\w%+~.-]*[^\s<>\"'()\[\]]*|(?<![\w@/.-])\w+-[\w-]+(?:\.[\w-]+)*\.[a-z]{2,12}(?![\w.-])", re.I)
+URL = re.compile(r"(?:https?://|www\.)[^\s<>\"'()\[\]]+", re.I)
+HOST_END = re.compile(r"\.[a-z]{2,12}/[^\s<>\"'()\[\]]*", re.I)  # the end of a host and what follows it; the host is found backwards from there
 OTHER, LOWER, UPPER, DIGIT = range(4)
 JOINS = np.isin(np.arange(128), [ord(c) for c in "-_+ "])  # characters that join words to a phrase
 
@@ -69,7 +70,9 @@ def _words(t: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 ENTRY = re.compile(r"^\s*[/|,;•>]?\s*$")
-INLINE = re.compile(r"^(?:[ \t]*[,;|•·/][ \t]*#?|[ \t]+#)$")  # what stands between entries of a list within a line
+# What stands between the entries of a list within a line: white space (1) and one sign (2), with a # (3) before a tag; anything else (-1) ends the list.
+SIGNS = np.full(0x2023, -1, np.int8)
+SIGNS[[32, 9, 160]], SIGNS[[ord(c) for c in ",;|·•/"]], SIGNS[35] = 1, 2, 3
 WINDOWS = ((1, 8), (9, 32), (33, 128))
 FEATURES = ("words", "covered", "repeated", "regular", "chance", "mixing", "phrase_length", "sentences", "function_words", "numbers", "entries", "listed", "distinct", "listed_function_words")
 
@@ -133,11 +136,6 @@ def _entry(gap: str) -> bool:
     return bool(ENTRY.match(gap))
 
 
-@lru_cache(maxsize=4096)
-def _inline(gap: str) -> bool:
-    return bool(INLINE.match(gap))
-
-
 def recurring(ids: np.ndarray, at: np.ndarray, least: int, gap: float, uneven: float) -> np.ndarray:
     """Which terms (``ids`` at the positions ``at``, ascending) come ``least`` times or more, at a mean gap of at most ``gap``
     and at gaps not much more uneven than chance, which makes their deviation as large as their mean."""
@@ -158,26 +156,41 @@ def recurring(ids: np.ndarray, at: np.ndarray, least: int, gap: float, uneven: f
 
 
 def _links(t: str, begin: np.ndarray) -> np.ndarray | None:
-    """The number of the link each word begins in, or -1; null where there is no link."""
-    spans = np.array([m.span() for m in URL.finditer(t)])
-    if not len(spans):
+    """The number of the link each word begins in, or -1; null where there is no link. A link has a scheme, www. or a path after its host."""
+    found = [m.span() for m in URL.finditer(t)] if "://" in t or "www." in t.lower() else []
+    last = 0
+    for m in HOST_END.finditer(t):
+        i = m.start()
+        while i > last and (t[i - 1].isalnum() or t[i - 1] in "-."):
+            i -= 1
+        last = m.end()
+        if i < m.start() and t[i - 1 : i] not in ("/", "@", "_"):
+            found.append((i, m.end()))
+    if not found:
         return None
+    spans = np.array(sorted(found))
     k = np.searchsorted(spans[:, 0], begin, "right") - 1
-    return np.where((k >= 0) & (spans[np.maximum(k, 0), 1] > begin), k, -1)
+    return np.where((k >= 0) & (np.maximum.accumulate(spans[:, 1])[np.maximum(k, 0)] > begin), k, -1)
 
 
-def _list(t: str, at: list, words: list[str], joined: np.ndarray, is_small: np.ndarray, number: np.ndarray, size: np.ndarray) -> tuple[int, float, int, float]:
+def _list(t: str, points: np.ndarray, begins: np.ndarray, ends: np.ndarray, at: list, words: list[str], joined: np.ndarray, is_small: np.ndarray, number: np.ndarray, size: np.ndarray) -> tuple[int, float, int, float]:
     """Entries of lists within lines: their number, the share of distinct ones, their size, and the share of function words in them.
 
     An entry is a word or a few joined by spaces or hyphens, with the sign of a list on both sides (or on one, at the end of a list); lines of a table,
     which all have the same few fields, are none.
     """
     n = len(words)
+    if joined.sum() > n - 4:
+        return 0, 0.0, 0, 0.0
     edges = np.append(np.flatnonzero(~joined[:n]), n)  # first word of each entry
-    gaps = [t[at[i - 1][1] : at[i][0]] for i in edges[1:-1].tolist()]
-    inline = np.array([False, *map(_inline, gaps), False])
-    line = np.array([False, *("\n" in g for g in gaps), False])
-    line[[0, -1]] = True
+    left, right = ends[edges[1:-1] - 1], begins[edges[1:-1]]
+    wide = right - left
+    inside = SIGNS[np.minimum(points[np.minimum(left[:, None] + np.arange(4), len(points) - 1)], len(SIGNS) - 1)] * (np.arange(4) < wide[:, None])
+    signs = (inside == 2).sum(1)
+    between = (wide <= 4) & (inside > -1).all(1) & (signs <= 1) & ((signs == 1) | (inside == 3).any(1))
+    breaks = np.append(0, np.cumsum(points == 10))
+    inline = np.concatenate([[False], between, [False]])
+    line = np.concatenate([[True], breaks[right] > breaks[left], [True]])
     long = np.diff(edges)
     isin = (inline[:-1] | inline[1:]) & (inline[:-1] | line[:-1]) & (inline[1:] | line[1:]) & (long <= 4)
     if isin.sum() < 2:
@@ -231,7 +244,7 @@ def measure(text: str | None, rule: Rule = Rule(), every: bool = True) -> dict[s
     space = (gap == 1) & (first_of == 32) | (gap == 2) & (first_of == 32) & (last_of == 32)
     join = (gap == 0) | space | (gap == 1) & JOINS[np.minimum(first_of, 127)]
     join &= ~number[1:] & ~number[:-1]
-    link = _links(t, begins) if "/" in low or "www." in low or "-" in low and "." in low else None
+    link = _links(t, begins) if "/" in low or "www." in low else None
     low_line = (gap == 1) & (first_of == 95)  # joins an identifier, and words only within a link
     if link is not None:
         join &= (link[1:] == link[:-1]) & (~low_line | (link[1:] >= 0))
@@ -249,7 +262,9 @@ def measure(text: str | None, rule: Rule = Rule(), every: bool = True) -> dict[s
     three = np.flatnonzero(joined[1:-2] & joined[2:-1] & thrice[:-2] & thrice[1:-1] & thrice[2:] & ((is_small[:-2].astype(int) + is_small[1:-1] + is_small[2:]) <= 1)) if n > 2 else []
     if len(three):
         number_of: dict[str, int] = {}
-        code = np.fromiter((number_of.setdefault(w, len(number_of)) for w in words), np.int64, n)
+        code = np.zeros(n, np.int64)
+        for i in np.unique(np.concatenate([three, three + 1, three + 2])).tolist():
+            code[i] = number_of.setdefault(words[i], len(number_of))
         _, triple = np.unique((code[three] * len(number_of) + code[three + 1]) * len(number_of) + code[three + 2], return_inverse=True)
         three = three[recurring(triple, three, 3, rule.gap, rule.uneven)]
         for k in range(3):
@@ -296,7 +311,7 @@ def measure(text: str | None, rule: Rule = Rule(), every: bool = True) -> dict[s
         again_size = int(size[chosen].sum())
     chosen[listed] = True
     covered = int(size[chosen & ~number].sum()) / total
-    entries, distinct, entry_size, entry_small = _list(t, at, words, joined, is_small, number, size)
+    entries, distinct, entry_size, entry_small = _list(t, points, begins, ends, at, words, joined, is_small, number, size)
     if not every and covered < rule.needed(n) and (entry_size < rule.listed * total or entries < rule.entries):
         return None
     follow, followed = defaultdict(set), Counter()

@@ -30,10 +30,27 @@ def exact(x: np.ndarray, q: np.ndarray, c: np.ndarray, step: int = 1 << 15) -> n
     return np.concatenate([np.round(np.einsum("ij,ij->i", x[q[i : i + step]], x[c[i : i + step]]), 9) for i in range(0, len(q), step)] or [np.zeros(0)])
 
 
+def best_of_all(x: np.ndarray, rows: np.ndarray, others: np.ndarray, k: int, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place in ``rows``, place in ``others``) of the k rows of ``others`` with the greatest cosine to each of ``rows``, but not itself; of equal ones the first."""
+    q, o = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    k = min(k, len(others))
+    for i in range(0, len(rows), step):
+        c = np.round(x[rows[i : i + step]] @ x[others].T, 9)
+        c[rows[i : i + step, None] == others] = -np.inf
+        bar = np.partition(c, len(others) - k, axis=1)[:, len(others) - k, None]
+        above, equal = c > bar, (c == bar) & (c > -np.inf)
+        r, p = np.nonzero(above | equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True)))
+        q.append(i + r)
+        o.append(p)
+    return np.concatenate(q), np.concatenate(o)
+
+
 def shard_neighbours(t: pa.Table, k: int, min_cos: float | None, ef: int) -> pa.Table:
     """The k nearest keys of each query of one shard, ``OUT``.
 
-    Copies of a vector are one node; a node stands for all its keys, of which the k + 1 smallest can be wanted.
+    Copies of a vector are one node; a node stands for all its keys, of which the k + 1 smallest can be wanted. Where all
+    candidates of a node are as near as the k-th, there may be more of the kind (vectors of one direction, say), and the smaller key
+    decides: such nodes are compared with all nodes of the shard.
     """
     t = t.sort_by("key")  # so that a row number orders as its key
     x, ok = unit(to_matrix(t["vector"]))
@@ -54,9 +71,20 @@ def shard_neighbours(t: pa.Table, k: int, min_cos: float | None, ef: int) -> pa.
         gi, gs = index.search(x32[guests], k + SPARE, ef, floor)
         ids, sim = np.concatenate([ids, gi]), np.concatenate([sim, gs])
     nodes = np.concatenate([indexed, guests])
-    r, c = np.nonzero((ids >= 0) & (sim > floor))
-    q, o = np.concatenate([nodes[r], indexed]), np.concatenate([indexed[ids[r, c]], indexed])  # a node's own other keys, too
-    cos = np.concatenate([exact(x, first[nodes[r]], first[indexed[ids[r, c]]]), np.ones(len(indexed))])
+    kth = min(k, ids.shape[1]) - 1
+    tied = np.flatnonzero((ids[:, -1] >= 0) & (sim[:, -1] > floor) & (sim[:, -1] >= sim[:, kth] - 1e-5) & (sim[:, kth] > (floor if min_cos is None else min_cos) - 1e-5))
+    usual = np.ones(len(nodes), bool)
+    usual[tied] = False
+    r, c = np.nonzero((ids >= 0) & (sim > floor) & usual[:, None])
+    q, o = nodes[r], indexed[ids[r, c]]
+    if len(tied):
+        least = np.full(len(first), len(x))
+        np.minimum.at(least, of[home], np.flatnonzero(home))
+        by_key = indexed[np.argsort(least[indexed])]
+        a, b = best_of_all(x, first[nodes[tied]], first[by_key], k + 1)
+        q, o = np.concatenate([q, nodes[tied[a]]]), np.concatenate([o, by_key[b]])
+    cos = np.concatenate([exact(x, first[q], first[o]), np.ones(len(indexed))])
+    q, o = np.concatenate([q, indexed]), np.concatenate([o, indexed])  # a node's own other keys, too
     if min_cos is not None:
         keep = cos >= min_cos
         q, o, cos = q[keep], o[keep], cos[keep]

@@ -65,6 +65,19 @@ def test_pairs(spark, shard_rows, copies):
     assert len(got) == len(set(got)) and len(set(got) & want) >= 0.97 * len(want) and len(set(got) - want) <= 0.03 * len(want)
 
 
+@pytest.mark.parametrize("shard_rows", [32_768, 60])
+def test_many_vectors_of_one_direction(spark, shard_rows):
+    # Their cosines are all 1, so among more of them than the graph's candidates the smaller keys must be chosen.
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal(24)
+    rows = [(f"a:{i:03}", [float(x) for x in v * f], 10) for i, f in enumerate(rng.uniform(0.01, 50, 90))]
+    rows += [(f"a:x{i:03}", [float(x) for x in r], 10) for i, r in enumerate(blobs(rng, [30] + [1] * 40))]
+    rows = [(*r, 7, "x", "y") for r in rows]
+    got = {tuple(r) for r in neighbours.similar_pairs(spark.createDataFrame(rows, VEC), shard_rows=shard_rows).collect()}
+    want = true_pairs(rows)
+    assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
+
+
 def test_empty_and_tiny(spark):
     none = spark.createDataFrame([], VEC)
     assert neighbours.similar_pairs(none).count() == 0

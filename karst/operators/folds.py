@@ -13,6 +13,8 @@ from karst.functions.ranks import global_rank, previous, running
 # -- task claims (E1-E6) ------------------------------------------------------------------------------------------------
 
 TASK_EVENT = "log_id string, seq long, at_ms long, task string, kind string, by string, hlc long, lease_ms long, winner string, winner_hlc long, granted_seq long, lease_expires_ms long, stale_seq long"
+# The names of the events in logs.
+EVENT_NAMES = {"task.open": "open", "claim.request": "request", "claim.grant": "grant", "claim.release": "release", "task.superseded": "superseded"}
 TASK_STATE = "log_id string, task string, state string, winner string, grant_seq long, granted_seq long, lease_expires_ms long, candidate string, candidate_seq long, requests int, epoch_start_seq long"
 
 
@@ -71,12 +73,23 @@ def task_states(events: DataFrame, now_ms: int) -> DataFrame:
 
 
 def decode_task_events(events: DataFrame) -> DataFrame:
-    """Typed task events of log events (log_id, seq, ingest_ms, payload JSON); what is no task event is passed over."""
-    names = {"task.open": "open", "claim.request": "request", "claim.granted": "grant", "claim.release": "release", "task.superseded": "superseded"}
-    p = F.from_json(F.col("payload").cast("string"), "type string, task string, by string, hlc long, lease_ms long, winner string, winner_hlc long, granted_seq long, lease_expires_ms long, stale_seq long")
-    kind = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("p.type")]
+    """Typed task events of log events (log_id, seq, ingest_ms, payload JSON); what is no task event is passed over.
+
+    Clocks (``hlc``, ``winner_hlc``) are hexadecimal text of 1 to 16 digits, anything else counts as 0.
+    """
+    p = F.from_json(F.col("payload").cast("string"), "t string, task string, by string, hlc string, lease_ms long, winner string, winner_hlc string, granted_seq long, lease_expires_ms long, stale_seq long, outcome string")
+    kind = F.create_map(*[F.lit(x) for kv in EVENT_NAMES.items() for x in kv])[F.col("p.t")]
     d = events.select("log_id", "seq", F.col("ingest_ms").alias("at_ms"), p.alias("p")).filter("p.task is not null")
-    return d.select("log_id", "seq", "at_ms", "p.task", kind.alias("kind"), *[f"p.{c}" for c in ("by", "hlc", "lease_ms", "winner", "winner_hlc", "granted_seq", "lease_expires_ms", "stale_seq")]).filter("kind is not null")
+    clock = lambda c: F.when(F.col(c).rlike("^[0-9A-Fa-f]{1,16}$"), F.conv(F.col(c), 16, -10).cast("long")).otherwise(F.lit(0).cast("long"))
+    columns = [clock(f"p.{c}").alias(c) if c.endswith("hlc") else F.col(f"p.{c}") for c in ("by", "hlc", "lease_ms", "winner", "winner_hlc", "granted_seq", "lease_expires_ms", "stale_seq")]
+    return d.select("log_id", "seq", "at_ms", "p.task", kind.alias("kind"), *columns).filter("kind is not null")
+
+
+def task_payload(kind: str, **columns: Column | str | int) -> Column:
+    """The JSON of a task event of a kind of ``EVENT_NAMES``; clocks are written as 16 hexadecimal digits."""
+    value = lambda c: c if isinstance(c, Column) else F.lit(c)
+    hexed = lambda k, c: F.lower(F.lpad(F.hex(value(c).cast("long")), 16, "0")) if k.endswith("hlc") else value(c)
+    return F.to_json(F.struct(F.lit(kind).alias("t"), *[hexed(k, c).alias(k) for k, c in columns.items()]))
 
 
 def grants_to_make(events: DataFrame, now_ms: int) -> DataFrame:

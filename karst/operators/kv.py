@@ -18,11 +18,16 @@ def bulk_get(kv: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def prefix_scan(kv: DataFrame, prefix: str = "", limit: int = 0, keep: str = "last", key: str = "key") -> DataFrame:
-    """Rows whose key starts with ``prefix``; of them the last (or first) ``limit`` by key, 0 for all. The prefix is pushed to the scan."""
+    """Rows whose key starts with ``prefix``, in order of key; of them the last (or first) ``limit``, 0 for all. The prefix is pushed to the scan.
+
+    Null keys are left out. All rows are ordered by a range partitioning, a limit is taken in each task first.
+    """
     if keep not in ("first", "last"):
         raise ValueError("keep is first or last")
     d = kv.filter(F.col(key).startswith(prefix)) if prefix else kv.filter(F.col(key).isNotNull())
-    return d if limit == 0 else d.orderBy(F.col(key).desc() if keep == "last" else F.col(key)).limit(limit)
+    if limit:
+        d = d.orderBy(F.col(key).desc() if keep == "last" else F.col(key)).limit(limit)
+    return d.orderBy(key)
 
 
 def scan(kv: DataFrame, prefix: str, limit: int = 100, keep: str = "last") -> DataFrame:
@@ -79,7 +84,8 @@ def counters(ops: DataFrame) -> DataFrame:
 
 def counter_totals(ops: DataFrame) -> DataFrame:
     """(reads, writes) over all operations."""
-    return ops.agg(F.sum((F.col("op") == "get").cast("int")).alias("reads"), F.sum((F.col("op") == "put").cast("int")).alias("writes"))
+    count = lambda op: F.coalesce(F.sum((F.col("op") == op).cast("int")), F.lit(0)).alias
+    return ops.agg(count("get")("reads"), count("put")("writes"))
 
 
 def chat_latest(messages: DataFrame, limit: int = 50, room: str | None = None) -> DataFrame:

@@ -188,18 +188,18 @@ def check_proofs(rows: DataFrame, domain: Domain = Domain()) -> DataFrame:
 def prefix_root(kv: DataFrame, prefix: str = "", first: int = 0, domain: str = "karst", bits: int = BLOCK_BITS) -> DataFrame:
     """(entries, root) of the Merkle tree over the rows (key, value, is_worm, ts_ms) below ``prefix`` in order of key, or over the ``first`` of them.
 
-    An odd node moves up as it is. No rows have the root of the empty tree. Positions come from ranks by the key's
-    first bytes, so no task sorts the whole table; then blocks are hashed as in ``nodes``.
+    An odd node moves up as it is. No rows have the root of the empty tree. Rows are partitioned by ranges of the key, and positions come from
+    ranks within a range and the counts of the ranges before, so no task sorts the whole table, whatever the keys have in common; then blocks are hashed as in ``nodes``.
     """
     name = lambda what: f"{domain}.prefix-root.{what}.v1".encode()
     d = kv.filter(F.col("key").startswith(prefix)).select("key", "value", "is_worm", "ts_ms")
     if first:
         d = d.orderBy("key").limit(first)
     k = F.col("key").cast("binary")
-    bucket = F.conv(F.hex(F.rpad(F.substring(k, len(prefix.encode()) + 1, 3), 3, F.lit(bytearray(b"\0")))), 16, 10).cast("int")
     v = F.coalesce(F.col("value").cast("binary"), F.lit(bytearray()))
     leaf = col_sha256(F.concat(col_bytes(name("leaf")), col_len64(k), col_len64(v), F.when(F.col("is_worm"), F.lit(bytearray(b"\x01"))).otherwise(F.lit(bytearray(b"\0"))), col_uint(F.col("ts_ms"), 8)))
-    level = global_rank(d.select("key", leaf.alias("hash"), F.lit(0).alias("one")), ["one"], bucket, ["key", "hash"])
+    ranges = written(d.select("key", leaf.alias("hash"), F.lit(0).alias("one")).repartitionByRange("key").withColumn("range", F.spark_partition_id()), "ranges")
+    level = global_rank(ranges, ["one"], F.col("range"), ["key", "hash"])
     level = written(level.select((F.col("rank") - 1).alias("pos"), "hash"), "leaves")
     n = entries = level.count()
 

@@ -10,11 +10,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karst.functions.vectors import normalized
-
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3  # fixed values of FNV-1a, 64 bits
 
 
@@ -39,13 +38,33 @@ class Params:
 
 
 def centroid(entries: DataFrame, metric: str = "cosine") -> DataFrame:
-    """(pos, mean) of each dimension, in DOUBLE; cosine takes unit vectors and leaves zero vectors out."""
-    d = entries.filter(F.size("vector") > 0)
-    v = F.col("vector")
-    if metric == "cosine":
-        d = d.filter(F.exists("vector", lambda x: x != 0))
-        v = normalized(v)
-    return d.select(F.posexplode(v).alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    """(pos, mean) of each dimension, in DOUBLE; cosine takes unit vectors and leaves zero vectors out. Null elements count as absent.
+
+    Vectors are added up in each task, so one row per dimension and task is shuffled.
+    """
+
+    def add(batches):
+        total, n = np.zeros(0), np.zeros(0, np.int64)
+        for b in batches:
+            col = b.column(0)
+            lengths = col.value_lengths().to_numpy(zero_copy_only=False)
+            for size in np.unique(lengths):
+                x = col.take(pa.array(np.flatnonzero(lengths == size))).flatten().to_numpy(zero_copy_only=False).reshape(-1, int(size)).astype(np.float64)
+                here = ~np.isnan(x) if x.dtype.kind == "f" else np.ones(x.shape, bool)
+                x = np.where(here, x, 0)
+                if metric == "cosine":
+                    norm = np.sqrt((x * x).sum(1))
+                    keep = norm > 0
+                    x, here = x[keep] / norm[keep, None], here[keep]
+                if size > len(total):
+                    total, n = np.pad(total, (0, size - len(total))), np.pad(n, (0, size - len(n)))
+                total[:size] += x.sum(0)
+                n[:size] += here.sum(0)
+        yield pa.RecordBatch.from_pydict({"pos": pa.array(np.arange(len(total)), pa.int32()), "s": total, "n": n})
+
+    d = entries.filter(F.size("vector") > 0).select(F.col("vector").cast("array<float>").alias("vector"))
+    parts = d.mapInArrow(add, "pos int, s double, n long").filter("n > 0")
+    return parts.groupBy("pos").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
 def fit(entries: DataFrame, ns: str, metric: str = "cosine") -> Params:
@@ -102,10 +121,10 @@ def encoded(entries: DataFrame, p: Params) -> DataFrame:
     return entries.withColumn("c", work("vector")).select(*entries.columns, "c.code", "c.code_norm", "c.code_corr")
 
 
-def estimated_search(codes: DataFrame, query: list[float], p: Params, k: int) -> DataFrame:
-    """(key, score): the k entries (key, code, code_norm, code_corr) with the least estimated distance.
+def with_estimate(codes: DataFrame, query: list[float], p: Params) -> DataFrame:
+    """Adds the estimated ``score`` of (key, code, code_norm, code_corr).
 
-    For cosine the score is (cos + 1) / 2 with the estimated cosine, which is not the scale of exact scores; for l2 it is 1 / (1 + distance).
+    For cosine it is (cos + 1) / 2 with the estimated cosine, which is not the scale of exact scores; for l2 it is 1 / (1 + distance).
     """
     sent = codes.sparkSession.sparkContext.broadcast((p, np.asarray(query, np.float64)))
 
@@ -115,10 +134,16 @@ def estimated_search(codes: DataFrame, query: list[float], p: Params, k: int) ->
         bits = np.unpackbits(np.frombuffer(b"".join(code), np.uint8).reshape(len(code), -1), axis=1)[:, : len(q)]
         return pd.Series(estimate(bits, norm.to_numpy(), corr.to_numpy(), q, p))
 
-    d = codes.filter("code is not null").withColumn("d", distance("code", "code_norm", "code_corr"))
+    d = codes.withColumn("d", distance("code", "code_norm", "code_corr"))
     cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - F.col("d") / 2))
     score = (cos + 1) / 2 if p.metric == "cosine" else 1 / (1 + F.greatest("d", F.lit(0.0)))
-    return d.select("key", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "key").limit(k)
+    return d.withColumn("score", score).drop("d")
+
+
+def estimated_search(codes: DataFrame, query: list[float], p: Params, k: int) -> DataFrame:
+    """(key, score): the k entries (key, code, code_norm, code_corr) with the greatest estimated score (``with_estimate``), to 6 digits."""
+    d = with_estimate(codes.filter("code is not null"), query, p)
+    return d.select("key", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "key").limit(k)
 
 
 def estimated_rerank(entries: DataFrame, codes: DataFrame, query: list[float], p: Params, k: int, oversample: int = 20) -> DataFrame:

@@ -24,11 +24,14 @@ def top_k(df: DataFrame, k: int, score: str = "score", key: str = "key") -> Data
     return df.orderBy(F.desc(score), key).limit(k)
 
 
-def search(entries: DataFrame, query: list[float], k: int = 10, ns: str = "vec:", metric: str = "cosine", decay: float = 0.0, tau_hours: float = 168.0, now_ms: int = 0, mode: str = "exact", exclude: str | None = None) -> DataFrame:
+def search(entries: DataFrame, query: list[float], k: int = 10, ns: str = "vec:", metric: str = "cosine", decay: float = 0.0, tau_hours: float = 168.0, now_ms: int = 0, mode: str = "exact", exclude: str | None = None, codes: DataFrame | None = None, params=None) -> DataFrame:
     """(key, score) of the ``k`` entries (key, vector, ts_ms) below ``ns`` most similar to ``query``.
 
-    ``exact`` and ``auto`` score all; ``bq`` ranks by sign codes only, ``bq_rerank`` scores the best 20 k of those exactly.
-    Entries of another dimension, null vectors and the key ``exclude`` are passed over. Scores are rounded to 6 digits.
+    ``exact`` and ``auto`` score all. ``bq`` and ``bq_rerank`` first take the best 20 k by codes, with decay. Without ``params``
+    these are sign codes, and both score what is left exactly. With the ``params`` of ``quantize.fit`` and, where they are stored, the
+    ``codes`` (key, code, code_norm, code_corr, ts_ms) of ``quantize.encoded`` they are estimated similarities: ``bq`` gives the estimates,
+    ``bq_rerank`` exact scores; for dot products, or a query of another dimension than the codes', both are exact searches. Only the codes are
+    read before the choice. Entries of another dimension, null vectors and the key ``exclude`` are passed over. Scores are rounded to 6 digits.
     """
     if tau_hours <= 0:
         raise ValueError("tau_hours must be above 0")
@@ -37,11 +40,22 @@ def search(entries: DataFrame, query: list[float], k: int = 10, ns: str = "vec:"
     d = entries.filter(F.col("key").startswith(ns) & (F.size("vector") == len(query)))
     if exclude is not None:
         d = d.filter(F.col("key") != exclude)
-    if mode in ("bq", "bq_rerank"):
+    if mode not in ("exact", "auto", "bq", "bq_rerank"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode.startswith("bq") and params is None:
         coarse = V.hamming_similarity(V.sign_code(F.col("vector")), V.sign_code(q), F.lit(len(query)))
-        d = top_k(d.withColumn("score", coarse), k * OVERSAMPLE)
+        d = top_k(d.withColumn("score", V.decayed(coarse, F.col("ts_ms"), decay, now_ms, tau_hours)), k * OVERSAMPLE)
+    elif mode.startswith("bq") and metric in ("cosine", "l2") and params.metric == metric and len(params.centroid) == len(query):
+        from karst.operators import quantize
+
+        c = quantize.encoded(d, params) if codes is None else codes.filter(F.col("key").startswith(ns))
+        if exclude is not None:
+            c = c.filter(F.col("key") != exclude)
+        c = quantize.with_estimate(c.filter("code is not null"), query, params)
+        c = top_k(c.select("key", V.decayed(F.col("score"), F.col("ts_ms"), decay, now_ms, tau_hours).alias("score")), k if mode == "bq" else k * OVERSAMPLE)
         if mode == "bq":
-            return top_k(d.select("key", F.round("score", 6).alias("score")), k)
+            return c.select("key", F.round("score", 6).alias("score"))
+        d = d.join(F.broadcast(c.select("key")), "key", "left_semi")  # at most 2,000 keys
     score = V.decayed(V.similarity(metric, F.col("vector"), q), F.col("ts_ms"), decay, now_ms, tau_hours)
     return top_k(d.select("key", F.round(score, 6).alias("score")), k)
 
@@ -136,9 +150,12 @@ def batch_top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "co
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def vector_stats(entries: DataFrame, ns: str = "vec:") -> DataFrame:
-    """(vectors, dims, worm): the dimension is that of the greatest key."""
+def vector_stats(entries: DataFrame, ns: str = "vec:", codes: DataFrame | None = None, inserts: int | None = None) -> DataFrame:
+    """(vectors, dims, worm): the dimension is that of the greatest key. With ``codes`` also ``codes`` and ``inserts``, which is as many as there are vectors where it isn't known."""
     d = entries.filter(F.col("key").startswith(ns))
+    if codes is not None:
+        n = codes.filter(F.col("key").startswith(ns) & F.col("code").isNotNull()).agg(F.count_distinct("key").alias("codes"))
+        return vector_stats(entries, ns).join(n, F.lit(True)).withColumn("inserts", F.col("vectors") if inserts is None else F.lit(inserts).cast("long"))  # one row each
     return d.agg(F.count(F.lit(1)).alias("vectors"), F.max_by(F.size("vector"), "key").alias("dims"), F.coalesce(F.sum(F.col("is_worm").cast("int")), F.lit(0)).alias("worm"))
 
 

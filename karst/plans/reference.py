@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from karst.functions import vectors as V
 from karst.functions.predicate import predicate
+from karst.functions.ranks import running
 from karst.operators import folds, kv, log, memory, mmr, proofs, quantize, search
 from karst.operators.intervals import org_hex
 from karst.runtime import new_path, written
@@ -110,7 +111,25 @@ _HAM = "1 - list_sum(list_transform(list_zip(v, qv), lambda z: case when (z[1] >
 
 @query(_top(_HAM))
 def bq_hamming_topk(spark, d):
-    return search.search_by_key(entries(spark, d), "vec:0", k=10, mode="bq")
+    """The coarse score itself."""
+    e, q = entries(spark, d), V.vector_literal(first_vector(spark, d))
+    score = V.hamming_similarity(V.sign_code(F.col("vector")), V.sign_code(q), F.lit(DIM))
+    return search.top_k(e.filter("vec_id <> 0").select("key", F.round(score, 6).alias("score")), 10)
+
+
+@query(
+    f"with {_E}, c as (select key, round(0.8 * ({_COS}) + 0.2 * exp(-greatest({NOW} - ts_ms, 0) / 3600000.0 / 168), 6) as score from (select * from e, q where vec_id <> 0 order by 0.8 * ({_HAM}) + 0.2 * exp(-greatest({NOW} - ts_ms, 0) / 3600000.0 / 168) desc, key limit 200) order by score desc, key limit 10),"
+    " x as (select key, round(list_dot_product(v, qv), 6) as score from e, q where vec_id <> 0 order by score desc, key limit 10)"
+    " select 'bq' as mode, * from c union all select 'bq_rerank', * from c union all select 'dot with codes', * from x"
+)
+def vsearch_bq_modes(spark, d):
+    """Both modes by sign codes, with decay, and the exact search that a dot product falls back to where other codes are stored."""
+    e = entries(spark, d)
+    options = {"k": 10, "decay": 0.2, "now_ms": NOW, "tau_hours": 168.0}
+    p = quantize.fit(e, "vec:")
+    runs = [(m, search.search_by_key(e, "vec:0", mode=m, **options)) for m in ("bq", "bq_rerank")] + [("dot with codes", search.search_by_key(e, "vec:0", k=10, metric="dot", mode="bq", params=p))]
+    parts = [r.select(F.lit(m).alias("mode"), "key", "score") for m, r in runs]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(f"with {_E}, c as (select key, v, qv from e, q where vec_id <> 0 order by {_HAM} desc, key limit 200) select key, round({_COS}, 6) as score from c order by score desc, key limit 10")
@@ -171,10 +190,10 @@ def namespace_metrics(spark, d):
     return search.namespace_metrics(table(spark, d, "vector"))
 
 
-@query(f"with {_E}, s as (select a.key as query, b.key as key, a.vec_id, round(list_cosine_similarity(a.v, b.v), 6) as score, {_HAM.replace('v, qv', 'a.v, b.v')} as ham from e a, e b where a.vec_id < 20 and a.key <> b.key), x as (select *, row_number() over (partition by query order by score desc, key) as r1, row_number() over (partition by query order by ham desc, key) as r2 from s) select query, count(*) filter (r1 <= 10 and r2 <= 100) / 10.0 as recall from x group by query")
+@query(f"with {_E}, s as (select a.key as query, b.key as key, a.vec_id, round(list_cosine_similarity(a.v, b.v), 6) as score, {_HAM.replace('v, qv', 'a.v, b.v')} as ham from e a, e b where a.vec_id % 50 = 0 and a.key <> b.key), x as (select *, row_number() over (partition by query order by score desc, key) as r1, row_number() over (partition by query order by ham desc, key) as r2 from s) select query, count(*) filter (r1 <= 10 and r2 <= 100) / 10.0 as recall from x group by query")
 def recall_at_k(spark, d):
     e = entries(spark, d)
-    q = e.filter("vec_id < 20").select("key", "vector")
+    q = e.filter("vec_id % 50 = 0").select("key", "vector")
     exact = search.batch_top_k(q, e.select("key", "vector"), 10).groupBy("query").agg(F.collect_list("key").alias("wanted"))
     signs = F.transform("vector", lambda x: F.when(x >= 0, 1.0).otherwise(-1.0).cast("float"))
     code = lambda x: x.select("key", signs.alias("vector"))
@@ -551,11 +570,13 @@ def stream_dedup(spark, d):
 
 @query("select event_type, list_sort(list(value))[least(count(*), floor(count(*) * 0.5)::bigint + 1)] as p50, list_sort(list(value))[least(count(*), floor(count(*) * 0.99)::bigint + 1)] as p99 from events group by 1")
 def value_percentiles(spark, d):
-    """The elements at floor(n * p) of each type's sorted values."""
-    from pyspark.sql import Window
-
+    """The elements at floor(n * p) of each type's sorted values: equal values are counted first, and ranks are sums by value bucket, so a type is spread over tasks."""
     e = table(spark, d, "events").filter("value is not null")
-    n = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    r = e.withColumn("i", F.row_number().over(Window.partitionBy("event_type").orderBy("value")) - 1).join(n, "event_type")
-    at = lambda p: F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.col("n") * p)), F.col("value")))
+    c = e.groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("n"))
+    ends = c.groupBy("event_type").agg(F.sum("n").alias("all"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    c = written(c.join(ends, "event_type"), "values")
+    bucket = F.floor((F.col("value") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300)) * 1023)
+    r = running(c, ["event_type"], bucket, ["value"], F.col("n"), "upto")
+    place = lambda p: F.least(F.col("all") - 1, F.floor(F.col("all") * p))
+    at = lambda p: F.max(F.when((F.col("upto") > place(p)) & (F.col("upto") - F.col("n") <= place(p)), F.col("value")))
     return r.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.99).alias("p99"))

@@ -20,6 +20,7 @@ from karst.sources.tables import Catalog
 
 Procedure = Callable[..., DataFrame]
 REGISTRY: dict[str, Procedure] = {}
+CODES = "key string, code binary, code_norm double, code_corr double, ts_ms long"
 VECTORS = "key string, vector array<float>, is_worm boolean, ts_ms long"
 CHAT = "key string, room string, username string, text string, ts_ms long"
 
@@ -55,19 +56,41 @@ def _upsert(c: Catalog, rows: DataFrame) -> DataFrame:
     return ok.select("key", F.lit("written").alias("outcome")).unionByName(bad.select("key", F.lit("worm").alias("outcome")))
 
 
+OPS = "key string, op string, ts_ms long, seq long"
+
+
+def _note(c: Catalog, key: str, op: str, now_ms: int) -> None:
+    """Counts an operation: counters and the metadata of keys are aggregates over these rows."""
+    c.configs["kv_seq"] = seq = c.configs.get("kv_seq", 0) + 1
+    c.append("kv_ops", _row(c, OPS, key, op, now_ms, seq))
+
+
 @register("kv_put")
 def kv_put(c, key: str, value: str, now_ms: int, worm: bool = False):
-    return _upsert(c, _row(c, "key string, value string, ts_ms long, is_worm boolean", key, value, now_ms, worm))
+    out = _upsert(c, _row(c, "key string, value string, ts_ms long, is_worm boolean", key, value, now_ms, worm))
+    if out.first().outcome == "written":
+        _note(c, key, "put", now_ms)
+    return out
 
 
 @register("kv_get")
-def kv_get(c, key: str):
-    return kv.get(c.read("kv"), key)
+def kv_get(c, key: str, now_ms: int = 0):
+    """The row of a key; an error where there is none. ``meta:<key>`` gives the key's counters as text."""
+    if key.startswith("meta:"):
+        m = kv.counters(c.read("kv_ops", OPS)).filter(F.col("key") == key[5:])
+        out = m.select(F.lit(key).alias("key"), F.format_string("created=%d\nupdated=%d\nwrites=%d\nreads=%d", "created_ms", "updated_ms", "writes", "reads").alias("value"), F.col("updated_ms").alias("ts_ms"), F.lit(False).alias("is_worm"))
+    else:
+        out = kv.get(c.read("kv"), key)
+    if out.isEmpty():
+        raise KeyError("key_not_found")
+    if not key.startswith("meta:"):
+        _note(c, key, "get", now_ms)
+    return out
 
 
 @register("kv_stats")
 def kv_stats(c):
-    return kv.counter_totals(c.read("kv_ops", "key string, op string, ts_ms long, seq long"))
+    return kv.counter_totals(c.read("kv_ops", OPS))
 
 
 @register("scan")
@@ -87,7 +110,7 @@ def increment(c, key: str, now_ms: int, delta: str = "1"):
 def transfer(c, src: str, dst: str, amount: int, now_ms: int):
     have = c.read("kv").filter(F.col("key").isin(src, dst)).select(F.lit("kv").alias("book"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("src"), F.col("key").alias("dst"), F.col("value").try_cast("bigint").alias("amount"))
     rows = have.filter("amount is not null").unionByName(_row(c, "book string, seq long, src string, dst string, amount long", "kv", 1, src, dst, amount))
-    out = folds.transfers(rows).cache()
+    out = written(folds.transfers(rows), "transfer")
     if not out.filter("seq = 1 and refused is null").isEmpty():
         new = folds.balances(out).select(F.col("account").alias("key"), F.col("balance").cast("string").alias("value"), F.lit(now_ms).cast("long").alias("ts_ms"), F.lit(False).alias("is_worm"))
         _upsert(c, new)
@@ -109,22 +132,32 @@ def chat_history(c, room: str, limit: int = 50):
 # -- vectors ------------------------------------------------------------------------------------------------------------
 
 
+def _with_codes(c: Catalog, options: dict) -> dict:
+    """The options of a search with the stored codes of its namespace, where there are any and its mode reads codes."""
+    ns = options.get("ns", "vec:")
+    if options.get("mode", "exact").startswith("bq") and f"codes:{ns}" in c.configs:
+        return {**options, "params": c.configs[f"codes:{ns}"], "codes": c.read(f"codes:{ns}", CODES)}
+    return options
+
+
 @register("vsearch")
 def vsearch(c, key: str, k: int = 10, **options):
-    return search.search_by_key(c.read("vectors", VECTORS), key, k=k, **options)
+    return search.search_by_key(c.read("vectors", VECTORS), key, k=k, **_with_codes(c, options))
 
 
 @register("vsearch_local_raw")
 def vsearch_local_raw(c, vector: list[float], k: int = 10, **options):
-    return search.search(c.read("vectors", VECTORS), vector, k=k, **options)
+    return search.search(c.read("vectors", VECTORS), vector, k=k, **_with_codes(c, options))
 
 
 @register("vsearch_cluster")
 def vsearch_cluster(c, key: str, k: int = 10, sources: tuple[str, ...] = ("vectors",), **options):
+    """(key, score, source, partial) over several tables; a table that isn't there is passed over and makes the result ``partial``."""
+    partial = F.lit(any(s not in c.tables and s not in c.layers for s in sources)).alias("partial")
     v = kv.get(c.read("vectors", VECTORS), key).select("vector").first()
     if v is None:
-        return c.spark.createDataFrame([], "key string, score double, source int")
-    return search.merge_results([search.search(c.read(s, VECTORS), list(v.vector), k=k, **options) for s in sources], search.clamp_k(k), key)
+        return c.spark.createDataFrame([], "key string, score double, source int").select("*", partial)
+    return search.merge_results([search.search(c.read(s, VECTORS), list(v.vector), k=k, **options) for s in sources], search.clamp_k(k), key).select("*", partial)
 
 
 @register("vsim")
@@ -144,20 +177,28 @@ def vinsert(c, rows: DataFrame, metric: str = "cosine"):
     c.append("vector_namespaces", ns.join(known, "ns", "left_anti").select("ns", F.lit(metric).alias("metric")))
     old = c.read("vectors", VECTORS)
     ok, bad = search.insert_batch(old, rows)
+    ok = written(ok, "inserted")
     c.put("vectors", old.join(ok.select("key"), "key", "left_anti").unionByName(ok.select(old.columns)))
+    for name, p in [(n, x) for n, x in c.configs.items() if n.startswith("codes:")]:  # codes follow their vectors
+        mine = ok.filter(F.col("key").startswith(name[6:]))
+        c.put(name, c.read(name, CODES).join(mine.select("key"), "key", "left_anti").unionByName(_coded(mine, p)))
+    c.configs["inserts"] = c.configs.get("inserts", 0) + ok.count()
     return ok.select("key", F.lit("inserted").alias("outcome")).unionByName(bad.select("key", F.col("reason").alias("outcome")))
 
 
 @register("vdelete")
 def vdelete(c, keys: DataFrame):
     rest, out = search.delete_keys(c.read("vectors", VECTORS), keys)
+    out = written(out, "outcome")
     c.put("vectors", rest)
+    for name in [n for n in c.configs if n.startswith("codes:")]:
+        c.put(name, c.read(name, CODES).join(out.filter("outcome = 'deleted'"), "key", "left_anti"))
     return out
 
 
 @register("vstats")
 def vstats(c, ns: str = "vec:"):
-    return search.vector_stats(c.read("vectors", VECTORS), ns)
+    return search.vector_stats(c.read("vectors", VECTORS), ns, c.read(f"codes:{ns}", CODES), c.configs.get("inserts"))
 
 
 @register("vreindex")
@@ -170,14 +211,19 @@ def vrabitq(c, ns: str, metric: str = "cosine"):
     d = c.read("vectors", VECTORS).filter(F.col("key").startswith(ns))
     p = quantize.fit(d, ns, metric)
     c.configs[f"codes:{ns}"] = p
-    c.put(f"codes:{ns}", quantize.encoded(d, p).select("key", "code", "code_norm", "code_corr"))
+    c.put(f"codes:{ns}", _coded(d, p))
     return c.read(f"codes:{ns}")
 
 
+def _coded(d: DataFrame, p: quantize.Params) -> DataFrame:
+    return quantize.encoded(d, p).select("key", "code", "code_norm", "code_corr", "ts_ms")
+
+
 @register("vnsdrop")
 def vnsdrop(c, ns: str, purge: bool = False):
     rest, counts = search.drop_namespace(c.read("vectors", VECTORS), ns)
     c.tables.pop(f"codes:{ns}", None)
+    c.configs.pop(f"codes:{ns}", None)
     if purge:
         c.put("vectors", rest)
     return counts
@@ -290,11 +336,13 @@ def _say(c: Catalog, log_id: str, now_ms: int, payloads: DataFrame) -> DataFrame
 
 @register("append_log_claim")
 def append_log_claim(c, log_id: str, task: str, by: str, hlc: int, lease_ms: int, now_ms: int):
-    """A request, and the grant that follows where nobody holds the task; gives the state after both."""
-    ask = F.to_json(F.struct(F.lit("claim.request").alias("type"), F.lit(task).alias("task"), F.lit(by).alias("by"), F.lit(hlc).alias("hlc"), F.lit(lease_ms).alias("lease_ms")))
+    """A request, and the grant that follows where nobody holds the task and the request is the one that wins; gives the state after both."""
+    ask = folds.task_payload("claim.request", task=task, hlc=hlc, by=by, lease_ms=lease_ms)
     _say(c, log_id, now_ms, c.spark.range(1).select(ask.alias("payload")))
-    g = folds.grants_to_make(_tasks(c, log_id), now_ms).filter(F.col("task") == task)
-    give = F.to_json(F.struct(F.lit("claim.granted").alias("type"), "task", "winner", "granted_seq", F.lit(now_ms + lease_ms).alias("lease_expires_ms")))
+    g = folds.grants_to_make(_tasks(c, log_id), now_ms).filter((F.col("task") == task) & (F.col("winner") == by))
+    asked = _tasks(c, log_id).filter("kind = 'request'").select(F.col("seq").alias("granted_seq"), F.col("hlc").alias("winner_hlc"), F.col("lease_ms").alias("lease"))
+    g = g.join(asked, "granted_seq")
+    give = folds.task_payload("claim.grant", task=F.col("task"), winner=F.col("winner"), winner_hlc=F.col("winner_hlc"), granted_seq=F.col("granted_seq"), lease_expires_ms=F.lit(now_ms) + F.col("lease"), hlc=hlc)
     _say(c, log_id, now_ms, g.select(give.alias("payload")))
     return append_log_claim_status(c, log_id, task, now_ms)
 
@@ -305,17 +353,17 @@ def append_log_claim_status(c, log_id: str, task: str, now_ms: int):
 
 
 @register("append_log_claim_release")
-def append_log_claim_release(c, log_id: str, task: str, by: str, outcome: str, now_ms: int):
+def append_log_claim_release(c, log_id: str, task: str, by: str, outcome: str, now_ms: int, hlc: int = 0):
     ask = _row(c, "log_id string, task string, by string, outcome string", log_id, task, by, outcome)
     ok = folds.may_release(append_log_claim_status(c, log_id, task, now_ms), ask)
-    _say(c, log_id, now_ms, ok.select(F.to_json(F.struct(F.lit("claim.release").alias("type"), "task", "by", "outcome")).alias("payload")))
+    _say(c, log_id, now_ms, ok.select(folds.task_payload("claim.release", task=F.col("task"), by=F.col("by"), outcome=F.col("outcome"), hlc=hlc).alias("payload")))
     return append_log_claim_status(c, log_id, task, now_ms)
 
 
 @register("append_log_claim_supersede")
-def append_log_claim_supersede(c, log_id: str, task: str, stale_seq: int, now_ms: int):
+def append_log_claim_supersede(c, log_id: str, task: str, stale_seq: int, now_ms: int, hlc: int = 0):
     ok = folds.may_supersede(_tasks(c, log_id), _row(c, "log_id string, task string, stale_seq long", log_id, task, stale_seq), now_ms)
-    _say(c, log_id, now_ms, ok.select(F.to_json(F.struct(F.lit("task.superseded").alias("type"), "task", "stale_seq")).alias("payload")))
+    _say(c, log_id, now_ms, ok.select(folds.task_payload("task.superseded", task=F.col("task"), stale_seq=F.col("stale_seq"), hlc=hlc).alias("payload")))
     return append_log_claim_status(c, log_id, task, now_ms)
 
 
@@ -355,8 +403,10 @@ def trust_revoke(c, rows: DataFrame, domain: str = "karst"):
 
 @register("trust_fold")
 def trust_fold(c, org: str, at_ms: int, to_org: str | None = None, domain: str = "karst"):
-    d = proofs.with_signature_check(c.read("trust"), domain)
-    return folds.trust_capabilities(d, org, at_ms, F.col("sig_ok"), to_org)
+    """The capabilities that hold, each row with ``invalid_events``, the rows of the log that count for nothing; where none holds, a row with that alone."""
+    d = written(proofs.with_signature_check(c.read("trust"), domain), "checked")
+    bad = folds.invalid_events(d, org, F.col("sig_ok"))
+    return bad.join(folds.trust_capabilities(d, org, at_ms, F.col("sig_ok"), to_org), F.lit(True), "left")  # one row on the left
 
 
 # -- memory -------------------------------------------------------------------------------------------------------------

@@ -30,11 +30,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; one of our own only where the session names none."""
+    """The shared folder named by ``spark.checkpoint.dir`` or ``karst.work.dir``; one of our own only where the session names none and runs on one machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.conf.get("karst.work.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         named = f"file://{tempfile.mkdtemp(prefix='karst-')}"
         spark.conf.set("karst.work.dir", named)
     return named.rstrip("/")

@@ -55,6 +55,18 @@ def derived(feed: DataFrame) -> DataFrame:
     return feed.select(channel.alias("channel"), F.to_json(F.struct("key")).alias("message"), F.col("timestamp").alias("ts_ms")).filter("channel is not null")
 
 
+def bulk_messages(batches: DataFrame) -> DataFrame:
+    """The message of each bulk add (ns, count, ts_ms) on mem:<ns>:added.bulk."""
+    channel = F.concat(F.lit("mem:"), "ns", F.lit(":added.bulk"))
+    return batches.select(channel.alias("channel"), F.to_json(F.struct(F.col("ns").alias("namespace"), "count")).alias("message"), "ts_ms")
+
+
+def presence_messages(changes: DataFrame) -> DataFrame:
+    """The message of each change (node, ts_ms, change) of ``folds.transitions`` on cluster:presence, with the state it leads to."""
+    state = F.when(F.col("change") == "recover", "alive").when(F.col("change") == "suspect", "suspected").otherwise(F.col("change"))
+    return changes.select(F.lit("cluster:presence").alias("channel"), F.to_json(F.struct(F.col("change").alias("event"), "node", state.alias("state"))).alias("message"), "ts_ms")
+
+
 def run_once(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Processes what is there and ends; gives the sink's rows. Run again with the same checkpoint, it goes on from there."""
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink).awaitTermination()

@@ -73,8 +73,8 @@ def test_fold_streams_in_any_order_of_rows(spark):
 
 
 def test_decoding(spark):
-    d = spark.createDataFrame([("l", 1, 5, '{"type":"claim.request","task":"t","by":"a","hlc":3}'), ("l", 2, 5, "not json"), ("l", 3, 5, '{"type":"other","task":"t"}'), ("l", 4, 5, None)], "log_id string, seq long, ingest_ms long, payload string")
-    assert [(r.seq, r.kind, r.by, r.hlc) for r in folds.decode_task_events(d).collect()] == [(1, "request", "a", 3)]
+    d = spark.createDataFrame([("l", 1, 5, '{"t":"claim.request","task":"t","by":"a","hlc":"0000000000000010","lease_ms":9}'), ("l", 2, 5, "not json"), ("l", 3, 5, '{"t":"other","task":"t"}'), ("l", 4, 5, None), ("l", 5, 5, '{"t":"claim.grant","task":"t","winner":"a","winner_hlc":"10","granted_seq":1,"lease_expires_ms":9,"hlc":"zz"}')], "log_id string, seq long, ingest_ms long, payload string")
+    assert [(r.seq, r.kind, r.by, r.hlc) for r in folds.decode_task_events(d).collect()] == [(1, "request", "a", 16), (5, "grant", None, 0)]
 
 
 TRUST = "seq long, kind string, from_org string, to_org string, cap_bits int, prefixes array<string>, granted_at_ms long, expires_at_ms long, grant_seq long, revoked_at_ms long"

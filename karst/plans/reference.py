@@ -284,9 +284,20 @@ def predicate_columns(spark, d):
     return e.select("event_id", p("k>=50").alias("numeric"), p("meta.k IN (1, '2', 69)").alias("listed"), p("ts>1705000000000").alias("later"), p("filter='absent=1'").alias("missing"), p('k="7" AND ts<1706000000000').alias("both"))
 
 
-@query()
+_FNV = "list_reduce(list_prepend({1}::bigint, list_transform(string_split({0}, ''), lambda c: ascii(c)::bigint)), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
+
+
+@query(
+    "with t as (select row_number() over () as n, key, coalesce(text, '') as text from chat_history), w as (select n, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from t),"
+    f" b as (select n, {_FNV.format('w', 2166136261)} % 32 as pos, case when {_FNV.format('w', 0x811C9DC5 ^ 0x9E3779B9)} % 2 = 1 then -1.0 else 1.0 end as s from w),"
+    " v as (select n, pos, sum(s) as x from b group by 1, 2), l as (select n, sqrt(sum(x * x)) as len from v group by 1),"
+    " u as (select n, pos, x / len as x from v join l using (n) where x <> 0 union all select n, 0, 1.0 from t where n not in (select n from b))"
+    " select key, pos::int as pos, round(x, 4) as x from u join t using (n)"
+)
 def hash_embeddings(spark, d):
-    return table(spark, d, "chat_history").select("key", memory.embedder(32)("text").alias("vector"))
+    """The elements that aren't 0."""
+    e = table(spark, d, "chat_history").select("key", F.posexplode(memory.embedder(32)("text")).alias("pos", "x"))
+    return e.filter("x <> 0").select("key", "pos", F.round(F.col("x").cast("double"), 4).alias("x"))
 
 
 # -- keys and values ------------------------------------------------------------------------------------------------------
@@ -370,9 +381,30 @@ def log_envelope_hash(spark, d):
     return log.with_event_hash(x).select("event_id", F.lower(F.hex("event_hash")).alias("event_hash"))
 
 
-@query("select 'user-' || user_id as log_id, count(*) as events, count(*) as last_seq from events group by 1")
+# The chain of each user's events, one step of the recursion per event, and the record hashes of its envelopes (bytes in hex).
+_CHAIN = (
+    "r as (select 'user-' || user_id as log_id, row_number() over (partition by user_id order by event_id, props) as seq, (epoch_us(ts) // 1000) as t, props from events),"
+    f" b as (select log_id, seq, hex(encode('WDBALOG1')) || '0001' || {_HEX.format('octet_length(encode(log_id))', 8)} || hex(encode(log_id)) || {_HEX.format('seq', 16)} as head,"
+    f" {_HEX.format('t', 16)} || sha256(props) || '00000000' || {_HEX.format('octet_length(encode(props))', 8)} || hex(encode(props)) as tail from r),"
+    " chain as (select log_id, seq, repeat('00', 32) as prev, sha256(unhex(head || repeat('00', 32) || tail)) as hash, sha256(unhex(head || repeat('00', 32) || tail || sha256(unhex(head || repeat('00', 32) || tail)))) as record from b where seq = 1"
+    " union all select b.log_id, b.seq, c.hash, sha256(unhex(b.head || c.hash || b.tail)), sha256(unhex(b.head || c.hash || b.tail || sha256(unhex(b.head || c.hash || b.tail)))) from chain c join b on b.log_id = c.log_id and b.seq = c.seq + 1)"
+)
+_MMR = "hex(encode('karst.proof.mmr.{0}.v1')) || '00'"
+# The levels of the trees over them: a node for each full pair below; then the peaks, from the left, and the root.
+_ROOTS = (
+    f"with recursive {_CHAIN},"
+    f" node as (select log_id, 0 as height, seq - 1 as pos, sha256(unhex({_MMR.format('leaf')} || {_HEX.format('seq - 1', 16)} || '0000000000000020' || record)) as hash from chain"
+    f" union all select * from (select log_id, height + 1 as height, pos // 2 as pos, sha256(unhex({_MMR.format('parent')} || {_HEX.format('height + 1', 2)} || hash || lead(hash) over (partition by log_id, height order by pos))) as hash, pos as own,"
+    " lead(pos) over (partition by log_id, height order by pos) as other from node) x where own % 2 = 0 and other = own + 1),"
+    " n as (select log_id, count(*) as leaves from chain group by 1),"
+    f" peak as (select n.log_id, leaves, string_agg({_HEX.format('height', 2)} || hash, '' order by height desc) as body, count(*) as peaks from n join node on node.log_id = n.log_id and (leaves >> height) & 1 = 1 and pos = (leaves >> height) - 1 group by 1, 2),"
+    f" root as (select log_id, leaves as leaf_count, sha256(unhex({_MMR.format('root')} || {_HEX.format('leaves', 16)} || {_HEX.format('peaks', 16)} || body)) as root from peak)"
+).replace("union all select * from (select log_id, height + 1", "union all select log_id, height, pos, hash from (select log_id, height + 1")
+
+
+@query(f"with recursive {_CHAIN} select log_id, count(*) as events, max(seq) as last_seq, upper(arg_max(hash, seq)) as head_hash from chain group by 1")
 def log_chain_report(spark, d):
-    return log.log_report(log.build_chain(log_rows(spark, d))).select("log_id", "events", "last_seq")
+    return log.log_report(log.build_chain(log_rows(spark, d))).select("log_id", "events", "last_seq", F.hex("head_hash").alias("head_hash"))
 
 
 @query("with x as (select 'user-' || user_id as log_id, row_number() over (partition by user_id order by event_id) as seq from events) select log_id, seq, 'payload_hash' as problem from x where seq = 3 union all select log_id, 6, 'sequence' from x where seq = 6")
@@ -388,20 +420,30 @@ def _tree(spark, d) -> tuple[DataFrame, DataFrame]:
     return mmr.nodes(leaves), leaves
 
 
-@query()
+@query(_ROOTS + " select log_id, leaf_count, upper(root) as root from root")
 def mmr_roots(spark, d):
     return mmr.roots(_tree(spark, d)[0]).select("log_id", "leaf_count", F.hex("root").alias("root"))
 
 
-@query("select 'user-' || user_id as log_id, count(*) as proofs, true as all_valid from events group by 1")
+@query("with x as (select 'user-' || user_id as log_id, row_number() over (partition by user_id order by event_id) - 1 as i from events) select log_id, count(*) as proofs, count(*) filter (i % 4 <> 1 and i % 4 <> 2 and i % 4 <> 3) as valid from x group by 1")
 def mmr_proofs_valid(spark, d):
-    """A proof for every event, each checked against its log's root."""
+    """A proof for every event, checked against its log's root; of each four, one is left as it is, one has a changed leaf, one a changed proof, one another root."""
     tree, leaves = _tree(spark, d)
     p = mmr.proofs(tree, leaves).join(leaves, ["log_id", "leaf_index"]).join(mmr.roots(tree), "log_id")
-    return mmr.check_proofs(p).groupBy("log_id").agg(F.count(F.lit(1)).alias("proofs"), F.bool_and("valid").alias("all_valid"))
+    kind, other = F.col("leaf_index") % 4, F.unhex(F.sha2("root", 256))
+    end = F.length("proof")
+    p = p.withColumns({"leaf": F.when(kind == 1, other).otherwise(F.col("leaf")), "proof": F.when(kind == 2, F.concat(F.substring(F.col("proof"), F.lit(1), end - 32), other)).otherwise(F.col("proof")), "root": F.when(kind == 3, other).otherwise(F.col("root"))})
+    return mmr.check_proofs(p).groupBy("log_id").agg(F.count(F.lit(1)).alias("proofs"), F.sum(F.col("valid").cast("int")).alias("valid"))
 
 
-@query()
+_LEAF = f"sha256(unhex(hex(encode('karst.prefix-root.leaf.v1')) || {_HEX.format('octet_length(encode(key))', 16)} || hex(encode(key)) || {_HEX.format('octet_length(encode(value))', 16)} || hex(encode(value)) || case when is_worm then '01' else '00' end || {_HEX.format('ts_ms', 16)}))"
+
+
+@query(
+    f"with recursive {_KV}, level as (select 0 as h, row_number() over (order by key) - 1 as pos, {_LEAF} as hash, count(*) over () as n from k"
+    " union all select h, pos, hash, n from (select h + 1 as h, pos // 2 as pos, case when lead(hash) over (order by pos) is null then hash else sha256(unhex(hex(encode('karst.prefix-root.node.v1')) || hash || lead(hash) over (order by pos))) end as hash, (n + 1) // 2 as n, pos as own from level where n > 1) x where own % 2 = 0)"
+    " select (select count(*) from k) as entries, upper(hash) as root from level where n = 1 and pos = 0 order by h desc limit 1"
+)
 def prefix_root(spark, d):
     return mmr.prefix_root(parts_kv(spark, d).drop("p_partkey"), "part:").select("entries", F.hex("root").alias("root"))
 
@@ -427,7 +469,26 @@ def task_events(spark, d) -> DataFrame:
     return e.select(F.lit("tasks").alias("log_id"), F.col("event_id").alias("seq"), ms().alias("at_ms"), F.concat(F.lit("task-"), F.col("user_id") % 40).alias("task"), F.coalesce(kind, F.lit("request")).alias("kind"), by.alias("by"), k.alias("hlc"), F.lit(60_000).cast("long").alias("lease_ms"), by.alias("winner"), k.alias("winner_hlc"), none.alias("granted_seq"), (ms() + k * 60_000).alias("lease_expires_ms"), none.alias("stale_seq"))
 
 
-@query()
+# The state of a task, one step of the recursion per event: epoch, what opened it, the grant, requests and the best ones of the epoch and since the grant.
+_TASKS = (
+    "ev as (select 'task-' || (user_id % 40) as task, event_id as seq, (epoch_us(ts) // 1000) as at, case event_type when 'purchase' then 'grant' when 'error' then 'release' when 'signup' then 'superseded' else 'request' end as kind,"
+    " 'user-' || (user_id % 5) as who, json_extract_string(props, '$.k')::bigint as k from events),"
+    " o as (select *, row_number() over (partition by task order by seq) as i from ev),"
+    " st as (select task, 0::bigint as i, 0::bigint as epoch, 'open' as base, null::bigint as gseq, null::varchar as winner, null::bigint as expires, 0::bigint as requests,"
+    " null::struct(h bigint, s bigint, b varchar) as best, null::struct(h bigint, s bigint, b varchar) as later from (select distinct task from ev)"
+    " union all select st.task, o.i, case when rel then o.seq else st.epoch end, case when rel then 'released' else st.base end, case when rel then null when gr then o.seq else st.gseq end, case when rel then null when gr then o.who else st.winner end,"
+    " case when rel then null when gr then o.at + coalesce(o.k, 0) * 60000 else st.expires end, case when rel then 0 when rq then st.requests + 1 else st.requests end,"
+    " case when rel then null when rq and st.gseq is null then least(coalesce(st.best, me), me) else st.best end,"
+    " case when rel or gr then null when rq and st.gseq is not null then least(coalesce(st.later, me), me) else st.later end"
+    " from st join o on o.task = st.task and o.i = st.i + 1, lateral (select o.kind = 'release' and st.gseq is not null and o.who = st.winner as rel, o.kind = 'grant' and (st.gseq is null or st.expires <= o.at) as gr, o.kind = 'request' as rq,"
+    " {'h': coalesce(o.k, 0), 's': o.seq, 'b': o.who} as me) z),"
+    " fin as (select * from st where (task, i) in (select (task, max(i)) from o group by task)),"
+    f" state as (select 'tasks' as log_id, task, case when gseq is null then base when expires > {NOW} then 'claimed' else 'expired' end as state, winner, gseq as grant_seq, case when gseq is not null then 0 end as granted_seq, expires as lease_expires_ms,"
+    f" case when gseq is null then best.b when expires <= {NOW} then later.b end as candidate, case when gseq is null then best.s when expires <= {NOW} then later.s end as candidate_seq, requests, epoch as epoch_start_seq from fin)"
+)
+
+
+@query(f"with recursive {_TASKS} select * from state")
 def task_fold(spark, d):
     return folds.task_states(task_events(spark, d), NOW)
 
@@ -502,7 +563,20 @@ def ledger_net(spark, d):
     return folds.balances(ledger_rows(spark, d).filter("src is not null").withColumn("refused", F.lit(None).cast("string")))
 
 
-@query()
+# Balances of a book as a map, one step of the recursion per row.
+_LEDGER = (
+    "rw as (select 'book-' || (o_custkey % 64) as book, o_orderkey + 1000000000 as seq, 'acct:' || o_custkey as src, 'till:' || (o_orderkey % 10) as dst, floor(o_totalprice)::bigint as amount from orders"
+    " union all select 'book-' || (c_custkey % 64), c_custkey, null, 'acct:' || c_custkey, 1000000 from customer"
+    " union all select 'book-' || (i % 64), i + 900000000, null, 'till:' || (i // 64), 0 from range(640) t(i)),"
+    " nr as (select *, row_number() over (partition by book order by seq) as i from rw),"
+    " fold as (select book, 0::bigint as i, null::bigint as seq, null::varchar as src, null::varchar as dst, null::bigint as amount, null::varchar as refused, map([]::varchar[], []::bigint[]) as m from (select distinct book from rw)"
+    " union all select f.book, r.i, r.seq, r.src, r.dst, r.amount, why, case when why is not null then f.m when r.src is null then map_concat(f.m, map([r.dst], [coalesce(f.m[r.dst], 0) + r.amount]))"
+    " else map_concat(f.m, map([r.src, r.dst], [f.m[r.src] - r.amount, f.m[r.dst] + r.amount])) end from fold f join nr r on r.book = f.book and r.i = f.i + 1,"
+    " lateral (select case when r.src is null then null when r.amount <= 0 then 'amount' when r.src = r.dst then 'same account' when f.m[r.src] is null or f.m[r.dst] is null then 'no account' when f.m[r.src] < r.amount then 'insufficient_funds' end as why) z)"
+)
+
+
+@query(f"with recursive {_LEDGER} select book, seq, src, dst, amount, refused from fold where i > 0")
 def ledger_transfers(spark, d):
     return folds.transfers(ledger_rows(spark, d))
 
@@ -556,7 +630,7 @@ def session_counts(spark, d):
     return bus.session_counts(table(spark, d, "events"), "ts", ["user_id"], "2 hours")
 
 
-@query()
+@query("with w as (select epoch_ms(time_bucket(interval '1 hour', ts)) as start_ms, event_type, count(*) as events from events group by all) select start_ms, start_ms + 3600000 as end_ms, event_type, events from w where start_ms + 3600000 <= (select max(epoch_us(ts) // 1000) from events) - 3600000")
 def stream_window_counts(spark, d):
     """The windows that the watermark has closed when the files are read."""
     return _run(bus.window_counts(_stream(spark, d), "ts", ["event_type"], "1 hour"), "windows")

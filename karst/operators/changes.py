@@ -39,56 +39,108 @@ def supersedes(n: str, o: str) -> Column:
     return F.when(nw & ow, a < b).when(nw, True).when(ow, False).otherwise(a > b)
 
 
+OLD = "old_file string, old_part long, old_bit long"  # stored beside each image: the position of the row it supersedes
+INDEX = "key string, ts long, lsn long, worm boolean, file string, part long, bit long, version int"
+
+
 class DeleteVectorTable:
     """A keyed table in immutable files with a bitmap per file of the rows that no longer hold.
 
-    ``apply`` finds the current row of each changed key through the index (key to file and position), sets the bits of
-    superseded positions and appends the new images; nothing is rewritten. ``live`` and ``read`` filter positions whose bit is set.
-    Deletes are images, too (``dead``), so that a late older set can't bring a key back. A bitmap covers 32,768
-    positions of a file. Each ``apply`` writes its images and bitmaps below ``path``/v<n>; what is not yet listed in ``versions`` is not read,
-    so a failed apply leaves no trace.
+    ``apply`` looks up the current row of each changed key in a stored index (key to file and position, in ``buckets`` hash buckets, one
+    folder each), reading only the buckets of changed keys; it sets the bits of superseded positions and appends the new images and their
+    index rows. Nothing is rewritten, and no image is read. ``live`` and ``read`` filter positions whose bit is set. Deletes
+    are images, too (``dead``), so that a late older set can't bring a key back. A bitmap covers 32,768 positions of a file.
+    Each ``apply`` writes below ``path``/v<n>; what is not yet listed here is not read, so a failed apply leaves no trace. After ``merge_at`` of
+    them the index and the bitmaps are merged (``merge``); ``rewrite`` also drops superseded images.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.versions = spark, path or new_path(spark, "changes"), 0
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32, merge_at: int = 16):
+        self.spark, self.path, self.buckets, self.merge_at = spark, path or new_path(spark, "changes"), buckets, merge_at
+        self.versions = 0
+        self.image_parts: list[str] = []
+        self.index_parts: list[str] = []
+        self.bits_parts: list[str] = []
 
-    def _images(self) -> DataFrame | None:
-        """All images with file and position."""
-        if not self.versions:
-            return None
-        d = self.spark.read.schema(IMAGE).parquet(*[f"{self.path}/v{v}/images" for v in range(self.versions)])
+    def _bucket(self, key: str = "key") -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(7)), F.lit(self.buckets)).cast("int")
+
+    def _images(self, parts: list[str] | None = None, schema: str = IMAGE) -> DataFrame:
+        """Images, all or of some parts, with file and position."""
+        d = self.spark.read.schema(schema).parquet(*(parts or self.image_parts))
         at = F.col("_metadata.row_index")
-        return d.select("*", F.col("_metadata.file_path").alias("file"), at.alias("pos"), F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("bit"))
+        return d.select("*", F.col("_metadata.file_path").alias("file"), F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("bit"))
 
     def _bitmaps(self) -> DataFrame:
-        d = self.spark.read.schema("file string, part long, bits binary").parquet(*[f"{self.path}/v{v}/bits" for v in range(self.versions)])
+        d = self.spark.read.schema("file string, part long, bits binary").parquet(*self.bits_parts)
         return d.groupBy("file", "part").agg(F.bitmap_or_agg("bits").alias("bits"))
 
+    def index(self, buckets: list[int] | None = None) -> DataFrame:
+        """The current position of each key, of some buckets: of several index rows of a key the one of the latest version counts."""
+        d = None
+        for part in self.index_parts:
+            x = self.spark.read.schema(f"{INDEX}, bucket int").parquet(part)
+            d = x if d is None else d.unionByName(x)
+        if buckets is not None:
+            d = d.filter(F.col("bucket").isin(buckets))
+        row = F.struct("version", "ts", "lsn", "worm", "file", "part", "bit")
+        return d.groupBy("bucket", "key").agg(F.max_by(row, "version").alias("r")).select("bucket", "key", "r.*")
+
     def live(self) -> DataFrame | None:
-        """Images whose bit is not set, with file and position: this is also the key index."""
-        images = self._images()
-        if images is None:
+        """Images whose bit is not set, with file and position."""
+        if not self.versions:
             return None
         byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         is_set = F.coalesce(F.getbit(byte, (F.col("bit") % 8).cast("int")), F.lit(0))
-        return images.join(self._bitmaps(), ["file", "part"], "left").filter(is_set == 0).drop("bits")
+        return self._images().join(self._bitmaps(), ["file", "part"], "left").filter(is_set == 0).drop("bits")
 
     def apply(self, records: DataFrame) -> None:
         """Applies records (key, value, lsn, ts, worm, dead), in whatever order they come."""
-        new, index = winners(records), self.live()
+        new, names = winners(records), [c.split()[0] for c in IMAGE.split(", ")]
         out = f"{self.path}/v{self.versions}"
-        where = "file string, part long, bit long"
-        if index is None:
-            plan = new.select("*", F.lit(True).alias("wins"), *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in where.split(", ")])
+        none = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in OLD.split(", ")]
+        if not self.versions:
+            images = new.select(*names, *none)
         else:
-            # The changed keys are few against the table; the plan leaves the choice of join to their size at run time.
-            both = new.alias("n").join(index.select("key", "ts", "lsn", "worm", "file", "part", "bit").alias("o"), F.col("n.key") == F.col("o.key"), "left")
-            plan = both.select("n.*", (F.col("o.key").isNull() | supersedes("n", "o")).alias("wins"), "o.file", "o.part", "o.bit").filter("wins")
-        # Written once, so that the feed and the index are read once, and images and bitmaps come from the same rows.
-        plan.write.parquet(f"{out}/plan")
-        plan = self.spark.read.schema(f"{IMAGE}, wins boolean, {where}").parquet(f"{out}/plan")
-        plan.select(*[c.split()[0] for c in IMAGE.split(", ")]).write.parquet(f"{out}/images")
-        plan.filter("file is not null").groupBy("file", "part").agg(F.bitmap_construct_agg(F.col("bit")).alias("bits")).write.parquet(f"{out}/bits")
+            # Written once, so that the feed is read once; the numbers of touched buckets are all that reaches the driver.
+            new.withColumn("bucket", self._bucket()).write.parquet(f"{out}/changes")
+            new = self.spark.read.schema(f"{IMAGE}, bucket int").parquet(f"{out}/changes")
+            touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())
+            both = new.alias("n").join(self.index(touched).alias("o"), (F.col("n.bucket") == F.col("o.bucket")) & (F.col("n.key") == F.col("o.key")), "left")
+            both = both.filter(F.col("o.key").isNull() | supersedes("n", "o"))
+            images = both.select(*[f"n.{c}" for c in names], F.col("o.file").alias("old_file"), F.col("o.part").alias("old_part"), F.col("o.bit").alias("old_bit"))
+        images.write.parquet(f"{out}/images")
+        old = self.spark.read.schema(OLD).parquet(f"{out}/images").filter("old_file is not null")
+        old.groupBy(F.col("old_file").alias("file"), F.col("old_part").alias("part")).agg(F.bitmap_construct_agg(F.col("old_bit")).alias("bits")).write.parquet(f"{out}/bits")
+        self._write_index(self._images([f"{out}/images"], "key string, ts long, lsn long, worm boolean"), f"{out}/index")
+        self.image_parts.append(f"{out}/images")
+        self.index_parts.append(f"{out}/index")
+        self.bits_parts.append(f"{out}/bits")
+        self.versions += 1
+        if len(self.index_parts) > self.merge_at:
+            self.merge()
+
+    def _write_index(self, rows: DataFrame, path: str) -> None:
+        d = rows.select("key", "ts", "lsn", "worm", "file", "part", "bit", F.lit(self.versions).alias("version"), self._bucket().alias("bucket"))
+        d.repartition("bucket").write.partitionBy("bucket").parquet(path)
+
+    def merge(self) -> None:
+        """Merges the parts of the index and of the bitmaps into one each; images stay where they are."""
+        out = f"{self.path}/m{self.versions}"
+        self.index().select(*[c.split()[0] for c in INDEX.split(", ")], "bucket").repartition("bucket").write.partitionBy("bucket").parquet(f"{out}/index")
+        self._bitmaps().write.parquet(f"{out}/bits")
+        self.index_parts, self.bits_parts = [f"{out}/index"], [f"{out}/bits"]
+
+    def rewrite(self) -> None:
+        """Writes the live images anew, in order of key, with an index of their own and no bits."""
+        live = self.live()
+        if live is None:
+            return
+        out = f"{self.path}/v{self.versions}"
+        names = [c.split()[0] for c in IMAGE.split(", ")]
+        live.select(*names).repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{out}/images")
+        self.spark.createDataFrame([], "file string, part long, bits binary").write.parquet(f"{out}/bits")
+        self._write_index(self._images([f"{out}/images"], "key string, ts long, lsn long, worm boolean"), f"{out}/index")
+        self.image_parts, self.index_parts, self.bits_parts = [f"{out}/images"], [f"{out}/index"], [f"{out}/bits"]
         self.versions += 1
 
     def read(self) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from karst.operators.changes import DeleteVectorTable, key_records, record_kind, replay, winners
 
@@ -79,3 +80,46 @@ def test_spelling(spark):
 
     d = spark.createDataFrame([(" DEL ",), ("vInsert",), (None,), ("x",)], "t string").select(record_kind(F.col("t")).alias("k"))
     assert [r.k for r in d.collect()] == ["delete", "vinsert", None, None]
+
+
+def scanned(df) -> int:
+    """Rows that a collected query has read from files."""
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if name == "FileSourceScanExec":
+            found += p.metrics().apply("numOutputRows").value()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        else:
+            c = p.children()
+            todo += [c.apply(i) for i in range(c.size())]
+    return found
+
+
+def test_a_small_batch_reads_only_its_buckets(spark, tmp_path):
+    t = DeleteVectorTable(spark, str(tmp_path), buckets=400)
+    record = lambda d: d.select(F.concat(F.lit("k"), "id").alias("key"), F.lit("v").alias("value"), F.col("id").alias("lsn"), F.col("id").alias("ts"), F.lit(False).alias("worm"), F.lit(False).alias("dead"))
+    t.apply(record(spark.range(20_000)).coalesce(1))
+    t.apply(record(spark.range(20_000, 20_004)).unionByName(record(spark.range(5)).withColumn("ts", F.lit(99_999).cast("long"))))
+    buckets = [r.bucket for r in spark.read.parquet(f"{tmp_path}/v1/changes").select("bucket").distinct().collect()]
+    assert len(buckets) <= 9 and scanned(t.index(buckets)) < 1_000  # of 20,009 index rows
+    assert t.read().count() == 20_004 and t._bitmaps().selectExpr("sum(bitmap_count(bits)) as n").first().n == 5
+
+
+def test_merged_and_rewritten_tables_are_the_same(spark, tmp_path):
+    rows = feed(9, 200, 15)
+    t = DeleteVectorTable(spark, str(tmp_path), buckets=4, merge_at=2)
+    for i in range(0, len(rows), 50):
+        t.apply(key_records(spark.createDataFrame(rows[i : i + 50], SCHEMA)))
+    assert len(t.index_parts) <= 2
+    want = by_hand(rows)
+    assert {r.key: (r.value, r.lsn) for r in t.read().collect()} == want
+    t.rewrite()
+    assert {r.key: (r.value, r.lsn) for r in t.read().collect()} == want and t._images().count() == t.live().count()
+    t.apply(key_records(spark.createDataFrame(rows[:50], SCHEMA)))  # repeated records change nothing
+    assert {r.key: (r.value, r.lsn) for r in t.read().collect()} == want

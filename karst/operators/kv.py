@@ -40,6 +40,12 @@ def prefix_count(kv: DataFrame, prefix: str) -> DataFrame:
     return kv.filter(F.col("key").startswith(prefix)).agg(F.count_distinct("key").alias("n"))
 
 
+def status(kv: DataFrame) -> DataFrame:
+    """(keys, worm, bytes): entries, write-once ones among them, and the bytes of keys and values."""
+    size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
+    return kv.agg(F.count("key").alias("keys"), F.coalesce(F.sum(F.coalesce(F.col("is_worm"), F.lit(False)).cast("int")), F.lit(0)).alias("worm"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+
+
 def entry_metadata(kv: DataFrame) -> DataFrame:
     """(key, ts_ms, is_worm, bytes, sha256)."""
     return kv.select("key", "ts_ms", "is_worm", F.octet_length("value").alias("bytes"), F.sha2(F.col("value").cast("binary"), 256).alias("sha256"))

@@ -219,6 +219,20 @@ def prefix_root(kv: DataFrame, prefix: str = "", first: int = 0, domain: str = "
     return level.select(F.lit(entries).cast("long").alias("entries"), F.col("hash").alias("root"))
 
 
+def sync_plan(mine: DataFrame, theirs: DataFrame, prefix: str = "", domain: str = "karst") -> DataFrame:
+    """(action, mine, theirs): what brings the other side up to date, by roots alone.
+
+    ``none`` where the roots are equal; ``tail`` where theirs is the root of my first rows, of which there are as many as they have; else ``full``.
+    """
+    a, b = prefix_root(mine, prefix, 0, domain).first(), prefix_root(theirs, prefix, 0, domain).first()  # one row each
+    action = "none" if a.root == b.root else "full"
+    if action == "full" and 0 < b.entries < a.entries:
+        action = "tail" if prefix_root(mine, prefix, b.entries, domain).first().root == b.root else "full"
+    elif action == "full" and b.entries == 0:
+        action = "tail"
+    return mine.sparkSession.createDataFrame([(action, a.entries, b.entries)], "action string, mine long, theirs long")
+
+
 def table_difference(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     """(key, status) of rows (key, value, is_worm, ts_ms) to send (``only_mine``), to fetch (``only_theirs``) or that differ."""
     image = F.xxhash64("value", "is_worm", "ts_ms")

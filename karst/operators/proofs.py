@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,8 +141,6 @@ def verify_parts(records: DataFrame, proofs: DataFrame, c: Checkpoint, domain: s
 
     @F.pandas_udf("boolean")
     def envelope_ok(seq, data):
-        import pandas as pd
-
         def ok(s, b):
             try:
                 e = log.decode(bytes(b))
@@ -157,8 +156,6 @@ def verify_parts(records: DataFrame, proofs: DataFrame, c: Checkpoint, domain: s
 
     @F.pandas_udf("boolean")
     def proof_ok(seq, leaf, proof):
-        import pandas as pd
-
         def ok(s, x, b):
             try:
                 p = mmr.Proof.decode(bytes(b))
@@ -235,8 +232,6 @@ def revoke_bytes(from_org: bytes, to_org: bytes, grant_seq: int, revoked_ms: int
 
 def with_signature_check(trust: DataFrame, domain: str = "karst", name: str = "sig_ok") -> DataFrame:
     """Adds whether an event of a trust log (from_org and to_org in hex) is signed by from_org."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def ok(kind: pd.Series, a: pd.Series, b: pd.Series, caps: pd.Series, prefixes: pd.Series, exp: pd.Series, granted: pd.Series, seq: pd.Series, revoked: pd.Series, sig: pd.Series) -> pd.Series:
         def one(kind, a, b, caps, prefixes, exp, granted, seq, revoked, sig):

@@ -48,14 +48,6 @@ def _row(c: Catalog, schema: str, *values) -> DataFrame:
 # -- keys and values ----------------------------------------------------------------------------------------------------
 
 
-def _upsert(c: Catalog, rows: DataFrame) -> DataFrame:
-    """Writes rows whose key isn't write-once; gives (key, outcome)."""
-    old = c.read("kv")
-    ok, bad = kv.checked_writes(old, rows)
-    c.put("kv", old.join(ok.select("key"), "key", "left_anti").unionByName(ok.select(old.columns)))
-    return ok.select("key", F.lit("written").alias("outcome")).unionByName(bad.select("key", F.lit("worm").alias("outcome")))
-
-
 OPS = "key string, op string, ts_ms long, seq long"
 
 
@@ -67,7 +59,7 @@ def _note(c: Catalog, key: str, op: str, now_ms: int) -> None:
 
 @register("kv_put")
 def kv_put(c, key: str, value: str, now_ms: int, worm: bool = False):
-    out = _upsert(c, _row(c, "key string, value string, ts_ms long, is_worm boolean", key, value, now_ms, worm))
+    out = c.set(_row(c, "key string, value string, ts_ms long, is_worm boolean", key, value, now_ms, worm))
     if out.first().outcome == "written":
         _note(c, key, "put", now_ms)
     return out
@@ -102,7 +94,8 @@ def scan(c, prefix: str, limit: int = 100, cut: str = "last"):
 def increment(c, key: str, now_ms: int, delta: str = "1"):
     old = kv.get(c.read("kv"), key).agg(F.first("value").alias("value"))
     new = old.select(F.lit(key).alias("key"), (kv.to_number(F.col("value")) + kv.to_number(F.lit(delta), 1)).cast("string").alias("value"), F.lit(now_ms).cast("long").alias("ts_ms"), F.lit(False).alias("is_worm"))
-    _upsert(c, new)
+    new = written(new, "increment")
+    c.set(new)
     return new.select("key", "value")
 
 
@@ -113,7 +106,7 @@ def transfer(c, src: str, dst: str, amount: int, now_ms: int):
     out = written(folds.transfers(rows), "transfer")
     if not out.filter("seq = 1 and refused is null").isEmpty():
         new = folds.balances(out).select(F.col("account").alias("key"), F.col("balance").cast("string").alias("value"), F.lit(now_ms).cast("long").alias("ts_ms"), F.lit(False).alias("is_worm"))
-        _upsert(c, new)
+        c.set(new)
     return out.filter("seq = 1").select("src", "dst", "amount", "refused")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karst.operators.changes import replay
-from karst.operators.kv import overlay
+from karst.operators.kv import bulk_get, checked_writes, overlay, status
 from karst.runtime import ship, written
 
 KV = "key string, value string, ts_ms long, is_worm boolean"
@@ -99,6 +99,31 @@ class Catalog:
         """Replaces a table; it is written at once (unless ``durable`` is off), so what comes later doesn't work it out again."""
         self.tables[name] = written(df, "table") if self.durable else df
 
+    # -- the key-value table, as commands ------------------------------------------------------------------------------
+
+    def set(self, rows: DataFrame, name: str = "kv") -> DataFrame:
+        """Writes rows (key, value, ts_ms, is_worm) whose key isn't write-once; gives (key, outcome): written or worm."""
+        old = self.read(name)
+        ok, bad = checked_writes(old, rows)
+        out = written(ok.select("key", F.lit("written").alias("outcome")).unionByName(bad.select("key", F.lit("worm").alias("outcome"))), "outcome")
+        self.put(name, old.join(ok.select("key"), "key", "left_anti").unionByName(ok.select(old.columns)))
+        return out
+
+    def get(self, keys: DataFrame, name: str = "kv") -> DataFrame:
+        """(key, value) of each of ``keys`` (key), null where there is none."""
+        return bulk_get(self.read(name), keys)
+
+    def delete(self, keys: DataFrame, name: str = "kv") -> DataFrame:
+        """Removes ``keys`` (key) that aren't write-once; gives (key, outcome): deleted, worm or missing."""
+        old = self.read(name)
+        there = keys.select("key").distinct().join(old.groupBy("key").agg(F.bool_or(F.coalesce("is_worm", F.lit(False))).alias("worm")), "key", "left")
+        out = written(there.select("key", F.when(F.col("worm").isNull(), "missing").when(F.col("worm"), "worm").otherwise("deleted").alias("outcome")), "outcome")
+        self.put(name, old.join(out.filter("outcome = 'deleted'"), "key", "left_anti"))
+        return out
+
+    def status(self, name: str = "kv") -> DataFrame:
+        return status(self.read(name))
+
     def append(self, name: str, df: DataFrame) -> None:
         """Adds rows, which alone are written."""
         new = written(df, "rows") if self.durable else df

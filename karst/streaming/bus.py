@@ -132,6 +132,17 @@ def task_states(events: DataFrame, now_ms: int) -> DataFrame:
     return events.select(*kinds).groupBy("log_id", "task").applyInPandasWithState(fold_text, TASK_STATE, "last long, epoch long, base string, grant_ array<string>, requests int, first_ array<string>, later array<string>", "update", GroupStateTimeout.NoTimeout)
 
 
+def unsubscribe(query) -> None:
+    """Ends a running subscription; what its sink has stays, and the same checkpoint goes on from there."""
+    query.stop()
+    query.awaitTermination()
+
+
+def counters(spark: SparkSession, messages: DataFrame) -> DataFrame:
+    """(channels, publishes, subscribers) of a folder's messages and the session's running streams. Nothing is ever dropped."""
+    return messages.agg(F.count_distinct("channel").alias("channels"), F.count(F.lit(1)).alias("publishes"), F.lit(len(spark.streams.active)).alias("subscribers"))
+
+
 def progress(query) -> dict[str, int]:
     """Counters of a running query."""
     p = query.lastProgress

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 # Fixed value: how byte-level vocabularies of this kind split a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHED, LONGEST = 500_000, 64  # words kept with their ids, and the longest that is
+POINTS = 1 << 20  # code points that are split at once
 CHUNK = 4 << 20  # ids after which a result batch is handed on
 
 
@@ -48,6 +50,55 @@ def load_rules(path: str) -> tuple[np.ndarray, np.ndarray]:
     return base, np.array([(ids[a], ids[b], ids[a + b]) for a, b in pairs], np.int32)
 
 
+LETTER, NUMBER, OTHER, SPACE, BREAK = range(5)
+POWERS = np.random.default_rng(1).integers(1, 1 << 62, 4096, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """The class of each code point, as the pattern's classes have it."""
+    table = np.full(0x110000, OTHER, np.int8)
+    every = "".join(map(chr, range(0x110000)))
+    for kind, name in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(name, every):
+            table[m.start() : m.end()] = kind
+    return table
+
+
+def words_of(joined: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of the texts as ``PATTERN`` splits them, found by the changes of class in all texts at once: code points, begins, ends, number of the text.
+
+    A run of letters, of digits or of other signs is a word, with one blank before it. Of white space before a word the last
+    character stands alone unless it is that blank. 's and the like are words where the sign is no part of a longer run.
+    ``joined`` has one character after each text.
+    """
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _classes()[points]
+    stops = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+    kind[stops] = BREAK
+    start = np.append(True, kind[1:] != kind[:-1])
+    start[stops] = True
+    runs = np.flatnonzero(start)
+    begins = start.copy()
+    after = runs[(kind[runs] <= OTHER) & (runs > 0)]
+    after = after[kind[after - 1] == SPACE]
+    begins[after - 1] = True
+    begins[after] = points[after - 1] != 32
+    i = runs[(points[runs] == 39) & begins[runs]]
+    i = i[kind[i + 1] == LETTER]  # a text ends with a stop, so there is a next character
+    one, two = points[i + 1], points[np.minimum(i + 2, len(points) - 1)]
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    long = ((one == 114) & (two == 101)) | ((one == 118) & (two == 101)) | ((one == 108) & (two == 108))
+    begins[i[short | long] + 1] = False
+    for at in (i[short] + 2, i[long] + 3):
+        begins[at[kind[at] == LETTER]] = True
+    begin = np.flatnonzero(begins)
+    end = np.append(begin[1:], len(points))
+    real = kind[begin] != BREAK
+    begin, end = begin[real], end[real]
+    return points, begin, end, np.searchsorted(stops, begin)
+
+
 class Automaton:
     def __init__(self, base: np.ndarray, rules: np.ndarray):
         self.label: dict[int, bytes] = {int(i): bytes([b]) for b, i in enumerate(base)}
@@ -64,7 +115,6 @@ class Automaton:
         self.ends = {v[i:] for v in self.ids for i in range(len(v))}
         self.arcs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
-        self.split = regex.compile(PATTERN).findall
 
     def arc(self, t: int, u: int) -> bool:
         known = self.arcs.get((t, u))
@@ -110,19 +160,58 @@ class Automaton:
         return tuple(reversed(out))
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        words = self.words
-        for p in self.split(text):
-            got = words.get(p)
-            if got is None:
-                got = self.word(p.encode("utf-8"))
-                if len(p) <= LONGEST:
-                    if len(words) >= CACHED:
-                        words.clear()
-                        self.arcs.clear()
-                    words[p] = got
-            out += got
-        return out
+        return self.encode_all([text])[0].tolist()
+
+    def of_word(self, p: str) -> tuple[int, ...]:
+        """The ids of a word, kept if it is short."""
+        got = self.words.get(p)
+        if got is None:
+            got = self.word(p.encode("utf-8"))
+            if len(p) <= LONGEST:
+                if len(self.words) >= CACHED:
+                    self.words.clear()
+                    self.arcs.clear()
+                self.words[p] = got
+        return got
+
+    def _distinct(self, texts: list[str]) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray]:
+        """Ids of the distinct words of the texts; then for each word in order its number among those, and the number of its text."""
+        joined = "\0".join(texts) + "\0"
+        points, begin, end, text_of = words_of(joined, texts)
+        if not len(begin):
+            return [], begin, text_of
+        size = end - begin
+        points = np.delete(points, np.cumsum([len(t) + 1 for t in texts]) - 1)  # the words stand side by side in what is left
+        at = (begin - text_of).astype(np.int32)
+        here = np.arange(len(points), dtype=np.int32)
+        place = here - np.repeat(at, size)
+        with np.errstate(over="ignore"):
+            h = np.add.reduceat((points + np.uint64(1)) * POWERS[place & (len(POWERS) - 1)], at)
+        _, first, of = np.unique(h, return_index=True, return_inverse=True)
+        # Words of one hash are compared with the first of them, so a result never rests on a hash alone.
+        if not (size == size[first][of]).all() or not (points == points[here + np.repeat(at[first][of] - at, size)]).all():
+            words = [joined[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+            number: dict[str, int] = {}
+            of = np.array([number.setdefault(w, len(number)) for w in words])
+            return [self.of_word(w) for w in number], of, text_of
+        return [self.of_word(joined[a:b]) for a, b in zip(begin[first].tolist(), end[first].tolist())], of, text_of
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        ids, of, text_of = self._distinct(texts)
+        length = np.array([len(x) for x in ids], np.int64)
+        flat = np.fromiter((i for x in ids for i in x), np.int32, int(length.sum()))
+        start, n = np.cumsum(length) - length, length[of] if len(of) else np.zeros(0, np.int64)
+        total = np.cumsum(n)
+        out = flat[np.arange(int(total[-1]) if len(n) else 0) - np.repeat(total - n, n) + np.repeat(start[of] if len(of) else n, n)]
+        per_text = np.bincount(text_of, n, len(texts)).astype(np.int64)
+        return np.split(out, np.cumsum(per_text)[:-1]) if texts else []
+
+    def count_all(self, texts: list[str]) -> np.ndarray:
+        """The number of ids of each text."""
+        ids, of, text_of = self._distinct(texts)
+        length = np.array([len(x) for x in ids], np.int64)
+        return np.bincount(text_of, length[of] if len(of) else None, len(texts)).astype(np.int64)
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(self.label[i] for i in ids).decode("utf-8", "replace")
@@ -146,6 +235,20 @@ def shared_automaton(spark: SparkSession, path: str | None = None):
     return get
 
 
+def _some(texts: list[str | None]) -> Iterator[list[str]]:
+    """The texts, null ones as empty, in lists of about ``POINTS`` code points; a longer text is a list of its own."""
+    some, size = [], 0
+    for x in texts:
+        x = x or ""
+        if some and size + len(x) > POINTS:
+            yield some
+            some, size = [], 0
+        some.append(x)
+        size += len(x)
+    if some:
+        yield some
+
+
 def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(key, ids): the token ids of each text, whole; empty and null texts give an empty list. One row per row of ``df``.
 
@@ -159,14 +262,14 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
         a = get()
         for b in batches:
             begin, parts, ends = 0, [], [0]
-            for i, x in enumerate(b["text"].to_pylist()):
-                ids = np.array(a.encode(x) if x else (), np.int32)
-                parts.append(ids)
-                ends.append(ends[-1] + len(ids))
-                if ends[-1] > CHUNK or i + 1 == b.num_rows:
+            for texts in _some(b["text"].to_pylist()):
+                for ids in a.encode_all(texts):
+                    parts.append(ids)
+                    ends.append(ends[-1] + len(ids))
+                if ends[-1] > CHUNK or begin + len(parts) == b.num_rows:
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
-                    yield pa.RecordBatch.from_arrays([b["key"].slice(begin, i + 1 - begin).cast(pa.int64()), lists], schema=schema)
-                    begin, parts, ends = i + 1, [], [0]
+                    yield pa.RecordBatch.from_arrays([b["key"].slice(begin, len(parts)).cast(pa.int64()), lists], schema=schema)
+                    begin, parts, ends = begin + len(parts), [], [0]
 
     return d.mapInArrow(work, "key long, ids array<int>").withColumnRenamed("key", key)
 
@@ -180,7 +283,7 @@ def count_tokens(df: DataFrame, columns: list[str], text: str = "text", path: st
     def work(batches):
         a = get()
         for b in batches:
-            n = pa.array([len(a.encode(x)) if x else 0 for x in b["text"].to_pylist()], pa.int64())
+            n = pa.array(np.concatenate([np.zeros(0, np.int64), *map(a.count_all, _some(b["text"].to_pylist()))]), pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], [*b.schema.names[:-1], "n_tokens"])
 
     return d.mapInArrow(work, f"{kinds}, n_tokens long").toDF(*columns, "n_tokens")

@@ -174,6 +174,20 @@ def vsearch_auto(spark, d):
     return search.search_by_key(entries(spark, d), "vec:0", k=1000, mode="auto")
 
 
+@query(
+    "with c as (select key, arg_max(coalesce(vector, []), ts_ms) as v from vector where key is not null and ts_ms is not null group by key),"
+    " u as (select key, v::double[] as v from c where len(v) > 0 and list_bool_and(list_transform(v, lambda x: isfinite(x))) and list_bool_or(list_transform(v, lambda x: x <> 0))),"
+    " s as (select a.key as query, b.key as key, round(list_cosine_similarity(a.v, b.v), 6) as score from u a join u b on len(a.v) = len(b.v) and a.key <> b.key),"
+    " r as (select *, row_number() over (partition by query order by score desc, key) as rank from s) select query, key, score, rank from r where rank <= 3"
+)
+def vsearch_batch_vectors(spark, d):
+    """The three most similar current vectors of each, exactly, over all namespaces."""
+    v = table(spark, d, "vector").filter("key is not null and ts_ms is not null").groupBy("key").agg(F.max_by(F.coalesce("vector", F.array().cast("array<float>")), "ts_ms").alias("vector"))
+    usable = F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+    v = written(v.filter((F.size("vector") > 0) & F.coalesce(usable, F.lit(False))), "usable")
+    return search.batch_top_k(v, v, 3)
+
+
 # -- memory ---------------------------------------------------------------------------------------------------------------
 
 

@@ -422,6 +422,18 @@ def mem_init(c, ns: str, embedder: str, metric: str = "cosine", tau_hours: float
     return _row(c, "ns string, embedder string, metric string, tau_hours double, vector_only boolean", x.ns, x.embedder, x.metric, x.tau_hours, x.vector_only)
 
 
+def _indexed(c: Catalog, ids: DataFrame) -> None:
+    """Vectors are indexed and coded as they are added: (ns, id) of each is noted, so health and verification compare what is really there."""
+    ids = written(ids.select("ns", "id"), "ids")
+    for name in ("mem_index", "mem_codes"):
+        c.append(name, ids)
+
+
+def _forgotten(c: Catalog, ns: str) -> None:
+    for name in ("mem_index", "mem_codes"):
+        c.put(name, c.read(name, "ns string, id string").filter(F.col("ns") != ns))
+
+
 @register("mem_add")
 def mem_add(c, ns: str, rows: DataFrame, embedder: str | None = None):
     """Documents (id, text, meta, vector, ts_ms); in vector-only namespaces text is not kept. Ids that exist are write-once and refused whole."""
@@ -434,6 +446,7 @@ def mem_add(c, ns: str, rows: DataFrame, embedder: str | None = None):
     if not x.vector_only:
         c.put("mem_docs", docs.unionByName(d.select("ns", "id", "text", "ts_ms")))
     c.put("mem_meta", meta.unionByName(d.filter("meta is not null").select("ns", "id", "meta", "ts_ms")))
+    _indexed(c, d)
     return d.select("id", memory.added_event(F.col("ns"), F.col("id"), F.col("ts_ms"), F.col("meta")).alias("event"))
 
 
@@ -445,6 +458,7 @@ def mem_bulk_add(c, ns: str, rows: DataFrame):
     d = rows.withColumn("ns", F.lit(ns))
     c.put("mem_vecs", memory.add_bulk(vecs, d.select("ns", "id", "vector", "ts_ms")))
     c.put("mem_meta", meta.unionByName(d.filter("meta is not null").select("ns", "id", "meta", "ts_ms")))
+    _indexed(c, d)
     return d.agg(F.count(F.lit(1)).alias("added"))
 
 
@@ -486,13 +500,13 @@ def mem_stats(c, ns: str):
 @register("mem_health")
 def mem_health(c, ns: str):
     vecs = _mem(c)[2]
-    return memory.health(vecs, c.read("mem_index", "ns string, id string") if "mem_index" in c.tables else vecs, ns)
+    return memory.health(vecs, c.read("mem_index", "ns string, id string"), ns)
 
 
 @register("mem_verify")
 def mem_verify(c, ns: str):
     docs, _, vecs = _mem(c)
-    return memory.verify(vecs, docs, c.tables.get("mem_codes"), ns, _config(c, ns).vector_only)
+    return memory.verify(vecs, docs, c.read("mem_codes", "ns string, id string"), ns, _config(c, ns).vector_only)
 
 
 @register("mem_drop")
@@ -500,6 +514,9 @@ def mem_drop(c, ns: str):
     docs, meta, vecs = _mem(c)
     out, counts = memory.drop({"mem_docs": docs, "mem_meta": meta, "mem_vecs": vecs}, ns)
     c.tables.update(out)
+    kept = out["mem_vecs"].filter(F.col("ns") == ns).select("ns", "id")  # write-once vectors stay indexed
+    _forgotten(c, ns)
+    _indexed(c, kept)
     c.configs.pop(f"mem:{ns}", None)
     return counts
 
@@ -509,6 +526,7 @@ def mem_reset_index(c, ns: str):
     vecs = _mem(c)[2]
     n = vecs.filter(F.col("ns") == ns).agg(F.count(F.lit(1)).alias("dropped"))
     c.put("mem_vecs", memory.reset_index(vecs, ns))
+    _forgotten(c, ns)
     return n
 
 

@@ -97,39 +97,22 @@ def deduplicated(d: DataFrame, ts: str, keys: list[str], late: str = "1 hour") -
 def task_states(events: DataFrame, now_ms: int) -> DataFrame:
     """The batch fold of tasks as a stream: a row with the new state after each micro-batch that has events of a task, with late ones passed over."""
     kinds = [f.split()[0] for f in TASK_EVENT.split(", ")]
+    some = lambda t: None if t[0] is None and t[1] is None else tuple(t)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, s = 0, TaskFold()
         if state.exists:
-            last, epoch, base, grant, requests, first, later = state.get
-            s = TaskFold(epoch, base, tuple(grant) or None if grant else None, requests, tuple(first) if first else None, tuple(later) if later else None)
+            last, epoch, base, requests, *v = state.get
+            s = TaskFold(epoch, base, some(v[:4]), requests, some(v[4:7]), some(v[7:]))
         rows = pd.concat(list(batches)).sort_values("seq")
         for r in rows.astype(object).where(rows.notna(), None).to_dict("records"):
             if r["seq"] > last:
                 s, last = s.step({**r, "seq": int(r["seq"])}), int(r["seq"])
-        state.update((last, s.epoch, s.base, _text(s.grant), s.requests, _text(s.first), _text(s.later)))
+        state.update((last, s.epoch, s.base, s.requests, *(s.grant or (None,) * 4), *(s.first or (None,) * 3), *(s.later or (None,) * 3)))
         yield pd.DataFrame([(*key, *s.state(now_ms))], columns=[c.split()[0] for c in TASK_STATE.split(", ")])
 
-    def _text(t):
-        return None if t is None else [str(x) if x is not None else "" for x in t]
-
-    def fold_text(key, batches, state):
-        # The state holds its tuples as arrays of text.
-        class Typed:
-            exists = state.exists
-
-            @property
-            def get(self):
-                last, epoch, base, g, n, a, b = state.get
-                typed = lambda t, ints: None if t is None else [int(x) if i in ints else x for i, x in enumerate(t)]
-                return last, epoch, base, typed(g, (0, 2, 3)), n, typed(a, (0, 1)), typed(b, (0, 1))
-
-            def update(self, v):
-                state.update(v)
-
-        return fold(key, batches, Typed())
-
-    return events.select(*kinds).groupBy("log_id", "task").applyInPandasWithState(fold_text, TASK_STATE, "last long, epoch long, base string, grant_ array<string>, requests int, first_ array<string>, later array<string>", "update", GroupStateTimeout.NoTimeout)
+    columns = "last long, epoch long, base string, requests int, g_seq long, g_winner string, g_granted long, g_expires long, f_hlc long, f_seq long, f_by string, l_hlc long, l_seq long, l_by string"
+    return events.select(*kinds).groupBy("log_id", "task").applyInPandasWithState(fold, TASK_STATE, columns, "update", GroupStateTimeout.NoTimeout)
 
 
 def unsubscribe(query) -> None:

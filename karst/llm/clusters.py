@@ -1,9 +1,9 @@
 """Clusters of mutually similar vectors by parallel pivots, their sizes and most typical members.
 
 Keys are ordered by hash. In each round a key whose hash is the smallest among its similar open neighbours becomes a
-pivot, and the neighbours of pivots are absorbed by the closest of them. Neighbours come from the graph index of
-``neighbours``; when a graph has no open keys left, its pivots are indexed anew, until no two are similar. Members are
-then given to the closest pivot, and medoids are taken from the result.
+pivot, and the open neighbours of pivots are absorbed; rounds go on until no key is open. So the pivots are those of the
+greedy order by hash, whatever the shards: inside a shard rounds are matrix products over blocks of that order, for namespaces of several
+shards they are joins of tables whose blocks are such products. Members are then given to the closest pivot, and medoids are taken from the result.
 """
 
 from __future__ import annotations
@@ -14,61 +14,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from karst.llm.hnsw import Hnsw
-from karst.llm.neighbours import SLACK, distinct_vectors, exact, most_similar
-from karst.llm.vectors import SHARD_ROWS, by_length, current_entries, row_limit, shards, to_matrix, unit
+from karst.llm.neighbours import distinct_vectors, exact
+from karst.llm.vectors import SHARD_ROWS, by_length, current_entries, order_hash, row_limit, shards, to_matrix, unit
 from karst.runtime import written
 
-K = 16  # neighbours of a key in the graph of a round
 BLOCK = 2048
+NEAR = 1e-5  # more than the error of a float32 cosine: closer to a limit, float64 decides
 OUT = "ns string, key string, pivot string, score double, tight boolean"
 
 
-def rounds(rank: np.ndarray, u: np.ndarray, v: np.ndarray, cos: np.ndarray, parent: np.ndarray) -> None:
-    """Pivot rounds over the links u-v (both directions) until none is left between open nodes; sets ``parent`` of those absorbed."""
-    while len(u):
-        least = np.full(len(rank), np.iinfo(np.int64).max)
-        np.minimum.at(least, u, rank[v])
-        pivot = rank < least  # also the nodes without a link, which absorb nothing
-        to = pivot[v] & ~pivot[u]
-        a, b, c = u[to], v[to], cos[to]
-        by = np.lexsort((rank[b], -c, a))
-        a, b = a[by], b[by]
-        first = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
-        parent[a[first]] = b[first]
-        closed = pivot.copy()
-        closed[a[first]] = True
-        open_ = ~closed[u] & ~closed[v]
-        u, v, cos = u[open_], v[open_], cos[open_]
-
-
-def links(x: np.ndarray, nodes: np.ndarray, at: float, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Similar pairs among ``nodes`` in both directions, by the graph index, with exact cosines."""
-    first = len(nodes) == len(x)
-    index = Hnsw(x[nodes].astype(np.float32)) if first else Hnsw(x[nodes].astype(np.float32), 100)  # pivots are few, and spread
-    ids, sim = index.search_self(min(k, max(1, len(nodes) - 1)), 40, at - SLACK)
-    r, c = np.nonzero((ids >= 0) & (sim > at - 0.001))
-    u, v = nodes[r], nodes[ids[r, c]]
-    cos = exact(x, u, v)
-    u, v, cos = u[cos >= at], v[cos >= at], cos[cos >= at]
-    code = np.unique(np.concatenate([u * len(x) + v, v * len(x) + u]), return_index=True)
-    both = np.concatenate([cos, cos])[code[1]]
-    return code[0] // len(x), code[0] % len(x), both
-
-
-def choose(x: np.ndarray, nodes: np.ndarray, rank: np.ndarray, parent: np.ndarray, at: float) -> tuple[np.ndarray, np.ndarray] | None:
-    """Rounds among ``nodes``, then among their pivots, until the graph knows no similar two; returns the first links."""
-    every = None
-    while len(nodes) > 1:
-        u, v, cos = links(x, nodes, at)
-        if every is None:
-            every = u, v
-        if not len(u):
-            break
-        rounds(rank, u, v, cos, parent)
-        nodes = np.unique(u)  # a node without a similar one is done
-        nodes = nodes[parent[nodes] == nodes]
-    return every
+def similar(x: np.ndarray, x32: np.ndarray, rows: np.ndarray, others: np.ndarray, at: float) -> np.ndarray:
+    """Which of ``rows`` (first axis) and ``others`` have a cosine of at least ``at``, to 9 digits."""
+    s = x32[rows] @ x32[others].T
+    out = s >= at
+    r, c = np.nonzero(np.abs(s - at) < NEAR)
+    out[r, c] = exact(x, rows[r], others[c]) >= at
+    return out
+
+
+def pivots_of(x: np.ndarray, x32: np.ndarray, rank: np.ndarray, at: float) -> np.ndarray:
+    """The pivots of the unit rows: blocks in order of rank drop what a pivot so far has absorbed, and have rounds among the rest."""
+    order = np.argsort(rank)
+    pivots = np.empty(0, np.int64)
+    for i in range(0, len(order), BLOCK):
+        open_ = order[i : i + BLOCK]
+        for j in range(0, len(pivots), 4 * BLOCK):
+            if len(open_):
+                open_ = open_[~similar(x, x32, open_, pivots[j : j + 4 * BLOCK], at).any(1)]
+        if not len(open_):
+            continue
+        near = np.tril(similar(x, x32, open_, open_, at), -1)  # columns are the earlier ones
+        chosen, left = np.zeros(len(open_), bool), np.ones(len(open_), bool)
+        while left.any():
+            new = left & ~near[:, left].any(1)
+            chosen |= new
+            left &= ~new & ~near[:, new].any(1)
+        pivots = np.concatenate([pivots, open_[chosen]])
+    return pivots
 
 
 def closest(x: np.ndarray, x32: np.ndarray, rows: np.ndarray, heads: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,31 +68,16 @@ def closest(x: np.ndarray, x32: np.ndarray, rows: np.ndarray, heads: np.ndarray,
     return head, cos
 
 
-def pivot_clusters(x: np.ndarray, rank: np.ndarray, at: float) -> tuple[np.ndarray, np.ndarray]:
-    """The closest pivot of each unit row, and whether the row has a similar row in another cluster (as far as the graph knows)."""
-    parent = np.arange(len(x))
-    every = choose(x, np.arange(len(x)), rank, parent, at)
+def pivot_clusters(x: np.ndarray, rank: np.ndarray, at: float) -> np.ndarray:
+    """The closest pivot of each unit row (a pivot is its own)."""
     x32 = x.astype(np.float32)
-    root, best = np.arange(len(x)), np.full(len(x), -np.inf)
-    heads, rest = np.flatnonzero(parent == root), np.flatnonzero(parent != root)
-    while len(rest):
-        head, cos = closest(x, x32, rest, heads, rank)
-        nearer = (cos > best[rest]) | (cos == best[rest]) & (rank[head] < rank[root[rest]])
-        root[rest[nearer]], best[rest[nearer]] = head[nearer], cos[nearer]
-        lost = rest[best[rest] < at]
-        if not len(lost):
-            break
-        # No pivot is similar to these: they have rounds of their own, and every member may go to their pivots.
-        parent[lost] = lost
-        choose(x, lost, rank, parent, at)
-        heads = lost[parent[lost] == lost]
-        root[heads] = heads
-        rest = np.setdiff1d(rest, heads)
-    touches = np.zeros(len(x), bool)
-    if every is not None:
-        u, v = every
-        touches[u[root[u] != root[v]]] = True
-    return root, touches
+    heads = pivots_of(x, x32, rank, at)
+    root = np.full(len(x), -1)
+    root[heads] = heads
+    rest = np.flatnonzero(root < 0)
+    if len(rest):
+        root[rest] = closest(x, x32, rest, heads, rank)[0]
+    return root
 
 
 def far_pair(a: np.ndarray, b: np.ndarray, at: float) -> bool:
@@ -158,14 +125,13 @@ def shard_clusters(t: pa.Table, at: float) -> pa.Table:
     np.minimum.at(rank, of, order)
     head = np.empty(len(first), np.int64)  # the row of each node with the smallest hash
     head[of[np.argsort(-order)]] = np.argsort(-order)
-    root, touches = pivot_clusters(x[first], rank, at)
+    root = pivot_clusters(x[first], rank, at)
     cluster = root[of]
     by = np.argsort(cluster, kind="stable")
     begin = np.flatnonzero(np.r_[True, cluster[by][1:] != cluster[by][:-1]])
     groups = np.split(by, begin[1:])
     score, tight = np.ones(len(t)), np.ones(len(t), bool)
     loose = np.zeros(len(first), bool)
-    loose[root[touches]] = True
     radius, centre = np.zeros(len(groups)), np.empty((len(groups), x.shape[1]))
     for k, g in enumerate(groups):
         if len(g) > 1:
@@ -174,15 +140,16 @@ def shard_clusters(t: pa.Table, at: float) -> pa.Table:
                 loose[cluster[g[0]]] = True
             radius[k] = angle.max()
         centre[k] = x[g].mean(0)
-    # Clusters in which no row knows one of another, but which may reach each other.
+    # Clusters that may reach each other, by their means and radii.
     centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
     number = np.empty(len(t), np.int64)
     number[by] = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    centre32 = centre.astype(np.float32)
     open_ = [k for k, g in enumerate(groups) if len(g) > 2 and not loose[cluster[g[0]]]]
     step = max(1, (1 << 23) // len(groups))
     for i in range(0, len(open_), step):
         some = open_[i : i + step]
-        reach = np.arccos(np.clip(centre[some] @ centre.T, -1, 1)) <= np.arccos(at) + radius[some, None] + radius[None] + 1e-6
+        reach = np.arccos(np.clip(centre[some].astype(np.float32) @ centre32.T, -1, 1)) <= np.arccos(at) + radius[some, None] + radius[None] + 2e-3
         for k, near in zip(some, reach):
             near[k] = False
             rows = np.flatnonzero(near[number]) if near.any() else []
@@ -294,7 +261,7 @@ def _touching(left: DataFrame, right: DataFrame, at: float, shard_rows: int) ->
 
 
 def _closest(left: DataFrame, right: DataFrame, at: float, shard_rows: int) -> DataFrame:
-    """(ns, key, pivot, cos): the pivots of ``right`` with the greatest cosine to each row of ``left``, of at least ``at``, in each block they meet in."""
+    """(ns, key, pivot, cos): the names (``pivot``) of the rows of ``right`` with the greatest cosine to each row of ``left``, of at least ``at``, in each block they meet in."""
 
     def work(a: pa.Table, b: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
         rows, found, cos = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
@@ -305,55 +272,55 @@ def _closest(left: DataFrame, right: DataFrame, at: float, shard_rows: int) -> D
             found.append(c)
             cos.append(s[r, c])
         r, c = pa.array(np.concatenate(rows)), pa.array(np.concatenate(found))
-        return pa.table({"ns": a["ns"].take(r), "key": a["key"].take(r), "pivot": b["key"].take(c), "cos": np.concatenate(cos)})
+        return pa.table({"ns": a["ns"].take(r), "key": a["key"].take(r), "pivot": b["pivot"].take(c), "cos": np.concatenate(cos)})
 
     return _meet(left, right, at, shard_rows, work, "ns string, key string, pivot string, cos double")
 
 
-def _sized(d: DataFrame) -> DataFrame:
-    return d.join(d.groupBy("ns").agg(F.count(F.lit(1)).alias("n")), "ns")
-
-
-def _pivots(active: DataFrame, at: float, shard_rows: int) -> DataFrame:
-    """(ns, key) of the rows of ``active`` (ns, key, vector) that stay pivots after rounds until the graph knows no similar two."""
-    taken_ = active.select("ns", "key").limit(0)
-    every = active.select("ns", "key")
-    h = lambda c: F.struct(F.xxhash64(c), F.col(c))
-    while True:
-        edge = written(most_similar(_sized(active), K, at, shard_rows=shard_rows).select("ns", "key", "other", "cos"), "edges")
-        if edge.isEmpty():
-            return written(every.join(taken_, ["ns", "key"], "left_anti"), "pivots")
-        edge = edge.unionByName(edge.select("ns", F.col("other").alias("key"), F.col("key").alias("other"), "cos")).distinct()
-        least = edge.groupBy("ns", "key").agg(F.min(h("other")).alias("least"))
-        role = written(least.select("ns", "key", (h("key") < F.col("least")).alias("is_pivot")), "roles")
-        heads = role.filter("is_pivot").select("ns", F.col("key").alias("other"))
-        moves = written(edge.join(role.filter("not is_pivot"), ["ns", "key"]).join(heads, ["ns", "other"]).select("ns", "key").distinct(), "moves")
-        taken_ = taken_.unionByName(moves)
-        active = written(active.join(role.select("ns", "key"), ["ns", "key"], "left_semi").join(moves, ["ns", "key"], "left_anti"), "active")
-
-
-def _across(several: DataFrame, rows: DataFrame, at: float, shard_rows: int) -> DataFrame:
-    """Clusters of namespaces of several shards: rounds over the pivots of the shards, as joins of tables in the shared folder."""
-    home = several.filter("home")
-    own = home.groupBy("ns", "cell", "sub").applyInArrow(lambda t: shard_clusters(t, at), OUT)
-    local = written(own.select("ns", "key", "pivot").join(home.select("ns", "key", "cell", "vector"), ["ns", "key"]), "local")
-    new = _pivots(written(local.filter("key = pivot").select("ns", "key", "vector"), "active"), at, shard_rows)
-    # Every other row goes to the closest pivot; those that no pivot is similar to have rounds of their own, until there are none.
-    rest, pivots, near = local, None, None
-    while True:
-        heads = written(rest.join(new, ["ns", "key"], "left_semi").withColumn("pivot", F.col("key")), "heads")
-        pivots = heads if pivots is None else pivots.unionByName(heads)
-        rest = written(rest.join(new, ["ns", "key"], "left_anti"), "rest")
-        found = _closest(rest, heads, at, shard_rows)
-        found = found if near is None else found.unionByName(near)
-        best = F.min(F.struct((-F.col("cos")).alias("c"), F.xxhash64("pivot").alias("h"), F.col("pivot").alias("to"))).alias("m")
-        near = written(found.groupBy("ns", "key").agg(best).select("ns", "key", F.col("m.to").alias("pivot"), (-F.col("m.c")).alias("cos")), "closest")
-        lost = written(rest.join(near, ["ns", "key"], "left_anti").select("ns", "key", "vector"), "lost")
-        if lost.isEmpty():
-            break
-        new = _pivots(lost, at, shard_rows)
-    d = pivots.select("ns", "key", "cell", "vector", "pivot").unionByName(rest.drop("pivot").join(near.drop("cos"), ["ns", "key"]).select("ns", "key", "cell", "vector", "pivot"))
-    d = written(d, "members")
+def _least(left: DataFrame, right: DataFrame, at: float, shard_rows: int) -> DataFrame:
+    """(key, ns, least): the smallest ``pivot`` among the rows of ``right`` that are similar to each row of ``left``, in each block they meet in."""
+
+    def work(a: pa.Table, b: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
+        name = b["pivot"].to_numpy(zero_copy_only=False).astype(str) if len(b) else np.empty(0, str)
+        by = np.argsort(name, kind="stable")
+        rows, found = [np.empty(0, int)], [np.empty(0, int)]
+        for i in range(0, len(a), BLOCK):
+            near = np.round(x[i : i + BLOCK] @ y[by].T, 9) >= at
+            r = np.flatnonzero(near.any(1))
+            rows.append(i + r)
+            found.append(by[near[r].argmax(1)])
+        r, c = pa.array(np.concatenate(rows)), pa.array(np.concatenate(found))
+        return pa.table({"ns": a["ns"].take(r), "key": a["key"].take(r), "least": b["pivot"].take(c)})
+
+    return _meet(left, right, at, shard_rows, work, "ns string, key string, least string")
+
+
+def _pivots(rows: DataFrame, at: float, shard_rows: int) -> DataFrame:
+    """(ns, key) of the pivots of ``rows`` (ns, key, pivot, cell, vector), ``pivot`` being the key with its hash before it, by rounds of joins."""
+    active, pivots = rows, None
+    while not active.isEmpty():
+        least = _least(active, active, at, shard_rows).groupBy("ns", "key").agg(F.min("least").alias("least"))
+        new = written(active.join(least, ["ns", "key"]).filter(F.col("least") == F.col("pivot")).drop("least"), "pivots")
+        pivots = new.select("ns", "key") if pivots is None else pivots.unionByName(new.select("ns", "key"))
+        gone = written(_least(active, new, at, shard_rows).select("ns", "key").distinct(), "absorbed")  # pivots among them
+        active = written(active.join(gone, ["ns", "key"], "left_anti"), "active")
+    return written(pivots if pivots is not None else rows.select("ns", "key"), "pivots")
+
+
+def _across(several: DataFrame, at: float, shard_rows: int) -> DataFrame:
+    """Clusters of namespaces of several shards: rounds as joins of tables in the shared folder."""
+    usable = F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+    home = several.filter(F.col("home") & usable).select("ns", "cell", F.col("key"), "vector", F.concat(F.lpad(F.hex("h"), 16, "0"), "key").alias("pivot"))
+    # Copies of a vector are one row in the rounds, that with the smallest hash.
+    row = F.min(F.struct("pivot", "key", "cell")).alias("r")
+    nodes = written(home.groupBy("ns", "vector").agg(row).select("ns", F.col("r.key").alias("key"), F.col("r.pivot").alias("pivot"), F.col("r.cell").alias("cell"), "vector"), "nodes")
+    pivots = _pivots(nodes, at, shard_rows)
+    heads = written(nodes.join(pivots, ["ns", "key"], "left_semi"), "heads")
+    best = F.min(F.struct((-F.col("cos")).alias("c"), F.col("pivot").alias("to"))).alias("m")
+    near = _closest(nodes.join(pivots, ["ns", "key"], "left_anti"), heads, at, shard_rows).groupBy("ns", "key").agg(best).select("ns", "key", F.col("m.to").alias("to"))
+    of = near.unionByName(heads.select("ns", "key", F.col("pivot").alias("to")))
+    of = written(nodes.join(of, ["ns", "key"]).select("ns", "vector", F.expr("substring(to, 17)").alias("pivot")), "closest")
+    d = written(home.drop("pivot").join(of, ["ns", "vector"]).select("ns", "key", "cell", "vector", "pivot"), "members")
     mean = written(_sums(d), "means")
     d = written(_with_cos(d.join(mean, ["ns", "pivot"]).select("ns", "key", "cell", "vector", "pivot", "n", "mean"), "mean", "score").withColumn("norm", F.sqrt(F.aggregate("mean", F.lit(0.0), lambda a, b: a + b * b))).drop("mean"), "scored")
     # Pairs whose angles to the mean add up to more than the limit, in a grid of blocks.
@@ -374,11 +341,8 @@ def _across(several: DataFrame, rows: DataFrame, at: float, shard_rows: int) ->
         return pa.table({"ns": t["ns"][:1], "pivot": t["pivot"][:1], "bad": [bool(far_pair(x[side], x[~side], at))]})
 
     bad = left.unionByName(right).groupBy("ns", "pivot", "i", "j").applyInArrow(check, "ns string, pivot string, bad boolean").filter("bad").select("ns", "pivot")
-    of = d.select("ns", "key", "pivot")
-    edge = most_similar(_sized(rows.select("ns", "key", "vector")), K, at, shard_rows=shard_rows).select("ns", "key", "other")
-    ends = edge.join(of, ["ns", "key"]).join(of.select("ns", F.col("key").alias("other"), F.col("pivot").alias("p2")), ["ns", "other"]).filter("pivot <> p2")
-    loose = written(bad.unionByName(ends.select("ns", "pivot")).unionByName(ends.select("ns", F.col("p2").alias("pivot"))).distinct(), "loose")
-    # The graph knows K neighbours of a row: clusters that still seem isolated meet all rows that may be similar. Copies meet once.
+    loose = written(bad.distinct(), "loose")
+    # Clusters meet all rows that may be similar. Copies meet once.
     left = d.filter("n > 2").join(loose, ["ns", "pivot"], "left_anti")
     once = lambda x, *c: x.groupBy("ns", *c, "pivot", "vector").agg(F.min("key").alias("key"))
     loose = loose.unionByName(_touching(once(left), once(d, "cell"), at, shard_rows)).withColumn("loose", F.lit(True))
@@ -394,7 +358,7 @@ def clusters(rows: DataFrame, at: float = 0.80, shard_rows: int = SHARD_ROWS) ->
     found = parts.single.groupBy("ns", "cell", "sub").applyInArrow(lambda t: shard_clusters(t, at), OUT)
     if parts.several is None:
         return found
-    return found.unionByName(_across(parts.several, rows.filter(F.col("n") > row_limit(shard_rows)), at, shard_rows))
+    return found.unionByName(_across(parts.several, at, shard_rows))
 
 
 def live_entries(ops: DataFrame) -> DataFrame:

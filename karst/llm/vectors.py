@@ -24,6 +24,11 @@ def namespace(key: Column) -> Column:
     return F.regexp_extract(key, r"(?s)^(.*:)", 1)
 
 
+def order_hash(key: Column) -> Column:
+    """The first 60 bits of a key's SHA-256: an order that any other system can make, too."""
+    return F.conv(F.substring(F.sha2(key, 256), 1, 15), 16, 10).cast("long")
+
+
 def near(df: DataFrame, small: DataFrame, on: list[str], rows: int, how: str = "inner") -> DataFrame:
     """A join that broadcasts ``small`` where its counted rows are few, and leaves it to the planner beyond."""
     return df.join(F.broadcast(small) if rows <= SMALL else small, on, how)
@@ -102,7 +107,7 @@ def shards(rows: DataFrame, shard_rows: int = SHARD_ROWS, probes: int = PROBES)
     ``probes`` - 1. A cell that comes out larger than ``shard_rows`` is split by hash, and a query visits all its parts.
     The pivots (one per shard_rows / 2 rows) are all that reaches the driver.
     """
-    h = F.xxhash64("key").alias("h")
+    h = order_hash(F.col("key")).alias("h")
     limit = row_limit(shard_rows)
     single = rows.filter(F.col("n") <= limit).select("ns", F.lit(0).alias("cell"), F.lit(0).alias("sub"), "key", h, F.lit(True).alias("home"), "vector")
     large = rows.filter(F.col("n") > limit)

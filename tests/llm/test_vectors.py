@@ -136,6 +136,47 @@ def test_tight_clusters(spark, shard_rows, copies):
     assert got == want and len(want) > 100
 
 
+def greedy(rows, at=0.8):
+    """Members, sizes and medoids by taking keys one by one in order of hash."""
+    import hashlib
+
+    out = {}
+    for keys, c in current(rows):
+        order = sorted(range(len(keys)), key=lambda i: (hashlib.sha256(keys[i].encode()).hexdigest()[:15], keys[i]))
+        heads = []
+        for i in order:
+            if not any(c[i, p] >= at for p in heads):
+                heads.append(i)
+        members = {}
+        for i in range(len(keys)):
+            members.setdefault(i if i in heads else max(heads, key=lambda p: (c[i, p], -order.index(p))), []).append(i)
+        ns = keys[0][: keys[0].rfind(":") + 1]
+        out |= {(ns, keys[p]): [keys[i] for i in m] for p, m in members.items()}
+    return out
+
+
+@pytest.mark.parametrize("shard_rows", [32_768, 60])
+def test_clusters_are_those_of_the_greedy_order(spark, shard_rows):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([blobs(rng, [40, 25, 9], spread=0.9), blobs(rng, [30] + [1] * 40), rng.standard_normal((30, 24)).astype(np.float32)])
+    rows = [(i, "insert", f"a:{i:03}", [float(v) for v in r], 10, None, 1) for i, r in enumerate(x)]
+    rows += [(900 + i, "insert", f"a:copy{i}", rows[3][3], 10, None, 1) for i in range(30)]
+    want = greedy([(k, v, t) for _, _, k, v, t, *_ in rows])
+    d = spark.createDataFrame(rows, OPS)
+    got = clusters.clusters(clusters.live_entries(d), shard_rows=shard_rows).collect()
+    found = {}
+    for r in got:
+        found.setdefault((r.ns, r.pivot), []).append(r.key)
+    as_sets = lambda c: {frozenset(v) for v in c.values()}
+    assert as_sets(found) == as_sets(want) and {r["size"] for r in clusters.describe(d, shard_rows=shard_rows).collect()} == {len(v) for v in want.values()}
+
+
+def test_described_alike_in_one_shard_and_in_many(spark):
+    d = spark.createDataFrame(operations(8, 30), OPS)
+    one, many = ({tuple(map(str, r)) for r in clusters.describe(d, shard_rows=n).collect()} for n in (32_768, 60))
+    assert one == many
+
+
 def test_chain_is_no_cluster_and_all_keys_are_described(spark):
     angle = np.arange(12) * 0.3
     rows = [(i, "insert", f"a:{i:02}", [float(np.cos(a)), float(np.sin(a))], 1, None, 1) for i, a in enumerate(angle)]

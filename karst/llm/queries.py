@@ -64,7 +64,26 @@ p as (select a.ns, a.key as a, b.key as b, round(list_cosine_similarity(a.v, b.v
 e as (select * from p where cos >= 0.80)
 """
 
+# Pivots by the greedy order, one key after the other; members to the closest pivot, of equal ones to the earlier; then the greatest mean cosines.
+_GREEDY = (
+    _USABLE.format(op="arg_max(op, ts_ms)", vector="vector", table="vector_ops").replace("with c as", "with recursive c as", 1)
+    + """, o as (select ns, key, row_number() over (partition by ns order by substr(sha256(key), 1, 15), key) as i from u),
+before as (select a.ns, a.i, list(b.i) as near from e join o a on a.key = e.a join o b on b.key = e.b where b.i < a.i group by 1, 2),
+step as (select ns, 0::bigint as i, []::bigint[] as heads from (select distinct ns from o)
+  union all select s.ns, s.i + 1, case when list_has_any(coalesce(b.near, []), s.heads) then s.heads else list_append(s.heads, s.i + 1) end
+  from step s join o on o.ns = s.ns and o.i = s.i + 1 left join before b on b.ns = s.ns and b.i = s.i + 1),
+heads as (select s.ns, unnest(s.heads) as i from step s join (select ns, max(i) as n from o group by 1) m on m.ns = s.ns and m.n = s.i),
+head as (select o.ns, o.key, o.i from o join heads h on h.ns = o.ns and h.i = o.i),
+member as (select ns, key, key as hk from head union all
+  select e.ns, e.a, arg_min(head.key, (-e.cos, head.i)) as hk from e join head on head.key = e.b where e.a not in (select key from head) group by 1, 2),
+score as (select m.ns, m.hk, m.key, round(avg(case when m.key = n.key then 1.0 else list_cosine_similarity(x.v, y.v) end), 9) as score
+  from member m join member n on n.ns = m.ns and n.hk = m.hk join u x on x.key = m.key join u y on y.key = n.key group by 1, 2, 3),
+place as (select *, row_number() over (partition by ns, hk order by score desc, key) as rn, count(*) over (partition by ns, hk) as size from score)
+select ns as namespace, hk as "pivot", size, max(key) filter (rn = 1) as medoid, list(key order by rn) filter (rn <= 3) as typical from place group by 1, 2, 3"""
+)
+
 ORACLE = {
+    "p4_clusters": _GREEDY,
     "p1_found": _USABLE.format(op="''", vector="vector", table="vector")
     + ", t as (select *, row_number() over (partition by a order by cos desc, b) as rn from e) select distinct least(a, b) as key_a, greatest(a, b) as key_b from t where rn <= 10",
     "p4_found": _USABLE.format(op="arg_max(op, ts_ms)", vector="vector", table="vector_ops")

@@ -133,13 +133,13 @@ class Crf:
 
     # -- training -------------------------------------------------------------------------------------------------
 
-    def train(self, parts: list[tuple[Coded, np.ndarray]], epochs: int = 12, rate: float = 0.08, l2: float = 3e-5, drop: float = 0.2, seed: int = 3) -> None:
+    def train(self, parts: list[tuple[Coded, np.ndarray]], epochs: int = 10, rate: float = 0.08, l2: float = 3e-5, drop: float = 0.3, hidden: dict[str, list[int]] | None = None, seed: int = 3) -> None:
         """Maximum likelihood by Adam over ``parts``, batches of coded sentences with their labels.
 
         Hashes seen once are left out. In each step a share ``drop`` of the units hides its first feature, the word
-        itself, so that form and context must carry what the word would. The weights are means over the last third of the epochs.
+        itself, and half of these also those named in ``hidden`` by group, so that form and context must carry what the word would. The weights are means over the last third of the epochs.
         """
-        k, w = len(self.labels), self.w
+        k, w, hidden = len(self.labels), self.w, hidden or {}
         for name, g in parts[0][0].groups.items():
             seen, count = np.unique(np.concatenate([np.concatenate([np.repeat(p.groups[name].units, np.minimum(np.bincount(p.groups[name].of, minlength=len(p.groups[name].units)), 2), axis=0).ravel()]) for p, _ in parts]), return_counts=True)
             w.keys[name] = seen[(count > 1) & (seen != NONE)]
@@ -174,7 +174,10 @@ class Crf:
                 used = {}
                 for name, x in ids[b].items():
                     x = x.copy()
-                    x[rng.random(len(x)) < drop, 0] = len(w.keys[name])
+                    hide = rng.random(len(x))
+                    x[hide < drop, 0] = len(w.keys[name])
+                    rows = np.flatnonzero(hide < drop / 2)
+                    x[np.ix_(rows, hidden.get(name, ()))] = len(w.keys[name])
                     used[name] = x
                 s = np.zeros((len(c.at), k))
                 for name, g in c.groups.items():

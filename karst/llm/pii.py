@@ -17,7 +17,7 @@ from karst.llm.pii_table import FAMILY, GIVEN, KINDS, labelled
 
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 NAMES = 100_000  # most names of a list that are taken; beyond, the list can't be a table of known names
-TABLE_ROWS = 15_000  # rows of the labelled table
+TABLE_ROWS = 20_000  # rows of the labelled table
 POINTS = 1 << 20  # code points coded at once; a longer text is coded alone
 DIVIDERS = np.array([ord(x) for x in "<>()[]{}\"“”«»„,;:=|!?¿¡*`"], np.uint32)
 BREAK, SPACE, LINE, OTHER, DIGIT, LOWER, UPPER = range(7)
@@ -229,7 +229,7 @@ def model(given: tuple[str, ...], family: tuple[str, ...], rows: int = TABLE_ROW
                 y[inside] = LABELS.index("I-" + kind)
                 y[inside[:1]] = LABELS.index("B-" + kind)
         parts.append((c, y))
-    crf.train(parts)
+    crf.train(parts, hidden={"word": [2, 3, 4, 5, 6, 7, 8]})  # lists, beginnings and endings
     return crf
 
 

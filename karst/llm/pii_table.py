@@ -210,6 +210,13 @@ you may need a pen, a basil plant and a pearl
 copied {k} pages and {k} photos, skipped {k}
 {k} done, {k} open, {k} late
 took {k} ms for {k} rows
+response time {k} ms, {k} users
+uses {k} MB of {k} MB
+balance {M}, fee {M}
+page {k} of {k}, id={O}
+account {O} has {M}
+they live in Rose Lane or in Mill Lane, nobody knows
+the lane is closed, take the other lane
 ISBN {I}
 the book with ISBN {I} is sold out
 part {O}, batch {O}
@@ -669,6 +676,7 @@ STREETS = {
     "fr": "rue;rue de la;rue du;rue des;avenue;avenue de;boulevard;bd;place;place du;chemin;chemin des;allée des;impasse;quai;route de;cours".split(";"),
     "es": "Calle;C/;calle;Avenida;Avda.;Av.;Plaza;Paseo;Paseo de;Camino;Ronda;Carrera;Travesía;Calle del;Calle de la".split(";"),
 }
+UNITS = "ms s h min kB MB GB % km kg rows req/s EUR USD GBP CHF MHz px l m² °C dB V".split()
 LEADS = ["at ", "to ", "from ", "in ", "is ", "by ", "an ", "bei ", "nach ", "von ", "à ", "chez ", "de ", "en ", "a ", "(", '"', ": ", "- ", "= ", "new: ", "old ", "not ", "maybe ", "> ", "<b>"]
 EMOJI = "🙂 😀 👍 🎉 🚀 😅 ❤️ 🙏 👋 ☕".split()
 
@@ -769,6 +777,9 @@ class Table:
             "A99999999", "A9999999", "AA9999999", "99AA99999", "999999999", "A99A99A99", "A99'X'99'T'99", "9 99 99 99 999 999", "9 99 99 99 999 999 99", "9999999999999", "999999999999999", "99 999 999 999", "99999999999",
             "99/999/99999", "99 999999 A 999", "99999999A999", "AAA999999", "9999-9999-9999", "9999 9999 9999", "99999 A 9999", "999999-9999", "AAAAA999999AA9AA", "999.999.999-99", "A-99999999", "999999/9999",
         ]
+        if self.chance(0.12):  # licences and the like, in any form
+            s = "".join(self.one("A9") * self.one([1, 2, 3]) for _ in range(self.r.randint(3, 6)))
+            return self.filled(s + "9" * max(0, 4 - s.count("9")))
         return self.filled(self.one(forms))
 
     def street(self) -> str:
@@ -834,7 +845,7 @@ class Table:
             return one([f"${n}", f"{n} €", f"€{n}.{r.randint(0, 99):02}", f"{n},{r.randint(0, 99):02} EUR", f"£{n}", f"{n} euros", f"{n:,} USD", f"{n}k"])
         if slot == "Q":
             return one([f"{self.letters(r.randint(2, 5))}-{r.randint(1, 99_999)}", f"#{r.randint(1, 99_999)}", f"T{r.randint(100, 99_999)}", f"{self.letters(3)}-{self.digits(3)}-{self.digits(4)}", f"PR {r.randint(1, 9999)}", f"issue {r.randint(1, 9999)}", f"ticket-{r.randint(1, 9999)}", f"{one(THINGS).capitalize()}-{self.digits(4)}"])
-        if slot == "O" and self.chance(0.25):
+        if slot == "O" and self.chance(0.2):
             return self.id_number(lang) if self.chance(0.6) else self.filled(one(["999 999 999", "999-9999-999", "9999-9999-9999", "9999-999-999", "99-9999-9999", "999-9999", "99999 99999", "999.999.999"]))
         if slot == "O":
             return self.filled(one(["999-9999999-9999999", "'#'9999999", "'ORD-'999999", "99999999", "9999999999", "AA99999999", "'INV-'9999-9999", "9999-99999", "'PO'9999999", "999999", "AA-9999-9999", "9A99999999", "9999 9999", "'R-'999-9999", "'SO-'99999999", "99-99999", "AAA-99999-99", "999-99-99999"]))
@@ -874,8 +885,9 @@ class Table:
     def frame(self, lang: str) -> str:
         """A slot among words of the language in no order: what it holds must be told by its form."""
         some = lambda n: " ".join(self.one(WORDS[lang]) for _ in range(self.r.randint(0, n)))
-        if self.chance(0.2):  # counts, sizes and the like in a row
-            parts = [f"{some(2)} {self.one(['{k}', '{k}', '{K}', '{O}'])} {some(3)}" for _ in range(self.r.randint(1, 4))]
+        if self.chance(0.3):  # counts, sizes and the like in a row
+            unit = lambda: self.one([self.one([" ", ""]) + self.one(UNITS), "", ""])
+            parts = [f"{some(2)} {self.one(['{k}' + unit(), '{k}' + unit(), '{K}' + unit(), '{O}', '{M}', '{k}.{k}' + unit()])} {some(3)}" for _ in range(self.r.randint(1, 4))]
             return re.sub(r" +", " ", self.one([", ", "; ", " ", " / ", ": "]).join(parts)).strip()
         slot = self.one(["{n}"] * 9 + ["{L}", "{X}", "{X} {x}", "{D}", "{O}", "{V}", "{Q}", "{K}", "{U}", "{S}", "{C}", "{M}", "{e}", "{p}", "{a}", "{B}", "{k}"])
         between = self.one([" "] * 6 + [", ", " (", ": ", ". "])

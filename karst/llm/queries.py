@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from karst.llm import clusters, mixture, neighbours, pii, spam, tokens
+from karst.runtime import written
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -35,6 +37,13 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(table(spark, d, "documents"))
 
 
+def p6_text(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the ids of each document spell its text."""
+    t = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = tokens.decode_ids(tokens.encode_texts(t), name="spelt")
+    return ids.select("doc_id", F.octet_length("spelt").alias("bytes"), F.sha2("spelt", 256).alias("sha256"))
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
@@ -43,6 +52,25 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p7_rules(spark: SparkSession, d: str) -> DataFrame:
+    """For each source that is wanted, whether the mixture keeps its rules and the report says what is in it."""
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    m = written(mixture.mix(docs, targets), "mixture")
+    per = m.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("copy_no").alias("last"), F.first("n_tokens").alias("t"), F.first("actual_share").alias("share"))
+    per = per.groupBy("source").agg(F.max("n").alias("most"), F.bool_and(F.col("n") == F.col("last")).alias("numbered"), F.sum(F.col("n") * F.col("t")).alias("got"), F.first("share").alias("share"))
+    all_ = per.agg(F.sum("got").alias("all"))
+    d = mixture.shares(docs, targets).join(per.crossJoin(all_), "source", "left")  # one row on the right
+    none = F.col("got").isNull()
+    return d.select(
+        "source",
+        F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True)).alias("within_repeats"),
+        F.coalesce("numbered", F.lit(True)).alias("copies_numbered"),
+        (F.coalesce("got", F.lit(0)) == F.col("tokens")).alias("tokens_reported"),
+        F.when(none, F.col("actual_share") == 0).otherwise((F.abs(F.col("got") / F.col("all") - F.col("actual_share")) < 1e-9) & (F.abs(F.col("share") - F.col("actual_share")) < 1e-9)).alias("share_reported"),
+        (F.col("tokens") <= F.col("available_tokens") * F.col("max_repeats")).alias("within_available"),
+    )
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_documents(table(spark, d, "documents"))
 
@@ -51,7 +79,7 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.scored(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_redacted, p4_found, p4_clusters, p6_ids, p7_mix, p7_shares, p8_found, p8_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_redacted, p4_found, p4_clusters, p6_ids, p6_text, p7_mix, p7_shares, p7_rules, p8_found, p8_scores)}
 
 _USABLE = """
 with c as (select key, regexp_extract(key, '^(.*:)', 1) as ns, {op} as op, arg_max(coalesce({vector}, []), ts_ms) as v from {table} where key is not null group by key),
@@ -84,6 +112,8 @@ select ns as namespace, hk as "pivot", size, max(key) filter (rn = 1) as medoid,
 
 ORACLE = {
     "p4_clusters": _GREEDY,
+    "p6_text": "select doc_id, octet_length(encode(coalesce(text, ''))) as bytes, sha256(coalesce(text, '')) as sha256 from documents",
+    "p7_rules": "select source, true as within_repeats, true as copies_numbered, true as tokens_reported, true as share_reported, true as within_available from mix_targets where source is not null and target_share > 0 group by source",
     "p1_found": _USABLE.format(op="''", vector="vector", table="vector")
     + ", t as (select *, row_number() over (partition by a order by cos desc, b) as rn from e) select distinct least(a, b) as key_a, greatest(a, b) as key_b from t where rn <= 10",
     "p4_found": _USABLE.format(op="arg_max(op, ts_ms)", vector="vector", table="vector_ops")

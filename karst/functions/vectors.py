@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType
@@ -95,21 +96,37 @@ def hamming_similarity(a: Column, b: Column, dim: Column) -> Column:
     return 1.0 - hamming(a, b) / (F.ceil(dim / 8) * 8)
 
 
-@F.pandas_udf(ArrayType(FloatType()))
-def bytes_to_vector(col: pd.Series) -> pd.Series:
-    """Little-endian f32 bytes; null where the length is 0 or no multiple of 4."""
-    return col.map(lambda b: None if b is None or not len(b) or len(b) % 4 else np.frombuffer(b, "<f4"))
-
-
-@F.pandas_udf(BinaryType())
-def vector_to_bytes(col: pd.Series) -> pd.Series:
-    return col.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
-
-
-@F.pandas_udf(BinaryType())
-def sign_bytes(col: pd.Series) -> pd.Series:
-    """The sign code as bytes."""
-    return col.map(lambda v: None if v is None else np.packbits(np.asarray(v) >= 0).tobytes())
+@F.arrow_udf(ArrayType(FloatType()))
+def bytes_to_vector(col: pa.Array) -> pa.Array:
+    """Little-endian f32 bytes; null where the length is 0 or no multiple of 4. A batch is one buffer, read as it is."""
+    n = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
+    ok = (n > 0) & (n % 4 == 0)
+    whole = b"".join(col.filter(pa.array(ok)).to_pylist()) if ok.any() else b""
+    ends = np.append(0, np.cumsum(np.where(ok, n // 4, 0))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(whole, "<f4")), mask=pa.array(~ok))
+
+
+@F.arrow_udf(BinaryType())
+def vector_to_bytes(col: pa.Array) -> pa.Array:
+    """The elements as little-endian f32 bytes."""
+    n = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    data = col.flatten().cast(pa.float32()).to_numpy(zero_copy_only=False).astype("<f4").tobytes()
+    ends = np.append(0, np.cumsum(4 * n)).astype(np.int32)
+    out = pa.BinaryArray.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+    return pc.if_else(col.is_valid(), out, pa.scalar(None, pa.binary()))
+
+
+@F.arrow_udf(BinaryType())
+def sign_bytes(col: pa.Array) -> pa.Array:
+    """The sign code as bytes; vectors of one length are packed together."""
+    n = pc.fill_null(pc.list_value_length(col), -1).to_numpy(zero_copy_only=False)
+    out: list = [None] * len(col)
+    for size in np.unique(n[n >= 0]):
+        rows = np.flatnonzero(n == size)
+        bits = col.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), size) >= 0
+        for i, b in zip(rows.tolist(), np.packbits(bits, axis=1)):
+            out[i] = b.tobytes()
+    return pa.array(out, pa.binary())
 
 
 def recall(found: Column, wanted: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -217,22 +218,34 @@ def _fnv1a32(data: bytes, h: int = 0x811C9DC5) -> int:
     return h
 
 
+@lru_cache(maxsize=1 << 16)
+def _slot(word: str) -> tuple[int, float]:
+    """The word's hash and its sign."""
+    data = word.encode()
+    return _fnv1a32(data), -1.0 if _fnv1a32(data, 0x811C9DC5 ^ 0x9E3779B9) & 1 else 1.0
+
+
+def hash_embeddings(texts: list[str | None], dim: int = 128) -> np.ndarray:
+    """A row for each text: each word [a-z0-9]+ adds +1 or -1 to a bucket, by two FNV-1a hashes; unit length, the first axis where there is no word."""
+    words = [re.findall(r"[a-z0-9]+", (t or "").lower()) for t in texts]
+    n = np.array([len(w) for w in words], np.int64)
+    slots = [_slot(w) for one in words for w in one]
+    v = np.zeros((len(texts), dim), np.float64)
+    if slots:
+        h, sign = (np.array(x) for x in zip(*slots))
+        np.add.at(v, (np.repeat(np.arange(len(texts)), n), h.astype(np.int64) % dim), sign)
+    v[n == 0, 0] = 1.0
+    length = np.linalg.norm(v, axis=1, keepdims=True)
+    return (v / np.where(length > 0, length, 1)).astype(np.float32)
+
+
 def hash_embedding(text: str | None, dim: int = 128) -> np.ndarray:
-    """Each word [a-z0-9]+ adds +1 or -1 to a bucket, by two FNV-1a hashes; unit length, the first axis where there is no word."""
-    v = np.zeros(dim, np.float32)
-    words = re.findall(r"[a-z0-9]+", (text or "").lower())
-    for word in words:
-        sign = _fnv1a32(word.encode(), 0x811C9DC5 ^ 0x9E3779B9) & 1
-        v[_fnv1a32(word.encode()) % dim] += -1.0 if sign else 1.0
-    if not words:
-        v[0] = 1.0
-    n = np.linalg.norm(v)
-    return v / n if n > 0 else v
+    return hash_embeddings([text], dim)[0]
 
 
 def embedder(dim: int = 128):
     @F.pandas_udf("array<float>")
     def embed(col: pd.Series) -> pd.Series:
-        return col.map(lambda t: hash_embedding(t, dim))
+        return pd.Series(list(hash_embeddings(col.tolist(), dim)), index=col.index)
 
     return embed

@@ -16,6 +16,7 @@ SHARD_FLOATS = 32_768 * 128  # most elements of a shard; longer vectors have few
 FIT_ROWS = 4_096  # rows of a namespace on which its pivots are fitted (those with the smallest key hashes)
 PROBES = 4  # shards a query visits in a namespace of several
 SMALL = 100_000  # rows up to which a table of one row per namespace or group of copies is broadcast
+PIVOT_BYTES = 64 << 20  # pivots of all namespaces up to which they are broadcast; beyond, they are joined by namespace
 TASK = "ns string, cell int, sub int, key string, h long, home boolean, vector array<float>"
 
 
@@ -99,13 +100,33 @@ def fit_pivots(x: np.ndarray, count: int) -> np.ndarray:
     return c
 
 
+def _assigned(rows: DataFrame, fitted: DataFrame, nearest, schema: str) -> DataFrame:
+    """``rows`` with the cells of each, by pivots that are broadcast."""
+    found: dict[str, list] = {}
+    for r in sorted(fitted.collect(), key=lambda r: r.no):  # at most PIVOT_BYTES
+        found.setdefault(r.ns, []).append(r.pivot)
+    pivots = rows.sparkSession.sparkContext.broadcast({k: np.array(v, np.float32) for k, v in found.items()})
+
+    def assign(batches):
+        for b in batches:
+            ns = np.array(b["ns"].to_pylist(), object)
+            cells: list = [None] * len(ns)
+            for one in set(ns):
+                at = np.flatnonzero(ns == one)
+                for i, c in zip(at, nearest(b["vector"].take(pa.array(at)), pivots.value[one])):
+                    cells[i] = c
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int32()))], [*b.schema.names, "cells"])
+
+    return rows.mapInArrow(assign, schema)
+
+
 def shards(rows: DataFrame, shard_rows: int = SHARD_ROWS, probes: int = PROBES) -> Shards:
     """Spreads (ns, key, vector, n) over shards; ``n`` is the row count of the namespace.
 
     A namespace of up to ``shard_rows`` (fewer of long vectors, ``row_limit``) is one shard. A larger one is cut into cells around pivots fitted on at most about
     ``FIT_ROWS`` of its rows; each row is indexed in its nearest cell (``home``) and is a query there and in the next
     ``probes`` - 1. A cell that comes out larger than ``shard_rows`` is split by hash, and a query visits all its parts.
-    The pivots (one per shard_rows / 2 rows) are all that reaches the driver.
+    The pivots (one per shard_rows / 2 rows) are broadcast where all of them together are small, else rows and pivots of a namespace meet in groups of bounded size.
     """
     h = order_hash(F.col("key")).alias("h")
     limit = row_limit(shard_rows)
@@ -121,27 +142,31 @@ def shards(rows: DataFrame, shard_rows: int = SHARD_ROWS, probes: int = PROBES)
         x, ok = unit(to_matrix(t["vector"]))
         ns = t["ns"][0].as_py()
         c = fit_pivots(x[ok], want[ns]) if ok.any() else np.eye(1, x.shape[1])
-        return pa.table({"ns": pa.array([ns] * len(c)), "pivot": pa.array(list(c.astype(np.float32)), pa.list_(pa.float32()))})
+        return pa.table({"ns": pa.array([ns] * len(c)), "no": pa.array(range(len(c)), pa.int32()), "pivot": pa.array(list(c.astype(np.float32)), pa.list_(pa.float32()))})
 
     sample = large.filter(F.pmod(F.xxhash64("key", F.lit(3)), F.col("n")) < FIT_ROWS)
-    found: dict[str, list] = {}
-    for r in sample.groupBy("ns").applyInArrow(fit, "ns string, pivot array<float>").collect():
-        found.setdefault(r.ns, []).append(r.pivot)
-    pivots = rows.sparkSession.sparkContext.broadcast({k: np.array(v, np.float32) for k, v in found.items()})
-
-    def assign(batches):
-        for b in batches:
-            ns = np.array(b["ns"].to_pylist(), object)
-            cells: list = [None] * len(ns)
-            for one in set(ns):
-                at = np.flatnonzero(ns == one)
-                x, ok = unit(to_matrix(b["vector"].take(pa.array(at))))
-                s = x.astype(np.float32) @ pivots.value[one].T
-                for i, c in zip(at, np.argsort(-s, axis=1, kind="stable")[:, :probes].astype(np.int32)):
-                    cells[i] = c
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int32()))], [*b.schema.names, "cells"])
-
-    d = written(large.select("ns", "key", h, "vector").mapInArrow(assign, "ns string, key string, h long, vector array<float>, cells array<int>"), "assigned")
+    fitted = written(sample.groupBy("ns").applyInArrow(fit, "ns string, no int, pivot array<float>"), "pivots")
+    weight = fitted.agg(F.sum(F.size("pivot") * 4)).first()[0] or 0
+    large = large.select("ns", "key", h, "vector", "n")
+    schema = "ns string, key string, h long, vector array<float>, cells array<int>"
+
+    def nearest(vectors: pa.Array, pivots: np.ndarray) -> np.ndarray:
+        x, _ = unit(to_matrix(vectors))
+        return np.argsort(-(x.astype(np.float32) @ pivots.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+
+    def meet(t: pa.Table, p: pa.Table) -> pa.Table:
+        cells = nearest(t["vector"], to_matrix(p.sort_by("no")["pivot"])) if len(t) else []
+        return pa.table({"ns": t["ns"], "key": t["key"], "h": t["h"], "vector": t["vector"], "cells": pa.array(list(cells), pa.list_(pa.int32()))})
+
+    if weight > PIVOT_BYTES:
+        parts = F.ceil(F.col("n") / shard_rows).cast("int")
+        left = large.withColumn("salt", F.pmod(F.xxhash64("key", F.lit(9)), parts).cast("int"))
+        salts = large.groupBy("ns").agg(F.explode(F.sequence(F.lit(0), F.first(parts) - 1)).alias("salt"))
+        right = fitted.join(salts, "ns")
+        assigned = left.groupBy("ns", "salt").cogroup(right.groupBy("ns", "salt")).applyInArrow(meet, schema)
+    else:
+        assigned = _assigned(large.drop("n"), fitted, nearest, schema)
+    d = written(assigned, "assigned")
     size = written(d.groupBy("ns", F.col("cells")[0].alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min(limit).alias("most")).select("ns", "cell", F.ceil(F.col("n") / F.col("most")).cast("int").alias("subs")).coalesce(1), "cells")
     d = near(d.select("ns", "key", "h", "vector", F.posexplode("cells").alias("at", "cell")), size, ["ns", "cell"], size.count())
     mine = F.pmod(F.xxhash64("vector"), F.col("subs")).cast("int")

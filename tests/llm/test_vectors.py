@@ -198,6 +198,14 @@ def test_shards_index_every_row_once(spark):
     assert parts.several.filter("home").groupBy("key").count().filter("count > 1").count() == 0
 
 
+def test_pivots_are_joined_where_they_are_many(spark, monkeypatch):
+    rows = vectors.current_entries(spark.createDataFrame(entries(2), VEC))
+    form = lambda: sorted(map(str, vectors.shards(rows, 40).several.drop("vector").collect()))
+    sent = form()
+    monkeypatch.setattr(vectors, "PIVOT_BYTES", 0)
+    assert form() == sent and len(sent) > 100
+
+
 def test_long_vectors_have_smaller_shards(spark):
     d = spark.createDataFrame([([1.0] * n,) for n in (64, 1536, 100_000)], "vector array<float>")
     assert [r.m for r in d.select(vectors.row_limit(vectors.SHARD_ROWS).alias("m")).collect()] == [32_768, 2_730, 64]

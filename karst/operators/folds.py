@@ -18,58 +18,91 @@ EVENT_NAMES = {"task.open": "open", "claim.request": "request", "claim.grant": "
 TASK_STATE = "log_id string, task string, state string, winner string, grant_seq long, granted_seq long, lease_expires_ms long, candidate string, candidate_seq long, requests int, epoch_start_seq long"
 
 
+@dataclass(frozen=True)
+class Hold:
+    """A grant that is in force until something closes its epoch, whether or not its lease has run out."""
+
+    seq: int
+    winner: str | None
+    granted_seq: int
+    expires: int
+
+    def closed_by(self, e: dict) -> bool:
+        """By its winner's release, or by being named as stale."""
+        return e["by"] == self.winner if e["kind"] == "release" else e["kind"] == "superseded" and e["stale_seq"] == self.seq
+
+    def yields_to(self, e: dict) -> bool:
+        return self.expires <= (e["at_ms"] or 0)
+
+
 @dataclass(frozen=True)
 class TaskFold:
     """The state of one task after its events in order of seq.
 
-    Opening, a release by the winner and superseding the current grant begin a new epoch. The first grant of an epoch
-    holds, unless its lease had run out when a later one came. Of the requests the one with the least (hlc, seq) is the
-    candidate; those that come under a grant compete only after it.
+    Epochs follow each other: one begins at the start, at an opening, and where a hold is closed. Within an epoch a grant takes hold
+    where there is none, or where the lease of the one before had run out when it came. Bids (hlc, seq, by) compete since the epoch began or
+    the hold was taken, the least wins; so all that must be kept of them is their number and the least.
     """
 
     epoch: int = 0
     base: str = "open"
-    grant: tuple | None = None  # (seq, winner, granted_seq, lease_expires_ms)
+    hold: Hold | None = None
     requests: int = 0
-    first: tuple | None = None  # (hlc, seq, by) of the epoch
-    later: tuple | None = None  # of those since the grant
+    best: tuple | None = None
 
-    def step(self, e: dict) -> TaskFold:
-        kind, seq = e["kind"], e["seq"]
-        if kind == "open":
-            return TaskFold(epoch=seq)
-        if seq <= self.epoch:
+    def control(self, e: dict) -> TaskFold:
+        """After an event that is no request; one that isn't later than the epoch's begin changes nothing."""
+        if e["seq"] <= self.epoch:
             return self
-        if kind == "request":
-            c = (e["hlc"] or 0, seq, e["by"])
-            if self.grant is None:
-                return replace(self, requests=self.requests + 1, first=min(filter(None, (self.first, c))))
-            return replace(self, requests=self.requests + 1, later=min(filter(None, (self.later, c))))
-        if kind == "grant":
-            if self.grant is None or self.grant[3] <= (e["at_ms"] or 0):
-                return replace(self, grant=(seq, e["winner"], e["granted_seq"] or 0, e["lease_expires_ms"] or 0), later=None)
-        elif kind == "release" and self.grant is not None and e["by"] == self.grant[1]:
-            return TaskFold(epoch=seq, base="released")
-        elif kind == "superseded" and self.grant is not None and e["stale_seq"] == self.grant[0]:
-            return TaskFold(epoch=seq)
+        if e["kind"] == "open" or self.hold is not None and self.hold.closed_by(e):
+            return TaskFold(e["seq"], "released" if e["kind"] == "release" else "open")
+        if e["kind"] == "grant" and (self.hold is None or self.hold.yields_to(e)):
+            return replace(self, hold=Hold(e["seq"], e["winner"], e["granted_seq"] or 0, e["lease_expires_ms"] or 0), best=None)
         return self
 
+    def step(self, e: dict) -> TaskFold:
+        if e["kind"] != "request" or e["seq"] <= self.epoch:
+            return self.control(e)
+        bid = (e["hlc"] or 0, e["seq"], e["by"])
+        return replace(self, requests=self.requests + 1, best=bid if self.best is None else min(self.best, bid))
+
     def state(self, now_ms: int) -> tuple:
         """(state, winner, grant_seq, granted_seq, lease_expires_ms, candidate, candidate_seq, requests, epoch_start_seq)."""
-        c = self.first if self.grant is None else self.later
-        if self.grant is None:
-            head = (self.base, None, None, None, None)
-        else:
-            claimed = self.grant[3] > now_ms
-            head = ("claimed" if claimed else "expired", self.grant[1], self.grant[0], self.grant[2], self.grant[3])
-            c = None if claimed else c
-        return (*head, c[2] if c else None, c[1] if c else None, self.requests, self.epoch)
+        h = self.hold
+        name = self.base if h is None else "claimed" if h.expires > now_ms else "expired"
+        _, seq, by = self.best if self.best is not None and name != "claimed" else (None, None, None)
+        return (name, *((h.winner, h.seq, h.granted_seq, h.expires) if h else (None,) * 4), by, seq, self.requests, self.epoch)
+
+
+CONTROL = "log_id string, task string, epoch long, base string, grant_seq long, winner string, granted_seq long, lease_expires_ms long"
 
 
 def task_states(events: DataFrame, now_ms: int) -> DataFrame:
-    """The state of each (log_id, task) of typed events; rows without task or of unknown kind are passed over."""
+    """The state of each (log_id, task) of typed events; rows without task or of unknown kind are passed over.
+
+    Only openings, grants, releases and supersessions depend on each other and stream through a fold. Requests, which may be many of one task,
+    are counted and compared by aggregates over what the fold leaves.
+    """
     d = events.filter(F.col("task").isNotNull() & F.col("kind").isin("open", "request", "grant", "release", "superseded"))
-    return ordered_fold(d, ["log_id", "task"], ["seq"], TASK_STATE, lambda _k: TaskFold(), lambda s, e: (s.step(e), ()), lambda k, s: [(*k, *s.state(now_ms))])
+
+    def end(key: tuple, s: TaskFold):
+        h = s.hold
+        yield (*key, s.epoch, s.base, *((h.seq, h.winner, h.granted_seq, h.expires) if h else (None,) * 4))
+
+    control = ordered_fold(d.filter("kind <> 'request'"), ["log_id", "task"], ["seq"], CONTROL, lambda _k: TaskFold(), lambda s, e: (s.control(e), ()), end)
+    bid = F.struct(F.coalesce("hlc", F.lit(0)).alias("hlc"), "seq", "by")
+    asked = d.filter("kind = 'request'").select("log_id", "task", "seq", bid.alias("bid")).join(control.select("log_id", "task", "epoch", F.col("grant_seq").alias("held")), ["log_id", "task"], "left")
+    counts = F.col("seq") > F.coalesce("epoch", F.lit(0))
+    competes = counts & (F.col("seq") > F.coalesce("held", F.lit(0)))
+    asked = asked.groupBy("log_id", "task").agg(F.sum(counts.cast("int")).cast("int").alias("requests"), F.min(F.when(competes, F.col("bid"))).alias("best"))
+    both = control.join(asked, ["log_id", "task"], "full")
+    state = F.when(F.col("grant_seq").isNull(), F.coalesce("base", F.lit("open"))).when(F.col("lease_expires_ms") > now_ms, "claimed").otherwise("expired")
+    free = lambda c: F.when(F.col("state") != "claimed", F.col(c))
+    both = both.withColumn("state", state)
+    return both.select(
+        "log_id", "task", "state", "winner", "grant_seq", "granted_seq", "lease_expires_ms", free("best.by").alias("candidate"), free("best.seq").alias("candidate_seq"),
+        F.coalesce("requests", F.lit(0)).alias("requests"), F.coalesce("epoch", F.lit(0)).cast("long").alias("epoch_start_seq"),
+    )
 
 
 def decode_task_events(events: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from karst.functions.predicate import predicate
 from karst.operators.changes import record_kind
-from karst.operators.folds import TASK_EVENT, TASK_STATE, TaskFold
+from karst.operators.folds import TASK_EVENT, TASK_STATE, Hold, TaskFold
 
 MESSAGE = "channel string, message string, ts_ms long"
 
@@ -97,21 +97,21 @@ def deduplicated(d: DataFrame, ts: str, keys: list[str], late: str = "1 hour") -
 def task_states(events: DataFrame, now_ms: int) -> DataFrame:
     """The batch fold of tasks as a stream: a row with the new state after each micro-batch that has events of a task, with late ones passed over."""
     kinds = [f.split()[0] for f in TASK_EVENT.split(", ")]
-    some = lambda t: None if t[0] is None and t[1] is None else tuple(t)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, s = 0, TaskFold()
         if state.exists:
             last, epoch, base, requests, *v = state.get
-            s = TaskFold(epoch, base, some(v[:4]), requests, some(v[4:7]), some(v[7:]))
+            s = TaskFold(epoch, base, Hold(*v[:4]) if v[0] is not None else None, requests, tuple(v[4:]) if v[5] is not None else None)
         rows = pd.concat(list(batches)).sort_values("seq")
         for r in rows.astype(object).where(rows.notna(), None).to_dict("records"):
             if r["seq"] > last:
                 s, last = s.step({**r, "seq": int(r["seq"])}), int(r["seq"])
-        state.update((last, s.epoch, s.base, s.requests, *(s.grant or (None,) * 4), *(s.first or (None,) * 3), *(s.later or (None,) * 3)))
+        hold = (None,) * 4 if s.hold is None else (s.hold.seq, s.hold.winner, s.hold.granted_seq, s.hold.expires)
+        state.update((last, s.epoch, s.base, s.requests, *hold, *(s.best or (None,) * 3)))
         yield pd.DataFrame([(*key, *s.state(now_ms))], columns=[c.split()[0] for c in TASK_STATE.split(", ")])
 
-    columns = "last long, epoch long, base string, requests int, g_seq long, g_winner string, g_granted long, g_expires long, f_hlc long, f_seq long, f_by string, l_hlc long, l_seq long, l_by string"
+    columns = "last long, epoch long, base string, requests int, g_seq long, g_winner string, g_granted long, g_expires long, b_hlc long, b_seq long, b_by string"
     return events.select(*kinds).groupBy("log_id", "task").applyInPandasWithState(fold, TASK_STATE, columns, "update", GroupStateTimeout.NoTimeout)
 
 

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from karst.functions import vectors as V
+from karst.runtime import batches_of, files_of, written
 
 OVERSAMPLE = 20
-QUERY_BLOCK, CORPUS_BLOCK = 4_096, 32_768
+QUERY_BLOCK, QUERY_FLOATS = 16_384, 16_384 * 128  # most queries, and elements of their vectors, of a task
+CORPUS_BLOCK, PIECE = 8_192, 1 << 22  # rows of the corpus that a task reads at a time, scores that it holds
 
 
 def clamp_k(k: int) -> int:
@@ -92,62 +94,120 @@ def similarity_of_pair(entries: DataFrame, a: str, b: str, metric: str = "cosine
 
 
 def batch_top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = True) -> DataFrame:
-    """(query, key, score) of the k rows of ``corpus`` (key, vector) nearest to each of ``queries`` (key, vector), scores to 6 digits.
+    """(query, key, score, rank) of the k rows of ``corpus`` (key, vector) nearest to each of ``queries`` (key, vector), scores to 6 digits.
 
-    Both are cut into blocks, each pair of blocks is one task (a matrix product) that keeps k rows of each query, and a
-    ranking merges these. So no side is broadcast, and what is shuffled after the products is k rows per query and block.
+    The corpus is written once to the shared folder. Each task holds a block of queries, reads the corpus from there batch by batch and
+    keeps the best k rows of each query so far, so neither side is copied, broadcast or shuffled for the other, and what is found is final.
+    Cosines are compared in float32; those that may reach the k-th best, and all other scores, are taken in float64.
     """
     k = clamp_k(k)
-    nq, nc = queries.count(), corpus.count()
-    tasks = queries.sparkSession.sparkContext.defaultParallelism
-    bc = max(1, -(-nc // CORPUS_BLOCK))
-    bq = max(1, -(-nq // QUERY_BLOCK), min(-(-nq // 128), -(-tasks // bc)))  # few queries are cut smaller, so that all cores have some
-    block = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
-    q = queries.select(block(bq).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(bc - 1))).alias("j"), F.lit(True).alias("asks"), F.col("key"), "vector")
-    c = corpus.select(F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("i"), block(bc).alias("j"), F.lit(False).alias("asks"), F.col("key"), "vector")
-    kind = dict(queries.dtypes)["key"]
-
-    def product(t: pa.Table) -> pa.Table:
-        t = t.filter(pc.is_valid(t["vector"]))
-        t = t.sort_by("key")
-        keys, vectors, asks = t["key"].combine_chunks(), t["vector"].combine_chunks(), t["asks"].to_numpy()
-        dims = vectors.value_lengths().to_numpy(zero_copy_only=False)
-        out = []
-        for dim in np.unique(dims[dims > 0]):
-            a, b = np.flatnonzero(asks & (dims == dim)), np.flatnonzero(~asks & (dims == dim))
-            if not len(a) or not len(b):
-                continue
-            x, y = (vectors.take(pa.array(r)).flatten().to_numpy().reshape(len(r), dim).astype(np.float64) for r in (a, b))
-            if metric == "cosine":
-                x, y = (v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1) for v in (x, y))
-            names_a, names_b = keys.take(pa.array(a)).to_pylist(), keys.take(pa.array(b)).to_pylist()
-            place = {n: i for i, n in enumerate(names_b)}
-            for s in range(0, len(a), 512):
-                score = x[s : s + 512] @ y.T
-                if metric == "l2":
-                    score = 1 / (1 + np.maximum((x[s : s + 512] ** 2).sum(1)[:, None] + (y**2).sum(1) - 2 * score, 0))
-                score = np.round(score, 6)
-                if exclude_self:
-                    for r, name in enumerate(names_a[s : s + 512]):
-                        if name in place:
-                            score[r, place[name]] = -np.inf
-                # All as good as the k-th stay; of equal ones the smaller keys (rows are in order of key).
-                m = min(k, score.shape[1])
-                bar = np.partition(score, score.shape[1] - m, axis=1)[:, score.shape[1] - m]
-                r, p = np.nonzero((score >= bar[:, None]) & (score > -np.inf))
-                by = np.lexsort((p, -score[r, p], r))
-                r, p = r[by], p[by]
-                few = np.arange(len(r)) - np.searchsorted(r, r) < k
-                r, p = r[few], p[few]
-                out.append((a[s + r], b[p], score[r, p]))
-        if not out:
-            return pa.table({"query": keys[:0], "key": keys[:0], "score": pa.array([], pa.float64())})
-        a, b, v = (np.concatenate(z) for z in zip(*out))
-        return pa.table({"query": keys.take(pa.array(a)), "key": keys.take(pa.array(b)), "score": v})
-
-    found = q.unionByName(c).groupBy("i", "j").applyInArrow(product, f"query {kind}, key {kind}, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "key")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    some = lambda d: d.filter("size(vector) > 0").select("key", "vector")
+    c = written(some(corpus), "corpus")
+    q = c if queries is corpus else some(queries)
+    nq, dim = q.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    tasks = q.sparkSession.sparkContext.defaultParallelism
+    rows = max(64, min(QUERY_BLOCK, QUERY_FLOATS // (dim or 1)))
+    blocks = max(1, -(-nq // rows), min(-(-nq // 128), tasks))  # few queries are cut smaller, so that all cores have some
+    blocks = -(-blocks // tasks) * tasks if blocks > tasks else blocks
+    files, kind = files_of(c), dict(queries.dtypes)["key"]
+
+    def nearest(batches):
+        t = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if t is None or not len(t):
+            return
+        keys, vectors = t["key"].combine_chunks(), t["vector"].combine_chunks()
+        ask = {n: (rows, v, np.full(len(rows), -np.inf)) for n, rows, v in _by_dim(vectors, metric)}
+        best, fresh, waiting = None, [], 0
+
+        def merged():
+            d = pa.concat_tables(fresh if best is None else [best, *fresh]).sort_by([("row", "ascending"), ("score", "descending"), ("key", "ascending")])
+            row = d["row"].to_numpy()
+            place = np.arange(len(d)) - np.searchsorted(row, row)
+            d = d.filter(pa.array(place < k))
+            last = np.full(len(t), -np.inf)
+            full = place == k - 1
+            last[row[full]] = d["score"].to_numpy()[place[place < k] == k - 1]
+            for rows, _, bar in ask.values():
+                bar[:] = last[rows]
+            return d
+
+        for b in batches_of(files, ["key", "vector"], CORPUS_BLOCK):
+            b = pa.Table.from_batches([b]).sort_by("key")
+            names = b["key"].combine_chunks()
+            most = pc.max(pc.value_counts(names).field("counts")).as_py() if exclude_self else 0
+            asked, named = (pc.fill_null(pc.index_in(x, value_set=names.unique()), -1).to_numpy(zero_copy_only=False) for x in (keys, names))
+            for n, at, y in _by_dim(b["vector"].combine_chunks(), metric):
+                if n not in ask:
+                    continue
+                rows, x, bar = ask[n]
+                for r, p, score in _candidates(x, y, bar, k, most, metric):
+                    if exclude_self:
+                        other = asked[rows[r]] != named[at[p]]
+                        r, p, score = r[other], p[other], score[other]
+                    # Of equal scores the smaller keys (rows are in order of key).
+                    by = np.lexsort((p, -score, r))
+                    r, p, score = r[by], p[by], score[by]
+                    few = np.arange(len(r)) - np.searchsorted(r, r) < k
+                    if few.any():
+                        fresh.append(pa.table({"row": rows[r[few]].astype(np.int32), "key": names.take(pa.array(at[p[few]])), "score": score[few]}))
+                        waiting += int(few.sum())
+            if waiting and (best is None or waiting > len(t)):
+                best, fresh, waiting = merged(), [], 0
+        if fresh:
+            best = merged()
+        if best is not None and len(best):
+            row = best["row"].to_numpy()
+            rank = (np.arange(len(row)) - np.searchsorted(row, row) + 1).astype(np.int32)
+            yield from pa.table({"query": keys.take(pa.array(row)), "key": best["key"], "score": best["score"], "rank": rank}).to_batches(10_000)
+
+    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
+    return q.repartitionById(blocks, block).mapInArrow(nearest, f"query {kind}, key {kind}, score double, rank int")
+
+
+def _by_dim(vectors: pa.Array, metric: str):
+    """(dimension, row numbers, float64 matrix) of the finite vectors of each dimension, of length 1 for cosines."""
+    dims = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    for n in np.unique(dims[dims > 0]):
+        at = np.flatnonzero(dims == n)
+        x = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1).astype(np.float64)
+        ok = np.isfinite(x).all(1)
+        at, x = at[ok], x[ok]
+        if not len(at):
+            continue
+        if metric == "cosine":
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            x /= np.where(norm > 0, norm, 1)
+        yield int(n), at, x
+
+
+def _candidates(x: np.ndarray, y: np.ndarray, bar: np.ndarray, k: int, most: int, metric: str):
+    """(rows of x, rows of y, scores to 6 digits) of pairs that may be among the best k of a row of x, by pieces of x; no row of ``bar`` (its k-th best so far) loses one.
+
+    ``most`` rows of y may have the key of a row of x, and don't count.
+    """
+    kind, slack = (np.float32, 2e-5) if metric == "cosine" else (np.float64, 2e-6)
+    xs, ys, nx, ny = x.astype(kind), y.astype(kind).T, (x * x).sum(1), (y * y).sum(1)
+    step = max(16, PIECE // max(1, len(y)))
+    m = len(y) - k - most
+    for i in range(0, len(x), step):
+        s = xs[i : i + step] @ ys
+        if metric == "l2":
+            s = 1 / (1 + np.maximum(nx[i : i + step, None] + ny - 2 * s, 0))
+        low = bar[i : i + step].copy()
+        new = np.flatnonzero(low == -np.inf)
+        if len(new) and m >= 0:
+            low[new] = np.partition(s[new], m, axis=1)[:, m]
+        low -= slack + 1e-12 * np.abs(np.where(np.isfinite(low), low, 0))
+        hit = np.flatnonzero(s.max(1) >= low)
+        if not len(hit):
+            continue
+        r, p = np.nonzero(s[hit] >= low[hit, None].astype(kind))
+        r = hit[r] + i
+        score = np.empty(len(r))
+        for j in range(0, len(r), 1 << 16):
+            a, b = r[j : j + (1 << 16)], p[j : j + (1 << 16)]
+            score[j : j + (1 << 16)] = np.einsum("ij,ij->i", x[a], y[b]) if metric != "l2" else 1 / (1 + np.square(x[a] - y[b]).sum(1))
+        yield r, p, np.round(score, 6)
 
 
 def vector_stats(entries: DataFrame, ns: str = "vec:", codes: DataFrame | None = None, inserts: int | None = None) -> DataFrame:

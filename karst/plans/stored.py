@@ -184,7 +184,7 @@ def vsearch_batch_vectors(spark, d):
     """The three most similar current vectors of each, exactly, over all namespaces."""
     v = table(spark, d, "vector").filter("key is not null and ts_ms is not null").groupBy("key").agg(F.max_by(F.coalesce("vector", F.array().cast("array<float>")), "ts_ms").alias("vector"))
     usable = F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    v = written(v.filter((F.size("vector") > 0) & F.coalesce(usable, F.lit(False))), "usable")
+    v = v.filter((F.size("vector") > 0) & F.coalesce(usable, F.lit(False)))
     return search.batch_top_k(v, v, 3)
 
 

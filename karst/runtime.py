@@ -6,8 +6,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -54,6 +56,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files_of(df: DataFrame) -> list[str]:
+    """The files of a table from ``written``, for tasks that read them themselves: what many tasks need is then no copy for each in the shuffle."""
+    return sorted(df.inputFiles())
+
+
+def batches_of(files: list[str], columns: list[str], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows of ``files_of`` a table, in a task; the shared folder is one that pyarrow can open (file, hdfs, s3, gs, abfs)."""
+    from pyarrow import fs, parquet
+
+    for f in files:
+        where, path = fs.FileSystem.from_uri("s3" + f[3:] if f.startswith("s3a:") else f)
+        with where.open_input_file(path) as opened:
+            yield from parquet.ParquetFile(opened).iter_batches(rows, columns=columns)
+
+
 def drop_work(spark: SparkSession) -> None:
     """Deletes what ``written`` and the operators left in the shared folder."""
     jvm = spark.sparkContext._jvm

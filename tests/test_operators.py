@@ -76,6 +76,27 @@ def test_batch_equals_single(spark):
     assert search.batch_top_k(d.limit(0), d, 3).count() == 0
 
 
+def test_batch_neither_copies_nor_loses_rows(spark, monkeypatch):
+    # Small blocks: each block of queries meets several batches of the corpus, among them ties, copies, two dimensions and a vector that isn't finite.
+    monkeypatch.setattr(search, "QUERY_BLOCK", 64)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.standard_normal((300, 8)), np.ones((40, 8))]).astype(np.float32)
+    rows = [(f"vec:{i:03}", [float(v) for v in r]) for i, r in enumerate(x)] + [(f"vec:s{i}", [float(i), 1.0]) for i in range(5)] + [("vec:nan", [float("nan")] * 8)]
+    d = spark.createDataFrame(rows, "key string, vector array<float>").repartition(5)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = np.round(unit @ unit.T, 6)
+    out = search.batch_top_k(d, d, 3)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query, {})[r["rank"]] = (r.key, r.score)
+    assert set(got) == {k for k, _ in rows} - {"vec:nan"} and all(len(v) == 3 for v in got.values())
+    for i in range(len(x)):
+        near = sorted((j for j in range(len(x)) if j != i), key=lambda j: (-s[i, j], j))[:3]
+        assert [got[f"vec:{i:03}"][n][0] for n in (1, 2, 3)] == [f"vec:{j:03}" for j in near]
+    p = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in p and "FlatMapGroups" not in p  # neither side is copied for the blocks of the other
+
+
 def test_codes(spark):
     x = [1.0, -1.0, 0.0] + [1.0, -2.0] * 40
     d = spark.createDataFrame([(x, [-v - 0.5 for v in x])], "a array<float>, b array<float>")

@@ -3,20 +3,21 @@
 Keys are ordered by hash. In each round a key whose hash is the smallest among its similar open neighbours becomes a
 pivot, and the open neighbours of pivots are absorbed; rounds go on until no key is open. So the pivots are those of the
 greedy order by hash, whatever the shards: inside a shard rounds are matrix products over blocks of that order, for namespaces of several
-shards they are joins of tables whose blocks are such products. Members are then given to the closest pivot, and medoids are taken from the result.
+shards they are such products of pairs of blocks that tasks read from the shared folder. Members are then given to the closest pivot, and medoids are taken from the result.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from karst.llm.neighbours import distinct_vectors, exact
-from karst.llm.vectors import SHARD_ROWS, by_length, current_entries, order_hash, row_limit, shards, to_matrix, unit
-from karst.runtime import written
+from karst.llm.vectors import SHARD_ROWS, current_entries, near, shards, to_matrix, unit
+from karst.runtime import batches_of, drop_read, files_of, written
 
 BLOCK = 2048
 NEAR = 1e-5  # more than the error of a float32 cosine: closer to a limit, float64 decides
@@ -162,191 +163,316 @@ def shard_clusters(t: pa.Table, at: float) -> pa.Table:
     return pa.table({"ns": t["ns"], "key": keys, "pivot": keys.take(pa.array(head[cluster])), "score": score, "tight": tight})
 
 
-def _sums(members: DataFrame) -> DataFrame:
-    """(ns, pivot, n, mean) of each cluster, added up in each task before the shuffle."""
+def _load(files: list[str], columns: list[str]) -> pa.Table:
+    return pa.Table.from_batches(list(batches_of(files, columns, 1 << 16)))
 
-    def add(batches):
-        total: dict = {}
+
+def _by_block(d: DataFrame) -> dict[int, list[str]]:
+    """The files of each block of a table that is written by block."""
+    found: dict[int, list[str]] = {}
+    for f in files_of(d):
+        found.setdefault(int(re.search(r"/block=(\d+)/", f)[1]), []).append(f)
+    return found
+
+
+def _nodes(several: DataFrame) -> DataFrame | None:
+    """(block, ns, pivot, keys, vector) of the usable home rows, written by block (``ns, cell, sub``), in order of ``pivot``: the key with its hash before it.
+
+    Copies of a vector are one node, that of the smallest pivot, with all their ``keys``; they always share a block.
+    """
+    home = several.filter("home").select("ns", "cell", "sub", "key", "h", "vector")
+    cells = [(r.ns, r.cell, r["sub"], i) for i, r in enumerate(home.select("ns", "cell", "sub").distinct().orderBy("ns", "cell", "sub").collect())]  # about two per shard_rows
+    if not cells:
+        return None
+    number = home.sparkSession.createDataFrame(cells, "ns string, cell int, sub int, block int")
+    rows = near(home, number, ["ns", "cell", "sub"], len(cells)).select("block", "ns", F.concat(F.lpad(F.hex("h"), 16, "0"), "key").alias("pivot"), "vector")
+
+    def collapse(batches):
+        found: dict[bytes, list[str]] = {}
+        block = ns = None
+        for b in batches:
+            x = np.ascontiguousarray(to_matrix(b["vector"]), np.float32) + np.float32(0)  # no negative zeros
+            ok = np.isfinite(x).all(1) & (x != 0).any(1)
+            block, ns = (b["block"][0], b["ns"][0]) if len(x) else (block, ns)
+            for v, name, good in zip(x, b["pivot"].to_pylist(), ok):
+                if good:
+                    found.setdefault(v.tobytes(), []).append(name)
+        nodes = sorted((sorted(names), v) for v, names in found.items())
+        for i in range(0, len(nodes), BLOCK):
+            some = nodes[i : i + BLOCK]
+            x = np.frombuffer(b"".join(v for _, v in some), np.float32).reshape(len(some), -1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block.as_py()] * len(some), pa.int32()), pa.array([ns.as_py()] * len(some)), pa.array([n[0] for n, _ in some]), pa.array([[k[16:] for k in n] for n, _ in some], pa.list_(pa.string())), pa.array(list(x), pa.list_(pa.float32()))],
+                ["block", "ns", "pivot", "keys", "vector"],
+            )
+
+    return written(rows.repartitionById(len(cells), F.col("block")).mapInArrow(collapse, "block int, ns string, pivot string, keys array<string>, vector array<float>"), "nodes", "block")
+
+
+def _pairs(files: dict[int, list[str]], nodes: DataFrame, at: float) -> list[tuple[int, int]]:
+    """The pairs of blocks of a namespace (i <= j) that may have similar rows: their centres are no further apart than the limit and both radii together."""
+
+    def shape(batches):
         for b in batches:
-            of = list(zip(b["ns"].to_pylist(), b["pivot"].to_pylist()))
-            for rows, x in by_length(b["vector"]):
-                for i, v in zip(rows, unit(x)[0]):
-                    n, s = total.get(of[i], (0, 0.0))
-                    total[of[i]] = n + 1, s + v
-        if total:
-            yield pa.RecordBatch.from_pydict({"ns": [k[0] for k in total], "pivot": [k[1] for k in total], "n": [v[0] for v in total.values()], "sum": [v[1].tolist() for v in total.values()]}, schema=pa.schema([("ns", pa.string()), ("pivot", pa.string()), ("n", pa.int64()), ("sum", pa.list_(pa.float64()))]))
+            for i in b["block"].to_pylist():
+                t = _load(files[i], ["ns", "vector"])
+                x = unit(to_matrix(t["vector"]))[0]
+                yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "ns": t["ns"][:1].combine_chunks(), "centre": pa.array([x.mean(0)], pa.list_(pa.float64())), "radius": [float(angles_to_mean(x)[1].max())]})
+
+    by: dict[str, list] = {}
+    for r in _blocks(nodes, files).mapInArrow(shape, "block int, ns string, centre array<double>, radius double").collect():
+        by.setdefault(r.ns, []).append((r.block, np.array(r.centre), r.radius))
+    out = []
+    for v in by.values():
+        block, c, radius = np.array([x[0] for x in v]), np.array([x[1] for x in v]), np.array([x[2] for x in v])
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+        near_ = np.arccos(np.clip(c @ c.T, -1, 1)) <= np.arccos(at) + radius[:, None] + radius + 1e-6
+        near_ |= (radius[:, None] >= np.pi) | (radius >= np.pi)
+        out += [(int(block[i]), int(block[j])) for i, j in zip(*np.nonzero(near_)) if block[i] <= block[j]]
+    return sorted(out)
+
+
+def _blocks(nodes: DataFrame, files: dict[int, list[str]]) -> DataFrame:
+    """(block): a row for each block, spread over tasks that read them."""
+    return nodes.sparkSession.createDataFrame([(i,) for i in sorted(files)], "block int").repartition(len(files), "block")
+
+
+def _near(x: np.ndarray, x32: np.ndarray, rows: np.ndarray, others: np.ndarray, at: float):
+    """(some of ``rows``, which of ``others`` they are similar to) of those that are similar to any, piece by piece."""
+    step = max(16, (1 << 22) // max(1, len(others)))
+    y = x32[others].T
+    for i in range(0, len(rows), step):
+        some = rows[i : i + step]
+        hit = some[(x32[some] @ y).max(1) >= at - NEAR]
+        if len(hit):
+            yield hit, similar(x, x32, hit, others, at)
+
+
+def _two(files: dict[int, list[str]], i: int, j: int, a: np.ndarray | None, b: np.ndarray | None):
+    """Unit rows of block i and, where it is another, block j (those numbered in a and b, or all), names, and which of them are on each side."""
+
+    def rows(k, at):
+        t = _load(files[k], ["pivot", "vector"])
+        return t if at is None else t.take(pa.array(at))
+
+    t = rows(i, a)
+    n = len(t)
+    if i != j:
+        t = pa.concat_tables([t, rows(j, b)])
+    x = unit(to_matrix(t["vector"]))[0]
+    left = np.arange(n)
+    return x, x.astype(np.float32), t["pivot"].to_numpy(), left, left if i == j else np.arange(n, len(t))
+
+
+def _bits(on: np.ndarray) -> bytes:
+    return np.packbits(on).tobytes()
+
+
+def _numbers(bits: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))
+
+
+def _edges(nodes: DataFrame, files: dict[int, list[str]], at: float) -> DataFrame:
+    """(i, j, a, b): pairs of blocks with similar rows, and bits of the rows of each that are similar to any other of the other. All later steps look only at these."""
+    pairs = _pairs(files, nodes, at)
 
-    def merge(t: pa.Table) -> pa.Table:
-        n = sum(t["n"].to_pylist())
-        return pa.table({"ns": t["ns"][:1], "pivot": t["pivot"][:1], "n": [n], "mean": pa.array([(to_matrix(t["sum"]).sum(0) / n).tolist()], pa.list_(pa.float64()))})
+    def find(batches):
+        for rows in batches:
+            for i, j in zip(rows["i"].to_pylist(), rows["j"].to_pylist()):
+                x, x32, _, left, right = _two(files, i, j, None, None)
+                on = np.zeros(len(x), bool)
+                for some, like in _near(x, x32, left, right, at):
+                    if i == j:
+                        like[np.arange(len(some)), some] = False  # itself
+                    on[some] |= like.any(1)
+                    on[right] |= like.any(0)
+                if on.any():
+                    yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), "j": pa.array([j], pa.int32()), "a": [_bits(on[left])], "b": [_bits(on[right])]})
 
-    parts = members.select("ns", "pivot", "vector").mapInArrow(add, "ns string, pivot string, n long, sum array<double>")
-    return parts.groupBy("ns", "pivot").applyInArrow(merge, "ns string, pivot string, n long, mean array<double>")
+    d = nodes.sparkSession.createDataFrame(pairs, "i int, j int").repartition(_tasks(nodes, len(pairs)))
+    return written(d.mapInArrow(find, "i int, j int, a binary, b binary"), "edges")
 
 
-def _with_cos(d: DataFrame, other: str, name: str) -> DataFrame:
-    """Adds the dot product of the unit ``vector`` with the array column ``other`` (as it is where it is a mean, else as unit)."""
-    out = StructType([*d.schema.fields, StructField(name, DoubleType())])
+def _tasks(d: DataFrame, pairs: int) -> int:
+    return max(1, min(pairs, max(8 * d.sparkSession.sparkContext.defaultParallelism, pairs // 8)))
 
-    def work(batches):
+
+def _meetings(batches, files: dict[int, list[str]], from_: dict[int, np.ndarray], to: dict[int, np.ndarray]):
+    """Each way round for each of the edges: block, numbers of its rows in ``from_``, the other block, numbers of its rows in ``to``, unit rows, ranks of their names, names, places of the first and of the second among them."""
+    for rows in batches:
+        for i, j, a, b in zip(*(rows[c].to_pylist() for c in ("i", "j", "a", "b"))):
+            a, b = _numbers(a), _numbers(b)
+            a, b = a[from_[i][a] | to[i][a]], b[from_[j][b] | to[j][b]]
+            ways = [(i, a, j, b)] if i == j else [(i, a, j, b), (j, b, i, a)]
+            if not any(from_[p][k].any() and to[q][m].any() for p, k, q, m in ways):
+                continue
+            x, x32, name, l, r = _two(files, i, j, a, b)
+            rank = np.empty(len(x), np.int64)
+            rank[np.argsort(name, kind="stable")] = np.arange(len(x))
+            for (p, k, q, m), (l, r) in zip(ways, ((l, r), (r, l))):
+                mine, other = from_[p][k], to[q][m]
+                if mine.any() and other.any():
+                    yield p, k[mine], q, m[other], x, x32, rank, name, l[mine], r[other]
+
+
+def _sent(d: DataFrame, *bits: dict[int, np.ndarray]):
+    return d.sparkSession.sparkContext.broadcast([{k: _bits(v) for k, v in some.items()} for some in bits])
+
+
+def _opened(sent) -> list[dict[int, np.ndarray]]:
+    return [{k: np.unpackbits(np.frombuffer(v, np.uint8)).astype(bool) for k, v in some.items()} for some in sent.value]
+
+
+def _marked(edges: DataFrame, files: dict[int, list[str]], at: float, left: dict[int, np.ndarray], right: dict[int, np.ndarray], smaller: bool) -> dict[int, np.ndarray]:
+    """By block, which rows of ``left`` are similar to another of ``right``, where ``smaller`` to one with a smaller name. Bits by block are all that reaches the driver."""
+    sent = _sent(edges, left, right)
+
+    def mark(batches):
+        from_, to = _opened(sent)
+        found: dict[int, np.ndarray] = {}
+        for block, own, _, _, x, x32, rank, _, l, r in _meetings(batches, files, from_, to):
+            on = np.zeros(len(x), bool)
+            for some, like in _near(x, x32, l, r, at):
+                like &= rank[r] < rank[some][:, None] if smaller else r != some[:, None]
+                on[some] |= like.any(1)
+            found.setdefault(block, np.zeros(len(from_[block]), bool))[own[on[l]]] = True
+        for block, on in found.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "on": [_bits(on)]})
+
+    def either(t: pa.Table) -> pa.Table:
+        return pa.table({"block": t["block"][:1], "on": [np.bitwise_or.reduce([np.frombuffer(v, np.uint8) for v in t["on"].to_pylist()]).tobytes()]})
+
+    out = {k: np.zeros(len(v), bool) for k, v in left.items()}
+    for r in edges.mapInArrow(mark, "block int, on binary").groupBy("block").applyInArrow(either, "block int, on binary").collect():
+        out[r.block] = np.unpackbits(np.frombuffer(r.on, np.uint8)).astype(bool)[: len(out[r.block])]
+    return out
+
+
+def _closest(edges: DataFrame, files: dict[int, list[str]], at: float, rows: dict[int, np.ndarray], heads: dict[int, np.ndarray]) -> DataFrame:
+    """(block, row, to): the name of the one of ``heads`` with the greatest cosine to each of ``rows``, of equal ones (9 digits) the smallest."""
+    sent = _sent(edges, rows, heads)
+
+    def best(batches):
+        for block, own, _, _, x, x32, rank, name, l, r in _meetings(batches, files, *_opened(sent)):
+            number = np.empty(len(x), np.int32)
+            number[l] = own
+            for some, like in _near(x, x32, l, r, at):
+                n, c = np.nonzero(like)
+                cos = exact(x, some[n], r[c])
+                by = np.lexsort((rank[r[c]], -cos, n))
+                first = by[np.flatnonzero(np.r_[True, n[by][1:] != n[by][:-1]])] if len(by) else by
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(first), pa.int32()), "row": number[some[n[first]]], "c": -cos[first], "to": pa.array(name[r[c[first]]], pa.string())})
+
+    d = edges.mapInArrow(best, "block int, row int, c double, to string")
+    return d.groupBy("block", "row").agg(F.min(F.struct("c", "to")).alias("m")).select("block", "row", F.col("m.to").alias("to"))
+
+
+def _loose(edges: DataFrame, files: dict[int, list[str]], of: DataFrame, at: float) -> DataFrame:
+    """(ns, to) of the clusters with two rows that aren't similar, or a row similar to one of another cluster."""
+    named = _by_block(of)
+    all_ = {r.block: np.ones(r.n, bool) for r in of.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sent = _sent(edges, all_)
+
+    def count(batches):
+        every = _opened(sent)[0]
+        for block, own, other, met, x, x32, _, _, l, r in _meetings(batches, files, every, every):
+            mine, theirs = (_load(named[k], ["row", "to", "copies"]).sort_by("row").take(pa.array(n)) for k, n in ((block, own), (other, met)))
+            cluster = np.unique(np.concatenate([mine["to"].to_numpy(), theirs["to"].to_numpy()]).astype(str), return_inverse=True)[1]
+            a, b = cluster[: len(own)], cluster[len(own) :]
+            copies, at_ = theirs["copies"].to_numpy(), np.empty(len(x), np.int64)
+            at_[l] = np.arange(len(l))
+            for some, like in _near(x, x32, l, r, at):
+                like &= r != some[:, None]
+                same = like & (a[at_[some]][:, None] == b)
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(some), pa.int32()), "row": own[at_[some]].astype(np.int32), "inside": same @ copies, "outside": (like & ~same).any(1)})
+
+    met = edges.mapInArrow(count, "block int, row int, inside long, outside boolean").groupBy("block", "row").agg(F.sum("inside").alias("inside"), F.max("outside").alias("outside"))
+    d = of.join(met, ["block", "row"], "left")
+    return d.filter(F.coalesce("outside", F.lit(False)) | (F.col("copies") + F.coalesce("inside", F.lit(0)) != F.col("size"))).select("ns", "to").distinct()
+
+
+def _scored(nodes: DataFrame, files: dict[int, list[str]], of: DataFrame) -> DataFrame:
+    """(ns, key, to, score) of all keys. Clusters are added up in each block; only the sums of those that lie in several blocks are shuffled."""
+    named = _by_block(of)
+
+    def rows(i):
+        t, o = _load(files[i], ["keys", "vector"]), _load(named[i], ["row", "ns", "to", "copies", "nodes", "size"]).sort_by("row")
+        name, cluster, here = np.unique(o["to"].to_numpy().astype(str), return_inverse=True, return_counts=True)
+        x = unit(to_matrix(t["vector"]))[0]
+        total = np.zeros((len(name), x.shape[1]))
+        np.add.at(total, cluster, x * o["copies"].to_numpy()[:, None])
+        nodes_ = np.zeros(len(name), np.int64)
+        nodes_[cluster] = o["nodes"].to_numpy()
+        return t, o, name, cluster, x, total, nodes_ > here
+
+    def add(batches):
         for b in batches:
-            cos = np.zeros(b.num_rows)
-            for rows, x in by_length(b["vector"]):
-                y = to_matrix(b[other].take(pa.array(rows))).astype(np.float64)
-                cos[rows] = np.einsum("ij,ij->i", unit(x)[0], y if other == "mean" else unit(y)[0])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cos)], [*b.schema.names, name])
+            for i in b["block"].to_pylist():
+                _, _, name, _, _, total, part = rows(i)
+                if part.any():
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([i] * int(part.sum()), pa.int32()), "to": pa.array(name[part].tolist()), "sum": pa.array(list(total[part]), pa.list_(pa.float64()))})
 
-    return d.mapInArrow(work, out)
+    def whole(t: pa.Table) -> pa.Table:
+        s = to_matrix(t["sum"]).sum(0)
+        return pa.table({"block": t["block"], "to": t["to"], "sum": pa.array([s] * len(t), pa.list_(pa.float64()))})
 
+    schema = "block int, to string, sum array<double>"
+    blocks = _blocks(nodes, files)
+    sums = _by_block(written(blocks.mapInArrow(add, schema).groupBy("to").applyInArrow(whole, schema).repartition(F.col("block")), "sums", "block"))
+
+    def score(batches):
+        for b in batches:
+            for i in b["block"].to_pylist():
+                t, o, name, cluster, x, total, part = rows(i)
+                if i in sums:
+                    s = _load(sums[i], ["to", "sum"])
+                    total[np.searchsorted(name, s["to"].to_numpy().astype(str))] = to_matrix(s["sum"])
+                mean = np.where(o["nodes"].to_numpy() > 1, np.einsum("ij,ij->i", x, total[cluster]) / o["size"].to_numpy(), 1.0)
+                keys = t["keys"].combine_chunks()
+                each = keys.value_lengths().to_numpy()
+                at = pa.array(np.repeat(np.arange(len(t)), each))
+                yield from pa.table({"ns": o["ns"].take(at), "key": keys.flatten(), "to": o["to"].take(at), "score": mean[at]}).to_batches(10_000)
+
+    return blocks.mapInArrow(score, "ns string, key string, to string, score double")
 
-def _meet(left: DataFrame, right: DataFrame, at: float, shard_rows: int, work, out: str) -> DataFrame:
-    """``work`` on blocks in which each row of ``left`` (ns, key, pivot, vector) meets every row of ``right`` (the same and its cell) with a cosine of at least ``at``.
 
-    A row visits the cells whose centre is no further from it than the limit and the cell's radius together, so none is
-    missed; cells and visitors are cut into blocks. The centres (two per ``shard_rows``) are all that reaches the driver.
+def _across(several: DataFrame, at: float) -> DataFrame:
+    """Clusters of namespaces of several shards.
+
+    Vectors are written by block once. Tasks read the blocks that they compare, so nothing is copied for the pairs of blocks: these are compared once, all that
+    may have similar rows, and bits of the rows that have any are kept. Rounds, closest pivots and the check of the clusters look at those rows only.
     """
-    mean = written(_sums(right.select("ns", F.col("cell").cast("string").alias("pivot"), "vector")).select("ns", F.col("pivot").cast("int").alias("cell"), "n", "mean"), "centres")
-    far = _with_cos(right.join(mean.select("ns", "cell", "mean"), ["ns", "cell"]).select("ns", "cell", "vector", "mean"), "mean", "dot").withColumn("norm", F.sqrt(F.aggregate("mean", F.lit(0.0), lambda a, b: a + b * b)))
-    angle = F.when(F.col("norm") > 1e-9, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("dot") / F.col("norm"))))).otherwise(F.lit(float(np.pi)))
-    block = F.ceil(F.min(row_limit(shard_rows)) / 4).alias("block")
-    reach = far.groupBy("ns", "cell").agg(F.max(angle).alias("radius"), block)
-    cells: dict[str, list] = {}
-    for r in mean.join(reach, ["ns", "cell"]).collect():
-        cells.setdefault(r.ns, []).append((r.cell, -(-r.n // r.block), r.radius, np.array(r["mean"])))
-    plan = right.sparkSession.sparkContext.broadcast({ns: (np.array([c[0] for c in v]), np.array([c[1] for c in v]), np.array([c[2] for c in v]), unit(np.array([c[3] for c in v]))[0]) for ns, v in cells.items()})
-
-    def visit(batches):
+    nodes = _nodes(several)
+    spark = several.sparkSession
+    files = _by_block(nodes) if nodes is not None else {}
+    if not files:
+        return spark.createDataFrame([], OUT)
+    drop_read(several)
+    edges = _edges(nodes, files, at)
+    edges = edges.repartition(_tasks(edges, edges.count()))
+    open_ = {r.block: np.ones(r.n, bool) for r in nodes.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    heads = {k: np.zeros(len(v), bool) for k, v in open_.items()}
+    while any(v.any() for v in open_.values()):
+        later = _marked(edges, files, at, open_, open_, True)
+        new = {k: v & ~later[k] for k, v in open_.items()}
+        gone = _marked(edges, files, at, later, new, False)
+        open_ = {k: v & ~gone[k] for k, v in later.items()}
+        heads = {k: v | new[k] for k, v in heads.items()}
+
+    def listed(batches):
         for b in batches:
-            ns = np.array(b["ns"].to_pylist(), object)
-            to: list = [[]] * len(ns)
-            for one in set(ns):
-                if one not in plan.value:
-                    continue
-                rows = np.flatnonzero(ns == one)
-                cell, parts, radius, centre = plan.value[one]
-                near = np.arccos(np.clip(unit(to_matrix(b["vector"].take(pa.array(rows))))[0] @ centre.T, -1, 1)) <= np.arccos(at) + radius + 1e-6
-                for i, m in zip(rows, near):
-                    to[i] = [{"cell": int(c), "parts": int(p)} for c, p in zip(cell[m], parts[m])]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to, pa.list_(pa.struct([("cell", pa.int32()), ("parts", pa.int32())])))], [*b.schema.names, "to"])
-
-    v = written(left.select("ns", "key", "pivot", "vector").mapInArrow(visit, "ns string, key string, pivot string, vector array<float>, to array<struct<cell: int, parts: int>>"), "visits")
-    v = v.select("ns", "key", "pivot", "vector", F.explode("to").alias("to")).select("ns", "key", "pivot", "vector", "to.cell", "to.parts")
-    sides = written(v.groupBy("ns", "cell").agg(F.ceil(F.count(F.lit(1)) / F.ceil(F.min(row_limit(shard_rows)) / 4)).cast("int").alias("sides"), F.max("parts").alias("parts")), "sides")
-    h = F.xxhash64("key", F.lit(5))
-    a = v.join(sides.select("ns", "cell", "sides"), ["ns", "cell"]).select("ns", "cell", F.pmod(h, "sides").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(True).alias("left"), "key", "pivot", "vector")
-    b = right.join(sides, ["ns", "cell"]).select("ns", "cell", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("i"), F.pmod(h, "parts").cast("int").alias("j"), F.lit(False).alias("left"), "key", "pivot", "vector")
-
-    def run(t: pa.Table) -> pa.Table:
-        side = t["left"].to_numpy()
-        if side.all() or not side.any():
-            return work(t[:0], t[:0], np.zeros((0, 1)), np.zeros((0, 1)))
-        a, b = t.filter(pa.array(side)), t.filter(pa.array(~side))
-        return work(a, b, unit(to_matrix(a["vector"]))[0], unit(to_matrix(b["vector"]))[0])
-
-    return a.unionByName(b).groupBy("ns", "cell", "i", "j").applyInArrow(run, out)
-
-
-def _touching(left: DataFrame, right: DataFrame, at: float, shard_rows: int) -> DataFrame:
-    """(ns, pivot) of the clusters of ``left`` with a row similar to one of another cluster in ``right``."""
-
-    def work(a: pa.Table, b: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
-        of, name = a["pivot"].to_numpy(zero_copy_only=False), b["pivot"].to_numpy(zero_copy_only=False)
-        bad = set()
-        for i in range(0, len(a), BLOCK):
-            r, c = np.nonzero(np.round(x[i : i + BLOCK] @ y.T, 9) >= at)
-            bad |= set(of[i + r[of[i + r] != name[c]]])
-        return pa.table({"ns": pa.array([a["ns"][0].as_py()] * len(bad) if bad else [], pa.string()), "pivot": pa.array(sorted(bad), pa.string())})
-
-    return _meet(left, right, at, shard_rows, work, "ns string, pivot string").distinct()
-
-
-def _closest(left: DataFrame, right: DataFrame, at: float, shard_rows: int) -> DataFrame:
-    """(ns, key, pivot, cos): the names (``pivot``) of the rows of ``right`` with the greatest cosine to each row of ``left``, of at least ``at``, in each block they meet in."""
-
-    def work(a: pa.Table, b: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
-        rows, found, cos = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
-        for i in range(0, len(a), BLOCK):
-            s = np.round(x[i : i + BLOCK] @ y.T, 9)
-            r, c = np.nonzero((s >= at) & (s == s.max(1, keepdims=True)))
-            rows.append(i + r)
-            found.append(c)
-            cos.append(s[r, c])
-        r, c = pa.array(np.concatenate(rows)), pa.array(np.concatenate(found))
-        return pa.table({"ns": a["ns"].take(r), "key": a["key"].take(r), "pivot": b["pivot"].take(c), "cos": np.concatenate(cos)})
-
-    return _meet(left, right, at, shard_rows, work, "ns string, key string, pivot string, cos double")
-
-
-def _least(left: DataFrame, right: DataFrame, at: float, shard_rows: int) -> DataFrame:
-    """(key, ns, least): the smallest ``pivot`` among the rows of ``right`` that are similar to each row of ``left``, in each block they meet in."""
-
-    def work(a: pa.Table, b: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
-        name = b["pivot"].to_numpy(zero_copy_only=False).astype(str) if len(b) else np.empty(0, str)
-        by = np.argsort(name, kind="stable")
-        rows, found = [np.empty(0, int)], [np.empty(0, int)]
-        for i in range(0, len(a), BLOCK):
-            near = np.round(x[i : i + BLOCK] @ y[by].T, 9) >= at
-            r = np.flatnonzero(near.any(1))
-            rows.append(i + r)
-            found.append(by[near[r].argmax(1)])
-        r, c = pa.array(np.concatenate(rows)), pa.array(np.concatenate(found))
-        return pa.table({"ns": a["ns"].take(r), "key": a["key"].take(r), "least": b["pivot"].take(c)})
-
-    return _meet(left, right, at, shard_rows, work, "ns string, key string, least string")
-
-
-def _pivots(rows: DataFrame, at: float, shard_rows: int) -> DataFrame:
-    """(ns, key) of the pivots of ``rows`` (ns, key, pivot, cell, vector), ``pivot`` being the key with its hash before it, by rounds of joins."""
-    active, pivots = rows, None
-    while not active.isEmpty():
-        least = _least(active, active, at, shard_rows).groupBy("ns", "key").agg(F.min("least").alias("least"))
-        new = written(active.join(least, ["ns", "key"]).filter(F.col("least") == F.col("pivot")).drop("least"), "pivots")
-        pivots = new.select("ns", "key") if pivots is None else pivots.unionByName(new.select("ns", "key"))
-        gone = written(_least(active, new, at, shard_rows).select("ns", "key").distinct(), "absorbed")  # pivots among them
-        active = written(active.join(gone, ["ns", "key"], "left_anti"), "active")
-    return written(pivots if pivots is not None else rows.select("ns", "key"), "pivots")
-
-
-def _across(several: DataFrame, at: float, shard_rows: int) -> DataFrame:
-    """Clusters of namespaces of several shards: rounds as joins of tables in the shared folder."""
-    usable = F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    home = several.filter(F.col("home") & usable).select("ns", "cell", F.col("key"), "vector", F.concat(F.lpad(F.hex("h"), 16, "0"), "key").alias("pivot"))
-    # Copies of a vector are one row in the rounds, that with the smallest hash.
-    row = F.min(F.struct("pivot", "key", "cell")).alias("r")
-    nodes = written(home.groupBy("ns", "vector").agg(row).select("ns", F.col("r.key").alias("key"), F.col("r.pivot").alias("pivot"), F.col("r.cell").alias("cell"), "vector"), "nodes")
-    pivots = _pivots(nodes, at, shard_rows)
-    heads = written(nodes.join(pivots, ["ns", "key"], "left_semi"), "heads")
-    best = F.min(F.struct((-F.col("cos")).alias("c"), F.col("pivot").alias("to"))).alias("m")
-    near = _closest(nodes.join(pivots, ["ns", "key"], "left_anti"), heads, at, shard_rows).groupBy("ns", "key").agg(best).select("ns", "key", F.col("m.to").alias("to"))
-    of = near.unionByName(heads.select("ns", "key", F.col("pivot").alias("to")))
-    of = written(nodes.join(of, ["ns", "key"]).select("ns", "vector", F.expr("substring(to, 17)").alias("pivot")), "closest")
-    d = written(home.drop("pivot").join(of, ["ns", "vector"]).select("ns", "key", "cell", "vector", "pivot"), "members")
-    mean = written(_sums(d), "means")
-    d = written(_with_cos(d.join(mean, ["ns", "pivot"]).select("ns", "key", "cell", "vector", "pivot", "n", "mean"), "mean", "score").withColumn("norm", F.sqrt(F.aggregate("mean", F.lit(0.0), lambda a, b: a + b * b))).drop("mean"), "scored")
-    # Pairs whose angles to the mean add up to more than the limit, in a grid of blocks.
-    limit = float(np.arccos(at)) - 1e-6
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score") / F.greatest("norm", F.lit(1e-12)))))
-    d = d.withColumn("angle", angle)
-    stats = d.filter("n > 1").groupBy("ns", "pivot").agg(F.max("angle").alias("widest"), F.sum((F.col("angle") > limit / 2).cast("int")).alias("far")).filter("far > 0")
-    c = d.join(stats, ["ns", "pivot"]).filter(F.col("angle") > F.lit(limit) - F.col("widest"))
-    side = F.ceil(F.col("n") / 4096).cast("int")
-    mine = F.pmod(F.xxhash64("key"), side).cast("int")
-    all_ = F.explode(F.sequence(F.lit(0), side - 1))
-    left = c.filter(F.col("angle") > limit / 2).select("ns", "pivot", mine.alias("i"), all_.alias("j"), F.lit(True).alias("left"), "vector")
-    right = c.select("ns", "pivot", all_.alias("i"), mine.alias("j"), F.lit(False).alias("left"), "vector")
-
-    def check(t: pa.Table) -> pa.Table:
-        x, _ = unit(to_matrix(t["vector"]))
-        side = t["left"].to_numpy()
-        return pa.table({"ns": t["ns"][:1], "pivot": t["pivot"][:1], "bad": [bool(far_pair(x[side], x[~side], at))]})
-
-    bad = left.unionByName(right).groupBy("ns", "pivot", "i", "j").applyInArrow(check, "ns string, pivot string, bad boolean").filter("bad").select("ns", "pivot")
-    loose = written(bad.distinct(), "loose")
-    # Clusters meet all rows that may be similar. Copies meet once.
-    left = d.filter("n > 2").join(loose, ["ns", "pivot"], "left_anti")
-    once = lambda x, *c: x.groupBy("ns", *c, "pivot", "vector").agg(F.min("key").alias("key"))
-    loose = loose.unionByName(_touching(once(left), once(d, "cell"), at, shard_rows)).withColumn("loose", F.lit(True))
-    return d.join(loose, ["ns", "pivot"], "left").select("ns", "key", "pivot", "score", F.col("loose").isNull().alias("tight"))
+            for i in b["block"].to_pylist():
+                t = _load(files[i], ["ns", "pivot", "keys"])
+                yield from pa.table({"block": pa.array([i] * len(t), pa.int32()), "row": np.arange(len(t), dtype=np.int32), "ns": t["ns"], "pivot": t["pivot"], "copies": t["keys"].combine_chunks().value_lengths().cast(pa.int64())}).to_batches(10_000)
+
+    d = _blocks(nodes, files).mapInArrow(listed, "block int, row int, ns string, pivot string, copies long")
+    d = d.join(_closest(edges, files, at, {k: ~v for k, v in heads.items()}, heads), ["block", "row"], "left")
+    d = written(d.select("block", "row", "ns", F.coalesce("to", "pivot").alias("to"), "copies"), "closest")
+    size = d.groupBy("ns", "to").agg(F.count(F.lit(1)).alias("nodes"), F.sum("copies").alias("size"))
+    of = written(d.join(size, ["ns", "to"]).repartition(F.col("block")), "members", "block")
+    loose = written(_loose(edges, files, of, at), "loose").withColumn("loose", F.lit(True))
+    d = _scored(nodes, files, of).join(loose, ["ns", "to"], "left")
+    return d.select("ns", "key", F.expr("substring(to, 17)").alias("pivot"), "score", F.col("loose").isNull().alias("tight"))
 
 
 def clusters(rows: DataFrame, at: float = 0.80, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -358,7 +484,7 @@ def clusters(rows: DataFrame, at: float = 0.80, shard_rows: int = SHARD_ROWS) ->
     found = parts.single.groupBy("ns", "cell", "sub").applyInArrow(lambda t: shard_clusters(t, at), OUT)
     if parts.several is None:
         return found
-    return found.unionByName(_across(parts.several, at, shard_rows))
+    return found.unionByName(_across(parts.several, at))
 
 
 def live_entries(ops: DataFrame) -> DataFrame:

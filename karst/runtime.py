@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -48,11 +49,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/karst/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: survives lost executors and is computed once."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder, in folders of the values of ``by`` if named: survives lost executors and is computed once."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,6 +72,20 @@ def batches_of(files: list[str], columns: list[str], rows: int) -> Iterator[pa.R
             yield from parquet.ParquetFile(opened).iter_batches(rows, columns=columns)
 
 
+def drop_read(df: DataFrame) -> None:
+    """Deletes the tables from ``written`` that ``df`` reads, and lets Spark remove the shuffle files of what is over: for tables that nothing reads again."""
+    sc = df.sparkSession.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    own = jvm.org.apache.hadoop.fs.Path(f"{work_dir(df.sparkSession)}/karst")
+    fs = own.getFileSystem(conf)
+    root = fs.makeQualified(own).toString() + "/"
+    files = [fs.makeQualified(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(f))).toString() for f in df.inputFiles()]
+    for table in {f[len(root) :].split("/")[0] for f in files if f.startswith(root)}:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(root + table), True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def drop_work(spark: SparkSession) -> None:
     """Deletes what ``written`` and the operators left in the shared folder."""
     jvm = spark.sparkContext._jvm

@@ -239,3 +239,17 @@ def test_members_are_with_the_closest_pivot(spark, shard_rows):
     heads = sorted(set(pivot.values()))
     s = x @ x[heads].T
     assert len(pivot) == 150 and all(s[i].max() - x[i] @ x[p] < 1e-6 and x[i] @ x[p] >= 0.8 - 1e-6 for i, p in pivot.items())
+
+
+def test_vectors_are_written_once_whatever_the_pairs_of_blocks(spark, monkeypatch):
+    # Disk must not grow with the pairs of blocks, nor with the rounds.
+    real, tables = clusters.written, []
+
+    def spy(d, *more):
+        tables.append(real(d, *more))
+        return tables[-1]
+
+    monkeypatch.setattr(clusters, "written", spy)
+    d = spark.createDataFrame(operations(8, 30), OPS)
+    assert clusters.clusters(clusters.live_entries(d), shard_rows=30).count() > 100
+    assert sum(t.count() for t in tables if {"vector", "centre", "mean"} & set(t.columns)) <= d.count()
